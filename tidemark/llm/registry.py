@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, exact_dedup
+from tidemark.llm import bpe, chat, exact_dedup, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_warc": warc.op5_warc,
+    "op7_bpe": bpe.op7_bpe,
     "op9_chat_format": chat.op9_chat_format,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op5_warc": warc.SQL,
 }
