@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, exact_dedup, warc
+from tidemark.llm import bpe, chat, exact_dedup, jaccard, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_warc": warc.op5_warc,
     "op7_bpe": bpe.op7_bpe,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_chat_format": chat.op9_chat_format,
 }
 
