@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, exact_dedup, jaccard, warc
+from tidemark.llm import bpe, chat, exact_dedup, jaccard, kneser_ney, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_quality_classifier": kneser_ney.op10_quality_classifier,
 }
 
 SQL = {

@@ -11,7 +11,8 @@ import numpy as np
 
 WIDTH = 5
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_CASED = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_BYTE = _CASED.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -40,7 +41,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], cased: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and how many words each text has."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends_of = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)  # behind each text and its space
@@ -53,7 +54,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.empty(0, np.uint64), counts
     _upto(len(data) + 1)
-    values = _BYTE[data]
+    values = (_CASED if cased else _BYTE)[data]
     values[space] = 0
     values *= _powers[: len(data)]
     sums = np.add.reduceat(values, starts)
