@@ -4,8 +4,8 @@ Every text gets a 64-bit key. Rows with equal keys are pre-aggregated into one i
 any size is one entry. The directory starts with one bucket; a bucket with more entries than its capacity is
 split on the next bit of the key, which doubles the directory where needed. Entries are written to the shared
 folder, a file or more for each bucket, and the owner task of a bucket reads its key range back. Entries with
-several rows are compared byte by byte (least and greatest text of the key); where these differ, the key has a
-collision, and its rows are chained: grouped by the whole text.
+several rows are compared byte by byte: the rows of a key are grouped by their whole text, so keys that collide
+give a chain of groups. The joins that move texts are shuffled joins at every size, salted against hot keys.
 
 Defined cases: a null text is an empty text; a null doc_id takes part in a group but stays only where all the
 group's doc_ids are null; rows that repeat a doc_id and text all count and share one decision; an empty table
@@ -22,8 +22,8 @@ from tidemark.llm.common import new_path, packed, table, unpacked
 #: Depth to which buckets can be split: the directory has at most 2 ** MAX_DEPTH entries.
 MAX_DEPTH = 14
 #: Entries of a bucket before it is split, and the most buckets aimed at (large inputs get larger buckets).
-CAPACITY = 16_384
-MAX_BUCKETS = 2_048
+CAPACITY = 2_048
+MAX_BUCKETS = 1_024
 #: Parts into which the rows of one key are dealt in joins.
 SALTS = 32
 
@@ -57,26 +57,21 @@ def build_index(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     path = new_path(spark, "extendible")
     (entries.join(F.broadcast(owners), "slot").drop("slot").repartition("bucket")
         .write.partitionBy("bucket").option("compression", "zstd").parquet(path))
-    schema = "key long, n long, last long, bucket int"
+    schema = "key long, n long, bucket int"
     return spark.read.schema(schema).parquet(path)
 
 
 def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Groups of at least two equal texts: key, chain (the text's SHA-256 where the key has a collision, else null), keep_id, group_size."""
+    """Groups of at least two equal texts: key, chain (the text's SHA-256), keep_id, group_size."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    entries = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-    repeated = build_index(entries, capacity).where("n > 1").select("key", "n", "last")
+    entries = rows.groupBy("key").agg(F.count("*").alias("n"))
+    repeated = build_index(entries, capacity).where("n > 1").select("key")
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    wanted = repeated.select("key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = dealt.join(wanted, ["key", "salt"], "left_semi")
-    bytes_of = members.groupBy("key").agg(F.min("text").alias("least"), F.max("text").alias("most")).select("key", (F.col("least") == F.col("most")).alias("equal"))
-    judged = repeated.join(bytes_of, "key")
-    clean = judged.where("equal").select("key", F.lit(None).cast("string").alias("chain"), F.col("last").alias("keep_id"), F.col("n").alias("group_size"))
-    collided = judged.where("not equal").select("key")
-    chained = (members.join(collided, "key", "left_semi").groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-               .select("key", F.sha2("text", 256).alias("chain"), "keep_id", "group_size"))
-    return clean.unionByName(chained)
+    wanted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = dealt.join(wanted.hint("shuffle_hash"), ["key", "salt"], "left_semi")
+    chains = members.groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return chains.where("group_size > 1").select("key", F.sha2("text", 256).alias("chain"), "keep_id", "group_size")
 
 
 def judged_rows(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -86,8 +81,8 @@ def judged_rows(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "__row", F.col("__row.doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.sha2(text, 256).alias("text_sha256"),
         F.pmod(F.xxhash64(F.col("__row.doc_id").cast("long")), F.lit(SALTS)).cast("int").alias("salt"))
     found = groups(docs, capacity).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"key": "g_key", "salt": "g_salt"})
-    on = (rows["key"] == found["g_key"]) & (rows["salt"] == found["g_salt"]) & (found["chain"].isNull() | (found["chain"] == rows["text_sha256"]))
-    return rows.join(found, on, "left").select(
+    on = (rows["key"] == found["g_key"]) & (rows["salt"] == found["g_salt"]) & (rows["text_sha256"] == found["chain"])
+    return rows.join(found.hint("shuffle_hash"), on, "left").select(
         "__row", "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
