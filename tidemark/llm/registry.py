@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, exact_dedup, jaccard, kneser_ney, warc
+from tidemark.llm import bpe, chat, decontaminate, exact_dedup, jaccard, kneser_ney, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op5_warc": warc.op5_warc,
     "op7_bpe": bpe.op7_bpe,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
