@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, decontaminate, exact_dedup, jaccard, kneser_ney, warc
+from tidemark.llm import bpe, chat, decontaminate, exact_dedup, jaccard, kneser_ney, suffix_dedup, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op5_warc": warc.op5_warc,
