@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, decontaminate, exact_dedup, jaccard, kneser_ney, suffix_dedup, warc
+from tidemark.llm import bpe, chat, decontaminate, exact_dedup, html_main, jaccard, kneser_ney, suffix_dedup, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_html_extraction": html_main.op4_html_extraction,
     "op5_warc": warc.op5_warc,
     "op7_bpe": bpe.op7_bpe,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
