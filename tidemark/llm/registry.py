@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, decontaminate, exact_dedup, html_main, jaccard, kneser_ney, suffix_dedup, warc
+from tidemark.llm import bpe, chat, decontaminate, exact_dedup, html_main, jaccard, kneser_ney, stupid_backoff, suffix_dedup, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_html_extraction": html_main.op4_html_extraction,
     "op5_warc": warc.op5_warc,
+    "op6_lm_scoring": stupid_backoff.op6_lm_scoring,
     "op7_bpe": bpe.op7_bpe,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_chat_format": chat.op9_chat_format,
