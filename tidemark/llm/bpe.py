@@ -27,16 +27,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import python_batches, table
 
-#: Most transitions that a worker determinises; most token pairs and pieces that it keeps before it starts afresh.
-MAX_TRANSITIONS = 25_000
+#: Most transitions that a worker determinises, most pieces that it remembers (the first ones it meets), and most
+#: token pairs before it starts afresh.
+MAX_TRANSITIONS = 40_000
+MAX_PIECES = 250_000
 MAX_PAIRS = 400_000
-MAX_PIECES = 150_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+class Node(dict):
+    """A trie node: from byte to child, with the token that ends here, if any."""
+
+    __slots__ = ("token",)
+
+    def __init__(self):
+        self.token: int | None = None
+
+
 class Transducer:
     """Encoder of single pieces; `encode_text` splits a text into pieces by the pattern first."""
 
@@ -45,14 +55,16 @@ class Transducer:
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        # A trie node is a dict from byte to child; key -1 holds the token that ends there.
-        self.root: dict = {}
+        self.root = Node()
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
             node = self.root
             for b in token:
-                node = node.setdefault(b, {})
-            node[-1] = rank
+                child = node.get(b)
+                if child is None:
+                    child = node[b] = Node()
+                node = child
+            node.token = rank
         self.pairs: dict[int, bool] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
@@ -140,12 +152,12 @@ class Transducer:
             child = node.get(byte)
             if child is None:
                 continue
-            token = child.get(-1)
+            token = child.token
             if token is not None and found is None and reachable(token):
                 before = chain[-1] if chain else last
                 if before is None or compatible(before, token):
                     found = (*chain, token)
-            if len(child) > (token is not None):
+            if child:
                 grown.append((child, chain))
         if found is None:
             raise ValueError("the vocabulary lacks single bytes")
@@ -164,10 +176,10 @@ class Transducer:
         self.moves[number << 8 | byte] = (target, out)
         return target, out
 
-    def depth_first(self, piece: bytes) -> list[int]:
-        """The same paths without determinised states: longest token first, back where no compatible one is left."""
-        compatible, reachable, root = self.compatible, self.reachable, self.root
-        size, tokens, ways, ends, dead = len(piece), [], [], [0], set()
+    def depth_first(self, piece: bytes, settled: list[int]) -> list[int]:
+        """All tokens, from the settled ones on, without determinised states: longest token first, back where no compatible one is left."""
+        compatible, reachable, root, of = self.compatible, self.reachable, self.root, self.bytes_of
+        size, tokens, ways, ends, dead = len(piece), settled, [], [sum(len(of[t]) for t in settled)], set()
         while True:
             at = ends[-1]
             if at == size:
@@ -176,18 +188,18 @@ class Transducer:
                 found, node, i = [], root, at
                 while i < size and (node := node.get(piece[i])) is not None:
                     i += 1
-                    if (token := node.get(-1)) is not None and reachable(token):
+                    if (token := node.token) is not None:
                         found.append((token, i))
                 ways.append(found)
             options = ways[-1]
             while options:
                 token, end = options.pop()
-                if end not in dead and (not tokens or compatible(tokens[-1], token)):
+                if end not in dead and (compatible(tokens[-1], token) if tokens else True) and reachable(token):
                     tokens.append(token)
                     ends.append(end)
                     break
             else:
-                if not tokens:
+                if len(ends) == 1:
                     raise ValueError("the vocabulary lacks single bytes")
                 dead.add(at)
                 tokens.pop()
@@ -204,7 +216,7 @@ class Transducer:
             step = get(state << 8 | byte)
             if step is None:
                 if full:
-                    return tuple(self.depth_first(piece))
+                    return tuple(self.depth_first(piece, tokens))
                 step = self.move(state, byte)
             state = step[0]
             if step[1]:
@@ -217,9 +229,7 @@ class Transducer:
             tokens = known.get(piece)
             if tokens is None:
                 tokens = self.encode_piece(piece.encode())
-                if len(piece) <= 32:
-                    if len(known) >= MAX_PIECES:
-                        known.clear()
+                if len(known) < MAX_PIECES and len(piece) <= 32:
                     known[piece] = tokens
             ids.extend(tokens)
         return ids
