@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from functools import partial
+
+from tidemark.plans import aggregates, dialect, relational, timeseries
+
+SQL = {**timeseries.QUERIES, **aggregates.QUERIES, **relational.QUERIES}
+QUERIES: dict = {name: partial(dialect.run, text) for name, text in SQL.items()}
+ORACLES: dict = {name: dialect.oracle(text) for name, text in SQL.items()}
