@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from functools import partial
 
-from tidemark.plans import aggregates, dialect, relational, timeseries
+from tidemark.plans import aggregates, dialect, extra, relational, timeseries
 
 SQL = {**timeseries.QUERIES, **aggregates.QUERIES, **relational.QUERIES}
-QUERIES: dict = {name: partial(dialect.run, text) for name, text in SQL.items()}
-ORACLES: dict = {name: dialect.oracle(text) for name, text in SQL.items()}
+QUERIES: dict = {name: partial(dialect.run, text) for name, text in SQL.items()} | extra.QUERIES
+ORACLES: dict = {name: dialect.oracle(text) for name, text in SQL.items()} | extra.ORACLES
