@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schemas
 
@@ -13,7 +14,8 @@ def read_lots(spark: SparkSession, root: str, start: str | None = None, end: str
 
     trade_date is stored as yyyy.MM.dd; empty strings of nullable columns read as null.
     """
-    df = spark.read.schema(schemas.LOTS.add("year", "int").add("month", "int") if "year" not in schemas.LOTS.names else schemas.LOTS).parquet(root)
+    keys = [T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]
+    df = spark.read.schema(T.StructType([*schemas.LOTS.fields, *keys])).parquet(root)
     df = within(df, start, end)
     day = F.to_date("trade_date", "yyyy.MM.dd")
     nullable = ["state", "origin", "spec", "packaging"]
