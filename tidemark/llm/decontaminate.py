@@ -13,7 +13,7 @@ RADIUS: at similarity 0.8 fingerprints differ in 10 bits on average, with a devi
 such window in 5,000, and fewer above it.
 
 Defined cases: null and empty texts have no words and match nothing, on either side; a document or item of
-fewer than five words is one shingle; items that repeat are reported each under their item_id; rows with a null
+fewer than five words is one shingle, so a short item is found only where it is all of a document; items that repeat are reported each under their item_id; rows with a null
 doc_id are not examined and stay; an empty benchmark or table gives no rows; extra columns pass through.
 """
 
