@@ -113,3 +113,19 @@ def op9_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return digest(format_windows(rows.unionByName(probe)))
+
+
+_ESCAPED = r"replace(replace(replace({c}, '\', '\b'), '#', '\h'), '<', '\l')"
+SQL = f"""
+WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS ord FROM rows_),
+e AS (SELECT *, length(replace({_ESCAPED.format(c="role")}, ':', '\\c')) + 2 + length({_ESCAPED.format(c="text")}) + {len(OWN) + len(END)} AS size, ord = 1 AND role = 'system' AS is_system FROM o),
+k AS (SELECT *, CAST(ceil(size / {CHARS_PER_TOKEN}) AS BIGINT) AS tokens FROM e),
+s AS (SELECT *, sum(CASE WHEN is_system THEN tokens ELSE 0 END) OVER w AS sys, sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER w AS until FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT *, CASE WHEN is_system THEN 0 ELSE floor((until - 1) / greatest(1, floor(({BUDGET - HISTORY} - sys) / 2))) END AS span, until - CASE WHEN is_system THEN 0 ELSE tokens END AS start FROM s),
+f AS (SELECT conv_id, span, min_by(start, ord) AS start FROM t GROUP BY conv_id, span),
+c AS (SELECT f.conv_id, sum(t.size) AS chars FROM f JOIN t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND (t.span = f.span OR t.span < f.span AND (t.is_system OR f.start - t.start <= {HISTORY})) GROUP BY f.conv_id),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY ord) FILTER (WHERE role = 'assistant'), '') AS loss FROM o GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g JOIN c ON c.conv_id IS NOT DISTINCT FROM g.conv_id
+"""

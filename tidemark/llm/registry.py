@@ -20,4 +20,5 @@ QUERIES = {
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op5_warc": warc.SQL,
+    "op9_chat_format": chat.SQL,
 }
