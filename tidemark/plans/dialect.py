@@ -29,6 +29,7 @@ MACROS = {
     "SKEW": ("skewness({0})", "((avg({0} * {0} * {0}) - 3 * avg({0}) * avg({0} * {0}) + 2 * avg({0}) * avg({0}) * avg({0})) / power(stddev_pop({0}), 3))"),
     "KURT": ("kurtosis({0})", "kurtosis_pop({0})"),
     "SLOPE": ("regr_slope({0}, {1})", "regr_slope({0}, {1})"),
+    "KEYHASH": ("sha2({0}, 256)", "sha256({0})"),
     "LASTKNOWN": ("last_value({0}, true)", "last_value({0} IGNORE NULLS)"),
     "TIMEBUCKET": ("CAST(date_trunc('{0}', {1}) AS TIMESTAMP)", "CAST(date_trunc('{0}', {1}) AS TIMESTAMP)"),
     "EPOCH": ("unix_micros({0})", "epoch_us({0})"),

@@ -48,5 +48,12 @@ SELECT species, round(f, 4) AS first_price, round(l, 4) AS last_price, round((l
     "tl_yearly": "SELECT species, year(trade_date) AS year, round(avg(price_avg), 6) AS mean, min(price_low) AS low, max(price_high) AS high, round(stddev_samp(price_avg), 6) AS std, count(DISTINCT trade_date) AS days, count(CASE WHEN extract(DAY FROM trade_date) = 15 THEN 1 END) AS mid_month FROM lots GROUP BY species, year(trade_date)",
     "tl_kpi": f"WITH r AS (SELECT species, stddev_pop(price_avg) / avg(price_avg) * 100 AS m, count(*) AS n FROM lots GROUP BY species) SELECT {_TIERS.format(m='m')} AS tier, count(*) AS configs, sum(n) AS n, round(avg(m), 4) AS mean, round(min(m), 4) AS best FROM r GROUP BY 1",
     "tl_error_suggestions": "SELECT species FROM (SELECT DISTINCT species FROM lots) s ORDER BY levenshtein(species, 'Brnd#11'), species LIMIT 3",
+    "prj_scale_clamp": "SELECT species, count(*) AS n, greatest(8, least(40, count(*) / 500.0)) AS marker FROM lots GROUP BY species",
+    "agg_metric_rank": "SELECT model, mean, rank_ FROM (SELECT packaging AS model, round(avg(m), 4) AS mean, row_number() OVER (ORDER BY avg(m), packaging) AS rank_ FROM (SELECT species, packaging, stddev_pop(price_avg) / avg(price_avg) * 100 AS m FROM lots GROUP BY species, packaging) x WHERE m < 900 GROUP BY packaging) y WHERE rank_ <= 20",
+    "agg_retail_markup": "SELECT p_brand AS item, round(avg(CASE WHEN l_linestatus = 'O' THEN l_extendedprice / l_quantity END), 4) AS retail, round(avg(CASE WHEN l_linestatus = 'F' THEN l_extendedprice / l_quantity END), 4) AS wholesale, count(DISTINCT CASE WHEN l_linestatus = 'O' THEN CAST(l_shipdate AS DATE) END) AS retail_days FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
+    "tl_species_resource": "SELECT species, trade_date, round(avg(price_avg), 6) AS price, count(*) AS n FROM lots WHERE species = 'Brand#5' GROUP BY species, trade_date",
+    "tl_data_health": "SELECT species, count(DISTINCT trade_date) AS days, count(*) AS n, round(CAST(count(*) AS DOUBLE) / count(DISTINCT trade_date), 4) AS lots_per_day, min(trade_date) AS first_day, max(trade_date) AS last_day FROM lots GROUP BY species",
+    "jn_known_words": "SELECT count(*) AS n, count(CASE WHEN k.species IS NOT NULL THEN 1 END) AS known FROM lots l LEFT JOIN (SELECT DISTINCT species FROM lots WHERE year(trade_date) < 1996) k ON k.species = l.species",
+    "prj_key_level": "SELECT c_custkey, KEYHASH(c_name) AS key_hash, CASE WHEN c_acctbal > 5000 THEN 'premium' WHEN c_acctbal > 0 THEN 'basic' ELSE 'none' END AS level FROM customer",
 }
 QUERIES["prj_spec_unpad"] = QUERIES["prj_spec_unpad"].replace("'{g}1'", "GROUPREF")
