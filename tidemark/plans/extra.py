@@ -56,6 +56,26 @@ def indicators(spark, sf_dir: str) -> DataFrame:
     return out.select("species", "mth", *[F.round(c, 4).alias(c) for c in ("ema7", "ema30", "macd", "signal", "rsi14")])
 
 
+def boosted_trees(spark, sf_dir: str) -> DataFrame:
+    """Importance of lags, trailing windows and calendar for the price seven days ahead, and the error on the last fifth."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.sql import Window as W
+
+    daily = star_lots(spark, sf_dir).groupBy("species", "trade_date").agg(F.avg("price_avg").alias("p"), F.sum("quantity").alias("q"))
+    w = W.partitionBy("species").orderBy("trade_date")
+    names = ["p", "lag1", "lag7", "a7", "a30", "q7", "month", "dow"]
+    rows = daily.select(
+        "species", "p", F.lag("p", 1).over(w).alias("lag1"), F.lag("p", 7).over(w).alias("lag7"), F.avg("p").over(w.rowsBetween(-7, -1)).alias("a7"), F.avg("p").over(w.rowsBetween(-30, -1)).alias("a30"),
+        F.sum("q").over(w.rowsBetween(-6, 0)).alias("q7"), F.month("trade_date").alias("month"), F.weekday("trade_date").alias("dow"), F.ln(F.greatest(F.lead("p", 7).over(w), F.lit(1.0))).alias("y"), F.percent_rank().over(w).alias("place")).dropna()
+    rows = VectorAssembler(inputCols=names, outputCol="x").transform(rows).withColumn("weight", F.exp(2 * F.col("place")))
+    model = GBTRegressor(featuresCol="x", labelCol="y", weightCol="weight", maxIter=8, maxDepth=4, seed=1).fit(rows.where("place < 0.8"))
+    late = model.transform(rows.where("place >= 0.8"))
+    error = late.agg(F.round(F.avg(F.abs(F.exp("prediction") - F.exp("y")) / F.exp("y")) * 100, 4).alias("mape"))
+    gains = [(n, round(100 * float(g), 2)) for n, g in zip(names, model.featureImportances.toArray(), strict=True)]
+    return spark.createDataFrame(gains, "feature string, gain_pct double").join(F.broadcast(error))  # one row
+
+
 def audit_verdicts(spark, sf_dir: str) -> DataFrame:
     out = streams.settled(streams.limited(streams.event_stream(spark, sf_dir)), "append")
     return out.groupBy("verdict").agg(F.count("*").alias("n"))
@@ -79,6 +99,7 @@ QUERIES = {
     "ts_indicators": indicators,
     "src_calendar": lambda spark, sf_dir: side_tables.dates(spark, "2004-01-02", "2004-03-15"),
     "ml_forecasts": lambda spark, sf_dir: recursive.forecasts(monthly(spark, sf_dir), order="mth"),
+    "ml_boosted_trees": boosted_trees,
     "ml_decomposition": lambda spark, sf_dir: recursive.decomposed(monthly(spark, sf_dir), order="mth"),
     "str_tumbling": streams.on_events(streams.tumbling),
     "str_sliding": streams.on_events(streams.sliding),
