@@ -8,7 +8,8 @@ avoid bring many candidates, and a candidate of a pair must share the lesser l o
 
 First each document is verified against the one leader it shares most prefix tokens with, which joins large
 groups of near copies without their pairs. Then all pairs of documents of different components that share
-enough tokens are verified, so no link between components is lost. Verification compares whole sets.
+enough tokens are verified, so no link between components is lost. A document whose prefix holds too many
+tokens that no other prefix has can't reach the threshold and is left out before. Verification compares whole sets.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; rows that
 share a doc_id are rows of one document and share its component; rows with a null doc_id get no component
@@ -30,6 +31,8 @@ FREQUENT = 8
 MAX_FREQUENT = 200_000
 #: Prefix extensions tried, and what verifying a candidate costs against one more prefix token.
 EXTENSIONS = (1, 2, 3, 4, 6, 8, 12, 16)
+#: Frequent tokens are counted in prefixes so many times as long, as the prefix moves on past those it skips.
+COUNTED = 2
 VERIFY_COST = 16
 #: Documents of a frequent token that one group holds in the first round; more are dealt into several.
 GROUP = 2_000
@@ -58,7 +61,7 @@ def sets_of(docs: DataFrame, prefixes: bool) -> DataFrame:
             h, counts = shingle_sets(_prepared(batch.column(1)))
             first = np.concatenate([[0], np.cumsum(counts)])
             if prefixes:
-                keep = counts - (counts * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1
+                keep = COUNTED * (counts - (counts * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1) + EXTENSIONS[-1] // 2
                 rank = np.arange(len(h)) - np.repeat(first[:-1], counts)
                 yield pa.RecordBatch.from_arrays([pa.array(h[rank < np.repeat(keep, counts)].view(np.int64))], names=["token"])
                 continue
@@ -187,6 +190,26 @@ def verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     return counted.where((F.col("total") > 0) & (DENOMINATOR * F.col("shared") >= NUMERATOR * F.col("total")))
 
 
+def shareable(rows: DataFrame) -> DataFrame:
+    """Without documents that can't link, and with the most that a document can share (most).
+
+    What a document shares with any other is at most its prefix tokens that another prefix has, and its rest.
+    A document whose most is too small for its own size goes, and with it tokens that then stand alone.
+    """
+    for again in (True, False):
+        most = rows.groupBy("doc_id").agg((F.count("*") + F.max(F.col("n") - F.col("length"))).alias("most"))
+        rows = rows.drop("most").join(most, "doc_id").where(DENOMINATOR * F.col("most") >= NUMERATOR * F.col("n"))
+        if again:
+            alone = rows.groupBy("token").agg(F.count("*").alias("copies")).where("copies > 1").select("token")
+            rows = rows.join(alone, "token", "left_semi")
+    return rows
+
+
+def _needed(both):
+    """The least overlap of two sets that link, from the sum of their sizes."""
+    return F.ceil(both * NUMERATOR / (NUMERATOR + DENOMINATOR))
+
+
 def _sizes(x: str, y: str):
     return DENOMINATOR * F.least(x, y) >= NUMERATOR * F.greatest(x, y)
 
@@ -209,6 +232,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("leader", F.min(F.struct("doc_id", "n")).over(group))
     rows = staged(rows.select("token", "doc_id", "n", "ell", "length", F.col("leader.doc_id").alias("leader"), F.col("leader.n").alias("leader_n")), "prefixes")
 
+    rows = staged(shareable(rows), "prefixes")
+
     blobs = staged(compressed(docs).join(rows.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     stars = rows.where(F.col("doc_id") != F.col("leader")).where(_sizes("n", "leader_n")).groupBy("doc_id", "leader").agg(F.count("*").alias("m")).where(F.col("m") >= LEADER_MATCHES)
@@ -217,13 +242,14 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = components(near)
 
     rows = rows.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = staged(rows.select("token", "doc_id", "n", "ell", "length", "component"), "prefixes")
+    rows = staged(rows.select("token", "doc_id", "n", "ell", "length", "most", "component"), "prefixes")
     of_token = rows.groupBy("token", "component").agg(F.count("*").alias("m")).groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("m", "component")).alias("main"))
     mixed = rows.join(of_token.where("kinds > 1").select("token", "main"), "token")
     some = mixed.where("component != main").drop("main")
-    names = ["doc_id", "n", "ell", "length", "component"]
+    names = ["doc_id", "n", "ell", "length", "most", "component"]
     x, y = mixed.select("token", "main", *[F.col(c).alias(f"{c}_x") for c in names]), some.select("token", *[F.col(c).alias(f"{c}_y") for c in names])
     met = x.join(y, "token").where("component_x != component_y and (component_x = main or doc_id_x < doc_id_y)").where(_sizes("n_x", "n_y"))
+    met = met.where(F.least("most_x", "most_y") >= _needed(F.col("n_x") + F.col("n_y")))
     least, most = F.least("doc_id_x", "doc_id_y"), F.greatest("doc_id_x", "doc_id_y")
     first = F.col("doc_id_x") < F.col("doc_id_y")
     pairs = met.groupBy(least.alias("a"), most.alias("b")).agg(
@@ -232,8 +258,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.first(F.when(first, F.col("n_y") - F.col("length_y")).otherwise(F.col("n_x") - F.col("length_x"))).alias("rest_b"),
         F.first(F.col("n_x") + F.col("n_y")).alias("both"))
     # Shared tokens outside both prefixes are at most the shorter rest; those in one prefix only lie in the other's rest.
-    needed = F.ceil(F.col("both") * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    pairs = pairs.where((F.col("m") >= F.col("ell")) & (F.col("m") + F.greatest("rest_a", "rest_b") >= needed))
+    pairs = pairs.where((F.col("m") >= F.col("ell")) & (F.col("m") + F.greatest("rest_a", "rest_b") >= _needed(F.col("both"))))
     far = verified(pairs.select("a", "b"), blobs).select("a", "b")
     return members, components(near.unionByName(far))
 
@@ -258,3 +283,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return classed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS h FROM w),
+n AS (SELECT w.doc_id, count(s.h) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 80 * (na.n + nb.n - x)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS component_id FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -20,5 +20,6 @@ QUERIES = {
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op5_warc": warc.SQL,
+    "op8_ngram_jaccard": jaccard.SQL,
     "op9_chat_format": chat.SQL,
 }
