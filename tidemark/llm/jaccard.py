@@ -6,7 +6,8 @@ their hash. If two sets overlap as the threshold asks, their first n - ceil(0.8
 Each document lengthens its prefix, that is, chooses l, where this costs least: frequent tokens that it can't
 avoid bring many candidates, and a candidate of a pair must share the lesser l of the two before it is verified.
 
-First each document is verified against the one leader it shares most prefix tokens with, which joins large
+First each document is verified against the one leader it shares most prefix tokens with (of the documents of a
+token the one that can share most of itself), which joins large
 groups of near copies without their pairs. Then all pairs of documents of different components that share
 enough tokens are verified, so no link between components is lost. A document whose prefix holds too many
 tokens that no other prefix has can't reach the threshold and is left out before. Verification compares whole sets.
@@ -229,14 +230,15 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "doc_id", "n", "ell", "length", F.inline(F.arrays_zip("tokens", "parts"))).withColumnsRenamed({"tokens": "token", "parts": "part"})
     group = W.partitionBy("token", "part")
     rows = tokens.withColumn("copies", F.count("*").over(group)).where("copies > 1 or part > 0")
-    rows = rows.withColumn("leader", F.min(F.struct("doc_id", "n")).over(group))
-    rows = staged(rows.select("token", "doc_id", "n", "ell", "length", F.col("leader.doc_id").alias("leader"), F.col("leader.n").alias("leader_n")), "prefixes")
-
+    rows = staged(rows.select("token", "doc_id", "n", "ell", "length"), "prefixes")
     rows = staged(shareable(rows), "prefixes")
 
     blobs = staged(compressed(docs).join(rows.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    stars = rows.where(F.col("doc_id") != F.col("leader")).where(_sizes("n", "leader_n")).groupBy("doc_id", "leader").agg(F.count("*").alias("m")).where(F.col("m") >= LEADER_MATCHES)
+    # A token's leader is the document that can share most of itself: of near copies the one with fewest edits.
+    lead = F.max_by(F.struct(F.col("doc_id").alias("leader"), F.col("n").alias("leader_n")), F.struct(F.col("most") / F.col("n"), -F.col("doc_id")))
+    leaders = rows.groupBy("token").agg(lead.alias("x")).select("token", "x.*")
+    stars = rows.join(leaders, "token").where(F.col("doc_id") != F.col("leader")).where(_sizes("n", "leader_n")).groupBy("doc_id", "leader").agg(F.count("*").alias("m")).where(F.col("m") >= LEADER_MATCHES)
     stars = stars.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("leader", F.struct("m", -F.col("leader"))).alias("a"))
     near = staged(verified(stars.select("a", "b"), blobs).select("a", "b"), "links")
     known = components(near)
