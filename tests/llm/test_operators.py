@@ -297,6 +297,18 @@ def test_jaccard(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked_by_definition(docs) and len(got) == len(docs)
 
 
+def test_jaccard_tokens_of_one_prefix_in_the_other_rest(spark):
+    docs = []
+    for g in range(6):  # x's prefix is long and holds the passage's frequent tokens, which lie in y's rest
+        passage = " ".join(f"g{g}p{k}" for k in range(15))
+        docs += [(g * 100 + k, " ".join([passage, *(f"g{g}k{k}o{i}" for i in range(4))])) for k in range(8)]
+        docs += [(g * 100 + 50, f"{passage} w1g{g}"), (g * 100 + 51, f"{passage} w1g{g} w2g{g} w3g{g} w4g{g}")]
+    want = linked_by_definition(docs)
+    assert all(want[g * 100 + 51][1] == g * 100 + 50 for g in range(6))
+    got = jaccard.classed(spark.createDataFrame(docs, DOC).repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_jaccard_odd_rows(spark):
     df = spark.createDataFrame([(5, "a b c d e f", 1), (5, "a b c d e f", 2), (None, "a b c d e f", 3), (2, "a b c d e f", 4)], "doc_id long, text string, rep int")
     assert sorted(((r.doc_id or 0), r.component_id) for r in jaccard.classed(df).where("doc_id is not null").collect()) == [(2, 2), (5, 2), (5, 2)]

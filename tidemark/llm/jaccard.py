@@ -9,8 +9,9 @@ avoid bring many candidates, and a candidate of a pair must share the lesser l o
 First each document is verified against the one leader it shares most prefix tokens with (of the documents of a
 token the one that can share most of itself), which joins large
 groups of near copies without their pairs. Then all pairs of documents of different components that share
-enough tokens are verified, so no link between components is lost. A document whose prefix holds too many
-tokens that no other prefix has can't reach the threshold and is left out before. Verification compares whole sets.
+enough tokens are verified, so no link between components is lost. Of two prefixes one ends first in the order of
+tokens. What the two share up to there lies in both prefixes, and what they share behind it in the rest of that
+document; a pair for which this is too little is left out. Verification compares whole sets.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; rows that
 share a doc_id are rows of one document and share its component; rows with a null doc_id get no component
@@ -35,6 +36,8 @@ EXTENSIONS = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Frequent tokens are counted in prefixes so many times as long, as the prefix moves on past those it skips.
 COUNTED = 2
 VERIFY_COST = 16
+#: Counts from which `last` no longer tells tokens apart.
+MAX_ORDERED = (1 << 24) - 1
 #: Documents of a frequent token that one group holds in the first round; more are dealt into several.
 GROUP = 2_000
 #: Shared tokens from which a leader is worth verifying in the first round.
@@ -90,7 +93,10 @@ def frequent_tokens(docs: DataFrame):
 
 
 def prefixes_of(docs: DataFrame, frequent) -> DataFrame:
-    """doc_id, n, ell, and the prefix as tokens with their parts (groups into which a very frequent token is dealt)."""
+    """doc_id, n, ell, and the prefix as tokens with their parts (groups into which a very frequent token is dealt).
+
+    last is where the prefix ends in the order of tokens, in one number; equal numbers can be different places.
+    """
     python_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MAX_FREQUENT entries
 
@@ -127,18 +133,23 @@ def prefixes_of(docs: DataFrame, frequent) -> DataFrame:
             length = np.minimum(keep + ell, counts)
             rank = np.arange(len(h)) - np.repeat(first[:-1], counts)
             within = rank < np.repeat(length, counts)
+            end = np.zeros(len(counts), np.int64)
+            some = counts > 0
+            at = (first[:-1] + length - 1)[some]
+            far = often[at] >= MAX_ORDERED
+            end[some] = np.minimum(often[at], MAX_ORDERED) << 39 | np.where(far, 0, (h[at] >> np.uint64(25)).astype(np.int64))
             ids = np.asarray(batch.column(0).fill_null(0))
             parts = (often[within] // GROUP + 1).astype(np.int64)
             part = (ids[doc[within]] * 2654435761 % 1000003 % parts).astype(np.int32)
             part = np.where(parts > 1, part + 1, 0).astype(np.int32)
             offsets = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int32()), pa.array(ell, pa.int32()), pa.array(length, pa.int32()),
+                [batch.column(0), pa.array(counts, pa.int32()), pa.array(ell, pa.int32()), pa.array(length, pa.int32()), pa.array(end),
                  pa.ListArray.from_arrays(offsets, pa.array(h[within].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(part))],
-                names=["doc_id", "n", "ell", "length", "tokens", "parts"])
+                names=["doc_id", "n", "ell", "length", "last", "tokens", "parts"])
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null")
-    return rows.mapInArrow(work, "doc_id long, n int, ell int, length int, tokens array<long>, parts array<int>")
+    return rows.mapInArrow(work, "doc_id long, n int, ell int, length int, last long, tokens array<long>, parts array<int>")
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -191,19 +202,14 @@ def verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     return counted.where((F.col("total") > 0) & (DENOMINATOR * F.col("shared") >= NUMERATOR * F.col("total")))
 
 
-def shareable(rows: DataFrame) -> DataFrame:
-    """Without documents that can't link, and with the most that a document can share (most).
+def reaching(rows: DataFrame) -> DataFrame:
+    """With the most that a document shares with one whose prefix ends no earlier: its prefix tokens that another prefix has, and its rest."""
+    return rows.join(rows.groupBy("doc_id").agg((F.count("*") + F.max(F.col("n") - F.col("length"))).alias("most")), "doc_id")
 
-    What a document shares with any other is at most its prefix tokens that another prefix has, and its rest.
-    A document whose most is too small for its own size goes, and with it tokens that then stand alone.
-    """
-    for again in (True, False):
-        most = rows.groupBy("doc_id").agg((F.count("*") + F.max(F.col("n") - F.col("length"))).alias("most"))
-        rows = rows.drop("most").join(most, "doc_id").where(DENOMINATOR * F.col("most") >= NUMERATOR * F.col("n"))
-        if again:
-            alone = rows.groupBy("token").agg(F.count("*").alias("copies")).where("copies > 1").select("token")
-            rows = rows.join(alone, "token", "left_semi")
-    return rows
+
+def _of_first(x: str, y: str):
+    """What the document of a pair has whose prefix ends first; the greater, where this can't be told."""
+    return F.when(F.col("last_x") < F.col("last_y"), x).when(F.col("last_x") > F.col("last_y"), y).otherwise(F.greatest(x, y))
 
 
 def _needed(both):
@@ -227,11 +233,11 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     prefixes = prefixes_of(docs, frequent_tokens(docs)).join(reps.hint("shuffle_hash"), "doc_id", "left_semi")
     tokens = prefixes.select(
-        "doc_id", "n", "ell", "length", F.inline(F.arrays_zip("tokens", "parts"))).withColumnsRenamed({"tokens": "token", "parts": "part"})
+        "doc_id", "n", "ell", "length", "last", F.inline(F.arrays_zip("tokens", "parts"))).withColumnsRenamed({"tokens": "token", "parts": "part"})
     group = W.partitionBy("token", "part")
     rows = tokens.withColumn("copies", F.count("*").over(group)).where("copies > 1 or part > 0")
-    rows = staged(rows.select("token", "doc_id", "n", "ell", "length"), "prefixes")
-    rows = staged(shareable(rows), "prefixes")
+    rows = staged(rows.select("token", "doc_id", "n", "ell", "length", "last"), "prefixes")
+    rows = staged(reaching(rows), "prefixes")
 
     blobs = staged(compressed(docs).join(rows.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
@@ -244,23 +250,19 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = components(near)
 
     rows = rows.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = staged(rows.select("token", "doc_id", "n", "ell", "length", "most", "component"), "prefixes")
+    rows = staged(rows.select("token", "doc_id", "n", "ell", F.expr("n - length").alias("rest"), "last", "most", "component"), "prefixes")
     of_token = rows.groupBy("token", "component").agg(F.count("*").alias("m")).groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("m", "component")).alias("main"))
     mixed = rows.join(of_token.where("kinds > 1").select("token", "main"), "token")
     some = mixed.where("component != main").drop("main")
-    names = ["doc_id", "n", "ell", "length", "most", "component"]
+    names = ["doc_id", "n", "ell", "rest", "last", "most", "component"]
     x, y = mixed.select("token", "main", *[F.col(c).alias(f"{c}_x") for c in names]), some.select("token", *[F.col(c).alias(f"{c}_y") for c in names])
     met = x.join(y, "token").where("component_x != component_y and (component_x = main or doc_id_x < doc_id_y)").where(_sizes("n_x", "n_y"))
-    met = met.where(F.least("most_x", "most_y") >= _needed(F.col("n_x") + F.col("n_y")))
+    met = met.where(_of_first(F.col("most_x"), F.col("most_y")) >= _needed(F.col("n_x") + F.col("n_y")))
     least, most = F.least("doc_id_x", "doc_id_y"), F.greatest("doc_id_x", "doc_id_y")
-    first = F.col("doc_id_x") < F.col("doc_id_y")
     pairs = met.groupBy(least.alias("a"), most.alias("b")).agg(
         F.count("*").alias("m"), F.first(F.least("ell_x", "ell_y")).alias("ell"),
-        F.first(F.when(first, F.col("n_x") - F.col("length_x")).otherwise(F.col("n_y") - F.col("length_y"))).alias("rest_a"),
-        F.first(F.when(first, F.col("n_y") - F.col("length_y")).otherwise(F.col("n_x") - F.col("length_x"))).alias("rest_b"),
-        F.first(F.col("n_x") + F.col("n_y")).alias("both"))
-    # Shared tokens outside both prefixes are at most the shorter rest; those in one prefix only lie in the other's rest.
-    pairs = pairs.where((F.col("m") >= F.col("ell")) & (F.col("m") + F.greatest("rest_a", "rest_b") >= _needed(F.col("both"))))
+        F.first(_of_first(F.col("rest_x"), F.col("rest_y"))).alias("rest"), F.first(F.col("n_x") + F.col("n_y")).alias("both"))
+    pairs = pairs.where((F.col("m") >= F.col("ell")) & (F.col("m") + F.col("rest") >= _needed(F.col("both"))))
     far = verified(pairs.select("a", "b"), blobs).select("a", "b")
     return members, components(near.unionByName(far))
 
