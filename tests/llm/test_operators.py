@@ -140,6 +140,27 @@ def test_near_masks_cover_the_radius():
     assert len(decontaminate.near_masks(9)) == 1 + 9 + 36
 
 
+def test_decontamination_between_alignments(spark):
+    item = [f"w{k}" for k in range(59)]
+    docs = [(1, ["X", *item[1:29], "A", "B", *item[29:58], "Y"]), (2, ["p"] * 7 + ["X", *item[1:29], "A", "B", *item[29:58], "Y", "q", "r"]), (2, item[:30] + ["z"] * 40)]
+    docs += [(3, ["X", *item[1:20], "A", "B", "C", *item[20:56], "Y", "Y", "Y"]), (4, item[30:] + item[:30])]
+    rows = decontaminate.contaminated(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], DOC), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+
+    def best(words):
+        grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1)))
+        own, found = grams(item), []
+        for s in range(max(len(words) - 59, 0) + 1):
+            held = grams(words[s : s + 59])
+            found.append((round(sum((held & own).values()) / sum((held | own).values()), 6), -s))
+        return max(found)
+
+    want = {}
+    for i, w in docs:
+        want[i] = max(want.get(i, (0, 0)), best(w))
+    assert {r.doc_id: (r.similarity, -r.start_word) for r in rows} == {i: x for i, x in want.items() if x[0] >= 0.8}
+    assert want[1] == (round(49 / 61, 6), -1) and want[2] == (round(49 / 61, 6), -8)
+
+
 # 4
 def test_main_text(spark):
     page = lambda n, body: (n, f"http://h.example/a/{n}", f"<body><p>Top of the site</p><p>{body}</p><p>Bottom</p></body>")

@@ -2,8 +2,10 @@
 
 Texts are lower-cased and cut into words at x20 and x09-x0D; a shingle is five words (all words, if fewer). A
 window has as many words as a benchmark item, so each item is compared with windows of its own size. Windows
-are laid where a document shares a shingle with the item, so that the two align; a window that shares none
-can't reach the threshold. A window's SimHash (64 bits, each occurrence of a shingle counts) is looked up in an
+are laid where a document shares a shingle with the item, so that the two align, and at every start between two
+such places next to each other, unless they are too far apart for one window to hold what it needs of both. At a
+start before or behind all alignments of what it shares, a window holds no more than at the nearest one; a window
+that shares no shingle can't reach the threshold. A window's SimHash (64 bits, each occurrence of a shingle counts) is looked up in an
 index of the items' fingerprints: 64 bits in BLOCKS blocks, where of two fingerprints within RADIUS some block
 differs in at most RADIUS // BLOCKS bits, so the index holds every block value within that distance. All items
 within RADIUS are found. They are verified by the exact weighted similarity: with shingles weighted by their
@@ -23,6 +25,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.llm.common import packed, table, unpacked
 
@@ -79,19 +82,32 @@ def hamming_index(items: DataFrame) -> DataFrame:
     return items.select("*", F.inline(blocks)).select("size", "block", F.explode("values").alias("value"), "item_id", "fingerprint", "shingles")
 
 
+def reach(size: Column) -> Column:
+    """How far apart two neighbouring alignments of an item are at most that one window between them needs.
+
+    With n shingles, of which a window shares n * 2 * 0.8 / 1.8 at least: those aligned e before its start lie behind
+    the item's first e, those aligned f behind it before the last f, so they are 2 * n - e - f at most.
+    """
+    return F.floor(2 * DENOMINATOR * F.greatest(size - WIDTH + 1, F.lit(1)) / (NUMERATOR + DENOMINATOR)).cast("int")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, n_words, hamming, similarity: the best window of each document and item."""
     words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = words.select("item_id", F.size("words").alias("size"), shingles_of(F.col("words")).alias("shingles"))
-    offsets = items.select(F.col("size").alias("size"), F.posexplode("shingles").alias("offset", "shingle")).distinct()
+    offsets = items.select("size", F.xxhash64("shingles").alias("kind"), F.posexplode("shingles").alias("offset", "shingle")).distinct()
     if (words.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_WORDS:
         offsets = F.broadcast(offsets)
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
-    rows = texts.select("doc_id", "words", F.explode(places(F.col("words"))).alias("at"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("whole"), words_of(F.col("text")).alias("words"))
+    rows = texts.select("doc_id", "whole", "words", F.explode(places(F.col("words"))).alias("at"))
     met = rows.withColumn("shingle", shingle_at(F.col("words"), F.col("at"))).join(offsets, "shingle")
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("words") - F.col("size")))
-    windows = met.select("doc_id", "size", start.alias("start"), F.slice("words", start + 1, F.col("size")).alias("window")).distinct()
+    aligned = met.select("doc_id", "whole", "kind", "size", start.alias("first"), F.slice("words", start + 1, F.col("size") + reach(F.col("size"))).alias("near")).distinct()
+    after = F.lead("first").over(W.partitionBy("doc_id", "whole", "kind").orderBy("first"))
+    laid = aligned.withColumn("after", after).withColumn("last", F.when(F.col("after") - F.col("first") <= reach(F.col("size")), F.col("after") - 1).otherwise(F.col("first")))
+    starts = laid.select("doc_id", "size", "first", "near", F.explode(F.sequence("first", "last")).alias("start"))
+    windows = starts.select("doc_id", "size", "start", F.slice("near", F.col("start") - F.col("first") + 1, F.col("size")).alias("window")).distinct()
     windows = windows.select("doc_id", "size", "start", F.size("window").alias("n_words"), shingles_of(F.col("window")).alias("held"))
     prints = windows.select("*", simhash(F.col("held")).alias("print"))
 
