@@ -20,6 +20,10 @@ def monthly(spark, sf_dir: str) -> DataFrame:
     return lots.groupBy("species", (F.year("trade_date") * 12 + F.month("trade_date")).alias("mth")).agg(F.avg("price_avg").alias("p"))
 
 
+def daily(spark, sf_dir: str) -> DataFrame:
+    return star_lots(spark, sf_dir).groupBy("species", "trade_date").agg(F.avg("price_avg").alias("p"))
+
+
 def page_round_trip(spark, sf_dir: str) -> DataFrame:
     """Lots of one species written as pages and parsed back."""
     lots = star_lots(spark, sf_dir).where("species = 'Brand#1'")
@@ -56,6 +60,11 @@ def indicators(spark, sf_dir: str) -> DataFrame:
     return out.select("species", "mth", *[F.round(c, 4).alias(c) for c in ("ema7", "ema30", "macd", "signal", "rsi14")])
 
 
+def daily_indicators(spark, sf_dir: str) -> DataFrame:
+    out = recursive.indicators(daily(spark, sf_dir), order="trade_date")
+    return out.select("species", "trade_date", *[F.round(c, 4).alias(c) for c in ("ema7", "ema30", "macd", "signal", "rsi14")])
+
+
 def boosted_trees(spark, sf_dir: str) -> DataFrame:
     """Importance of lags, trailing windows and calendar for the price seven days ahead, and the error on the last fifth."""
     from pyspark.ml.feature import VectorAssembler
@@ -97,10 +106,11 @@ QUERIES = {
     "prj_configs": domestic_daily,
     "ts_holidays": holiday_distance,
     "ts_indicators": indicators,
+    "ts_indicators_daily": daily_indicators,
     "src_calendar": lambda spark, sf_dir: side_tables.dates(spark, "2004-01-02", "2004-03-15"),
-    "ml_forecasts": lambda spark, sf_dir: recursive.forecasts(monthly(spark, sf_dir), order="mth"),
+    "ml_forecasts": lambda spark, sf_dir: recursive.forecasts(daily(spark, sf_dir), order="trade_date"),
     "ml_boosted_trees": boosted_trees,
-    "ml_decomposition": lambda spark, sf_dir: recursive.decomposed(monthly(spark, sf_dir), order="mth"),
+    "ml_decomposition": lambda spark, sf_dir: recursive.decomposed(daily(spark, sf_dir), order="trade_date"),
     "str_tumbling": streams.on_events(streams.tumbling),
     "str_sliding": streams.on_events(streams.sliding),
     "str_sessions": streams.on_events(streams.sessions),
