@@ -211,29 +211,62 @@ def test_warc_digest_is_checked():
 
 
 # 6
-def test_stupid_backoff(spark):
-    docs = docs_of(100) + [(900, None), (901, ""), (902, "solo")]
-    uni, bi, own = Counter(), Counter(), {}
-    for i, text in docs:
-        w = (text or "").split()
-        uni.update(w)
-        own[i] = Counter(zip([None, *w], w))
-        bi.update(own[i])
-    total = sum(uni.values())
-    got = {r.doc_id: r for r in stupid_backoff.scored(spark.createDataFrame(docs, DOC)).collect()}
-    assert set(got) == set(own)
-    for i, counts in own.items():
-        score = 0.0
-        for (v, w), c in counts.items():
-            others = bi[v, w] - c
-            before = max((total if v is None else uni[v]) - c, others)
-            score += c * (math.log(others) - math.log(max(before, 1)) if others else math.log(0.4) + math.log(uni[w]) - math.log(total))
-        assert got[i].n_words == sum(counts.values())
-        assert (got[i].score is None) if not counts else abs(got[i].score - score) < 1e-3
-    assert stupid_backoff.scored(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], DOC)).count() == 2
+def backoff_by_definition(docs):
+    """Scores from the definition, with None as the start mark; documents that share an id are added up."""
+    grams = [(i, (text or "").split()) for i, text in docs]
+    count, total = Counter(), sum(len(w) for _, w in grams)
+
+    def of(w):
+        w = [None, *w]
+        return Counter(tuple(w[k - n + 1 : k + 1]) for n in (1, 2, 3) for k in range(n - 1, len(w)) if len(w) > 1)
+
+    for _, w in grams:
+        count.update(of(w))
+    out = defaultdict(lambda: [0, 0.0])
+    for i, w in grams:
+        own, padded = of(w), [None, *w]
+        left = lambda *g: count[g] - own[g]  # noqa: B023, E731
+        for k in range(1, len(padded)):
+            c, b = padded[k], padded[k - 1]
+            score = 0.0
+            if k > 1:
+                a = padded[k - 2]
+                if left(a, b, c):
+                    out[i][1] += math.log(left(a, b, c)) - math.log(max(left(a, b), left(a, b, c)))
+                    continue
+                score = math.log(0.4)
+            if left(b, c):
+                score += math.log(left(b, c)) - math.log(max(left(b), left(b, c)))
+            else:
+                score += math.log(0.4) + math.log(max(left(c), 1)) - math.log(max(total - len(w), 1))
+            out[i][1] += score
+        out[i][0] += len(w)
+    return out
+
+
+@pytest.mark.parametrize("words", [1_000_000, 3_000])
+def test_stupid_backoff(spark, monkeypatch, words):
+    monkeypatch.setattr(stupid_backoff, "PACK_WORDS", words)
+    docs = docs_of(100) + [(900, None), (901, ""), (902, "solo"), (903, "of the"), (903, "of the end"), (904, "x " * 4000), (None, "the end")]
+    frame = spark.createDataFrame(docs, DOC).withColumn("score", F.lit("extra"))
+    got = {r.doc_id: r for r in stupid_backoff.scored(frame.repartition(3)).collect()}
+    want = backoff_by_definition(docs)
+    assert set(got) == set(want)
+    for i, (n, score) in want.items():
+        assert got[i].n_words == n and ((got[i].score is None) if not n else abs(got[i].score - score) < 1e-3)
     assert stupid_backoff.scored(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_stupid_backoff_needs_its_counts(spark, monkeypatch):
+    docs = docs_of(60)
+    score = lambda: {r.doc_id: r.score for r in stupid_backoff.scored(spark.createDataFrame(docs, DOC).repartition(3)).collect()}
+    monkeypatch.setattr(stupid_backoff, "PACK_WORDS", 2_000)
+    whole = score()
+    looked_up = stupid_backoff.looked_up
+    monkeypatch.setattr(stupid_backoff, "looked_up", lambda g: looked_up(g).where("false"))
+    assert score() != whole
+
+
 # 7
 @pytest.fixture(scope="module")
 def coders():

@@ -1,12 +1,16 @@
-"""Stupid-backoff scores of all documents, from n-gram counts of the whole corpus.
+"""Stupid-backoff scores of all documents (orders 1 to 3), from n-gram count tables of the whole corpus.
 
-Words are runs of bytes between white space, with their case. The vocabulary holds the words whose count is at
-least the least count that leaves no more than MAX_VOCABULARY of them (their table is broadcast: its size is
-bounded); all other words count as one, the unknown word. Each document's bigrams (the first word follows a
-start mark) are shuffled once, packed, to shards by the hash of the bigram. The owner of a shard sums the counts
-of its bigrams over all documents and joins them to each document's own: with the document's own occurrences
-left out of the counts, a bigram that others have scores log(C(vw) / C(v)), one that none has ALPHA times the
-share of w. Scores are summed per document. Bigrams are the order that fits the disk budget (see the README).
+Words are runs of bytes between white space, with their case; a start mark stands before each document. No word
+and no n-gram is left out: all are known by 64-bit hashes. Documents are gathered into packs of some PACK_WORDS
+words. The exploded n-grams of a pack (a row for each different one: pack, gram, n) are shuffled by the n-gram's
+hash; there they are summed into the count table (gram, total) and joined to it, and a pack gets the totals of
+those n-grams that others have too. Trigrams follow in a second pass, and only those whose two bigrams other
+documents have: no other trigram can occur again. Scores are summed per document.
+
+A document's own occurrences are left out of all counts when it is scored, otherwise nothing would ever back off.
+With C' for what is left, the word c after a, b scores log(C'(abc) / C'(ab)) if C'(abc) is positive, else
+log(ALPHA) + log(C'(bc) / C'(b)) if C'(bc) is, else 2 log(ALPHA) + log(max(C'(c), 1) / words of the others). The
+first word of a document starts at the bigram with the start mark, whose count is the number of documents.
 
 Defined cases: a null or empty text has no words, n_words 0 and a null score; rows that share a doc_id are added
 up; a null doc_id is a document of its own; an empty table gives no rows; extra columns are ignored.
@@ -20,201 +24,194 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import partitions, python_batches, staged, table
 
 ALPHA = 0.4
-BITS = 20
-MAX_VOCABULARY = (1 << BITS) - 2
-UNKNOWN, START = MAX_VOCABULARY, MAX_VOCABULARY + 1
-#: Words that a worker packs at a time, and shards for each shuffle partition.
+#: Words of a pack; a document is never cut, so a longer one is a pack by itself.
 PACK_WORDS = 1_000_000
-SHARDS_PER_PARTITION = 2
+NO_ID = -(2**63)
+_START = 0x2545F4914F6CDD1D
+_STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+GRAMS = "pack long, gram long, n int"
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash) and n, summed in the worker before the shuffle."""
+def packs_of(docs: DataFrame) -> DataFrame:
+    """pack, ids and sizes (bytes) of its documents, n_words, and their texts in one compressed blob."""
 
     def work(batches):
-        import numpy as np
         import pyarrow as pa
+        import zstandard
+        from pyspark import TaskContext
 
-        from tidemark.llm.shingles import word_hashes
-
-        held, size = [], 0
+        press = zstandard.ZstdCompressor(level=3).compress
+        ids, texts, words, number = [], [], 0, TaskContext.get().partitionId() << 32
 
         def out():
-            words, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+            row = [number], [ids], [[len(x) for x in texts]], [words], [press(b"".join(texts))]
+            types = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.large_binary()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=["pack", "ids", "sizes", "n_words", "blob"])
 
         for batch in batches:
-            held.append(word_hashes([(x.as_py() or "").encode() for x in batch.column(0)], cased=True)[0])
-            size += len(held[-1])
-            if size >= PACK_WORDS:
-                yield out()
-                held, size = [], 0
-        if size:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                texts.append((text.as_py() or "").encode())
+                words += len(texts[-1].split())
+                if words >= PACK_WORDS:
+                    yield out()
+                    ids, texts, words, number = [], [], 0, number + 1
+        if ids:
             yield out()
 
-    return docs.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    return rows.mapInArrow(work, "pack long, ids array<long>, sizes array<long>, n_words long, blob binary")
 
 
-def vocabulary(counts: DataFrame):
-    """Sorted word hashes, their counts, and the counts by word number with those of the unknown and the start word."""
-    import numpy as np
-
-    # The histogram has a row for each different count: with n words in all, at most sqrt(2 n).
-    sizes = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
-    least, kept = 1, 0
-    for n, words in sizes:
-        if kept + words > MAX_VOCABULARY:
-            least = n + 1
-            break
-        kept += words
-    total = sum(n * words for n, words in sizes)
-    rows = counts.where(F.col("n") >= least).toArrow()  # at most MAX_VOCABULARY rows
-    words, n = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(words)
-    words, n = words[order], n[order]
-    known = np.zeros(1 << BITS, np.int64)
-    known[: len(n)] = n
-    known[UNKNOWN] = total - n.sum()
-    return words, known, total
-
-
-def packed_bigrams(docs: DataFrame, words, shards: int) -> DataFrame:
-    """shard, pack and blob: of the documents of a pack the bigrams of one shard, with the documents' own counts.
-
-    The pack's document ids come once, with shard 0.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # at most MAX_VOCABULARY words
+class Pack:
+    """The words of a pack: hashes of the n-grams that end at each word, and the document of each word."""
 
-    def work(batches):
+    def __init__(self, sizes, blob: bytes):
         import numpy as np
-        import pyarrow as pa
         import zstandard
-        from pyspark import TaskContext
 
         from tidemark.llm.shingles import mixed, word_hashes
 
-        pack, known = zstandard.ZstdCompressor(level=1).compress, shared.value
-        ids, grams, sizes, size, number = [], [], [], 0, TaskContext.get().partitionId() << 32
+        data, texts, at = zstandard.ZstdDecompressor().decompress(blob), [], 0
+        for n in sizes:
+            texts.append(data[at : at + n])
+            at += n
+        c, self.counts = word_hashes(texts, cased=True)
+        first = (np.cumsum(self.counts) - self.counts)[self.counts > 0]
+        self.first = np.zeros(len(c), bool)
+        self.first[first] = True
+        b = np.roll(c, 1)
+        b[first] = np.uint64(_START)
+        self.before, self.word = b, c
+        self.pair = mixed(b * np.uint64(_STEPS[0]) + c)
+        self.pair_before = np.roll(self.pair, 1)
+        self.triple = mixed(self.pair_before * np.uint64(_STEPS[1]) + c)
+        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.has_words = int((self.counts > 0).sum())
+
+    def own(self, grams):
+        """How often each position's n-gram occurs in its own document."""
+        import numpy as np
 
-        def out():
-            own, gram, n = np.concatenate(ids), np.concatenate(grams), np.concatenate(sizes)
-            doc = np.repeat(np.arange(len(own)), n)
-            order = np.lexsort((gram, doc))
-            doc, gram = doc[order], gram[order]
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(gram)))
-            doc, gram = doc[at], gram[at]
-            shard = (mixed(gram) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            doc, gram, times, shard = doc[order], gram[order], times[order], shard[order]
-            edges = np.searchsorted(shard, np.arange(shards + 1))
-            rows: list[tuple] = []
-            for s in range(shards):
-                a, b = edges[s], edges[s + 1]
-                members, per = np.unique(doc[a:b], return_counts=True)
-                if len(members) or s == 0:
-                    five = np.ascontiguousarray(gram[a:b]).view(np.uint8).reshape(-1, 8)[:, :5]
-                    parts = [np.array([len(members), b - a], np.int64), members.astype(np.int32), per.astype(np.int32), times[a:b].astype(np.int32), np.ascontiguousarray(five)]
-                    rows.append((s, number, pack(b"".join(x.tobytes() for x in parts)), pack(own.tobytes()) if s == 0 else None))
-            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "pack", "blob", "ids"])
+        from tidemark.llm.shingles import mixed
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, n = word_hashes([(x.as_py() or "").encode() for x in batch.column(1)], cased=True)
-            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            w = np.where(known[at] == h, at, UNKNOWN).astype(np.uint64) if len(known) else np.full(len(h), UNKNOWN, np.uint64)
-            v = np.concatenate([w[:0], w[-1:], w[:-1]])
-            v[(np.cumsum(n) - n)[n > 0]] = START
-            ids.append(batch.column(0).to_numpy())
-            grams.append(v << np.uint64(BITS) | w)
-            sizes.append(n)
-            size += len(w)
-            if size >= PACK_WORDS:
-                yield out()
-                ids, grams, sizes, size, number = [], [], [], 0, number + 1
-        if ids:
-            yield out()
+        _, where, n = np.unique(mixed(grams + self.doc.astype(np.uint64) * np.uint64(_STEPS[1])), return_inverse=True, return_counts=True)
+        return n[where]
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
-    return rows.mapInArrow(work, "shard int, pack long, blob binary, ids binary")
 
+class Totals:
+    """Totals of the n-grams of a pack: those of the count table, and the pack's own count where no other pack has the n-gram."""
 
-def shard_scores(packs: DataFrame, known, total: int) -> DataFrame:
-    """pack, ids, and for each shard of a pack its documents' numbers, words and scores (part): a row for each pack and shard."""
-    shared = packs.sparkSession.sparkContext.broadcast(known)  # 2 ** BITS counts
+    def __init__(self, found):
+        import numpy as np
 
-    def work(packed):
+        gram, total = found.column("gram").to_numpy().view(np.uint64), found.column("total").to_numpy()
+        order = np.argsort(gram)
+        self.gram, self.total = gram[order], total[order]
+
+    def of(self, grams):
         import numpy as np
+
+        own, where, n = np.unique(grams, return_inverse=True, return_counts=True)
+        if len(self.gram):
+            at = np.minimum(np.searchsorted(self.gram, own), len(self.gram) - 1)
+            n = np.where(self.gram[at] == own, self.total[at], n)
+        return n[where]
+
+
+def _rows(pack, grams, extra=()):
+    import numpy as np
+    import pyarrow as pa
+
+    gram, n = np.unique(np.concatenate(grams), return_counts=True)
+    for key, times in extra:
+        gram, n = np.append(gram, np.uint64(key)), np.append(n, times)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), pack)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int32))], names=["pack", "gram", "n"])
+
+
+def words_and_pairs(packs: DataFrame) -> DataFrame:
+    """The different words and bigrams of each pack, and its start mark, with their counts."""
+
+    def work(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                p = Pack(row["sizes"], row["blob"])
+                if len(p.word):
+                    yield _rows(row["pack"], [p.word, p.pair], [(_START, p.has_words)])
+
+    return packs.select("pack", "sizes", "blob").mapInArrow(work, GRAMS)
+
+
+def triples(packs: DataFrame, found: DataFrame) -> DataFrame:
+    """The different trigrams of each pack whose two bigrams other documents have, with their counts."""
+
+    def work(left, right):
         import pyarrow as pa
-        import zstandard
 
-        unpack, pack, single = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress, shared.value
-        members, per, times, grams = [], [], [], []
-        for blob in packed.column("blob"):
-            data = unpack(blob.as_py())
-            docs, n = np.frombuffer(data, np.int64, 2)
-            members.append(np.frombuffer(data, np.int32, docs, 16))
-            per.append(np.frombuffer(data, np.int32, docs, 16 + 4 * docs))
-            times.append(np.frombuffer(data, np.int32, n, 16 + 8 * docs))
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(data, np.uint8, 5 * n, 16 + 8 * docs + 4 * n).reshape(n, 5)
-            grams.append(wide.view(np.uint64).ravel())
-        all_times, grams = np.concatenate(times).astype(np.int64), np.concatenate(grams)
-        _, where = np.unique(grams, return_inverse=True)
-        others = np.bincount(where, all_times).astype(np.int64)[where] - all_times
-        v, w = (grams >> np.uint64(BITS)).astype(np.int64), (grams & np.uint64((1 << BITS) - 1)).astype(np.int64)
-        single = single.copy()
-        single[START] = total  # a start mark stands before each document; its count is at most the words
-        before = np.maximum(single[v] - all_times, others)
-        score = np.where(others > 0, np.log(np.maximum(others, 1)) - np.log(np.maximum(before, 1)), np.log(ALPHA) + np.log(np.maximum(single[w], 1)) - np.log(max(total, 1)))
-        score *= all_times
-        parts, at = [], 0
-        for m, p, t in zip(members, per, times, strict=True):
-            doc = np.repeat(np.arange(len(m)), p)
-            sums = np.bincount(doc, score[at : at + len(t)], minlength=len(m))
-            words = np.bincount(doc, t, minlength=len(m)).astype(np.int32)
-            parts.append(pack(m.tobytes() + words.tobytes() + sums.tobytes()))
-            at += len(t)
-        return pa.table({"pack": packed.column("pack"), "ids": packed.column("ids"), "part": pa.array(parts, pa.binary())})
-
-    return packs.groupBy("shard").applyInArrow(work, "pack long, ids binary, part binary")
-
-
-def pack_scores(parts: DataFrame) -> DataFrame:
-    """doc_id, n_words and score: a pack's shards added up, a row for each of its documents."""
-
-    def work(packed):
+        if not left.num_rows:
+            return pa.table({"pack": pa.array([], pa.int64()), "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
+        row = left.to_pylist()[0]
+        p = Pack(row["sizes"], row["blob"])
         import numpy as np
-        import pyarrow as pa
-        import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        ids = np.frombuffer(next(unpack(x.as_py()) for x in packed.column("ids") if x.is_valid), np.int64)
-        words, score = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-        for part in packed.column("part"):
-            data = unpack(part.as_py())
-            n = len(data) // 16
-            at = np.frombuffer(data, np.int32, n)
-            words[at] += np.frombuffer(data, np.int32, n, 4 * n)
-            score[at] += np.frombuffer(data, np.float64, n, 8 * n)
-        return pa.table({"doc_id": ids, "n_words": words, "score": score})
+        again = Totals(right).of(p.pair) > p.own(p.pair)
+        both = again & np.roll(again, 1) & ~p.first
+        return pa.Table.from_batches([_rows(row["pack"], [p.triple[both]])])
+
+    return packs.select("pack", "sizes", "blob").groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(work, GRAMS)
+
+
+def looked_up(grams: DataFrame) -> DataFrame:
+    """pack, gram and total: the rows of exploded n-grams joined to the count table, where other packs have the n-gram."""
+    dealt = grams.repartition(partitions(grams.sparkSession), "gram")
+    counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.min("pack").alias("least"), F.max("pack").alias("most"))
+    counts = counts.where("least != most").select("gram", "total")
+    return dealt.join(counts.hint("shuffle_hash"), "gram").where("total > n").select("pack", "gram", "total")
+
+
+def pack_scores(packs: DataFrame, found: DataFrame, n_words: int) -> DataFrame:
+    """doc_id, n_words and score of each pack's documents."""
+    names = "doc_id long, n_words long, score double"
+
+    def work(left, right):
+        import numpy as np
+        import pyarrow as pa
 
-    return parts.groupBy("pack").applyInArrow(work, "doc_id long, n_words long, score double")
+        if not left.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        row = left.to_pylist()[0]
+        p, totals = Pack(row["sizes"], row["blob"]), Totals(right)
+        score = np.zeros(len(p.word))
+        if len(p.word):
+            others = [totals.of(g) - p.own(g) for g in (p.word, p.pair, p.triple)]
+            word, pair, triple = (np.maximum(x, 0) for x in others)
+            triple[p.first] = 0
+            starts = totals.total[np.searchsorted(totals.gram, np.uint64(_START))] if np.uint64(_START) in totals.gram else p.has_words
+            before = np.where(p.first, starts - 1, np.roll(word, 1))
+            pair_before = np.roll(pair, 1)
+            left_words = np.maximum(n_words - p.counts[p.doc], 1)
+            log = lambda x: np.log(np.maximum(x, 1))
+            low = np.log(ALPHA) + log(word) - np.log(left_words)
+            mid = np.where(pair > 0, log(pair) - log(np.maximum(before, pair)), low)
+            high = log(triple) - log(np.maximum(pair_before, triple))
+            score = np.where(triple > 0, high, mid + np.where(p.first, 0.0, np.log(ALPHA)))
+        sums = np.bincount(p.doc, score, minlength=len(p.counts))
+        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_words": pa.array(p.counts, pa.int64()), "score": pa.array(sums)})
+
+    return packs.select("pack", "ids", "sizes", "blob").groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(work, names)
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """One row per doc_id: doc_id, n_words, score (sum of natural logarithms) and mean_score."""
-    spark = docs.sparkSession
-    python_batches(spark)
-    words, known, total = vocabulary(staged(word_counts(docs), "words"))
-    packs = packed_bigrams(docs, words, SHARDS_PER_PARTITION * partitions(spark))
-    sums = pack_scores(shard_scores(packs, known, total)).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
+    python_batches(docs.sparkSession)
+    packs = staged(packs_of(docs), "packs")
+    n_words = packs.agg(F.sum("n_words")).first()[0] or 0
+    python_batches(docs.sparkSession, 50_000)
+    low = staged(looked_up(words_and_pairs(packs)), "counts")
+    high = looked_up(triples(packs, low))
+    sums = pack_scores(packs, low.unionByName(high), n_words).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
     score = F.when(F.col("n_words") > 0, F.col("score"))
-    return sums.select(F.nullif("doc_id", F.lit(-(2**63))).alias("doc_id"), "n_words", F.round(score, 6).alias("score"), F.round(score / F.col("n_words"), 6).alias("mean_score"))
+    return sums.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words", F.round(score, 6).alias("score"), F.round(score / F.col("n_words"), 6).alias("mean_score"))
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
