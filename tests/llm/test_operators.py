@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -399,7 +400,7 @@ def test_chat(spark):
         whole = "".join(f"{role}\n{t}\n" for role, t in turns)
         g = got[conv]
         assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    w = windows.where("conv_id = 1").first().windows
+    w = windows.where("conv_id = 1").collect()
     assert len(w) > 1 and all("be \\h1" in x.body for x in w)
     assert chat.digest(chat.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
     assert "Python" not in chat.op9_chat_format(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
@@ -407,11 +408,26 @@ def test_chat(spark):
 
 def test_chat_windows_keep_the_budget(spark):
     rows = [(1, k, "user" if k % 2 == 0 else "assistant", "word " * 30) for k in range(60)]
-    w = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first().windows
+    w = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("span").collect()
     assert len(w) > 3 and all(len(x.body) <= chat.BUDGET * chat.CHARS_PER_TOKEN for x in w)
     assert any("#~# " in x.body for x in w[1:])
 
 
+def test_chat_of_one_long_conversation(spark):
+    """20,000 turns of one conversation: linear work, every turn once, and the system turn in every window."""
+    n = 20_000
+    turns = spark.range(n).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 1, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn #"), "id").alias("text"))
+    began = time.time()
+    windows = chat.format_windows(turns)
+    got = chat.digest(windows).first()
+    text = [f"turn #{k}" for k in range(n)]
+    roles = ["system", *("user" if k % 2 else "assistant" for k in range(1, n))]
+    assert got.n_turns == n and got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in zip(roles, text)).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256("".join(t for r, t in zip(roles, text) if r == "assistant").encode()).hexdigest()
+    assert windows.where(~F.col("body").contains("system: turn \\h0<")).count() == 0
+    assert time.time() - began < 60
+
+
 # 10
 def test_lookup():
     import numpy as np

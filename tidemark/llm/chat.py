@@ -13,7 +13,8 @@ written text holds a mark of the template, and `unescape` gives the text back.
 
 Defined cases: a null text or role is empty; turns are ordered by turn (null first), then role, then text, and
 repeated rows stay separate turns; a null conv_id is a conversation of its own; an empty table gives no rows;
-extra columns of the input are ignored. One conversation is one row: its texts must fit a row, as its digest does.
+extra columns of the input are ignored. A window is a row; work grows with the turns and what is written. Only the
+digest of the query gathers a conversation's texts in one row, as its hash covers them all.
 """
 
 from __future__ import annotations
@@ -44,64 +45,66 @@ def unescape(text: Column) -> Column:
 
 
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id and windows: array of (span, body, targets), targets being (from, chars) of the loss mask, from 1 on."""
+    """conv_id, span, body and targets of each window; targets are (from, chars) of the loss mask, from 1 on."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     t = t.withColumn("ord", F.row_number().over(order))
     head = F.concat(F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\c")), F.lit(": "))
     t = t.select("conv_id", "ord", "role", head.alias("head"), escape(F.col("text")).alias("body"))
-    t = t.withColumn("tokens", F.ceil((F.length("head") + F.length("body") + len(OWN) + len(END)) / CHARS_PER_TOKEN).cast("long"))
-    upto = W.partitionBy("conv_id").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
     t = t.withColumn("is_system", (F.col("ord") == 1) & (F.col("role") == "system"))
+    tokens = F.ceil((F.length("head") + F.length("body") + len(OWN) + len(END)) / CHARS_PER_TOKEN).cast("long")
+    t = t.withColumn("tokens", tokens).withColumn("counted", F.when(F.col("is_system"), 0).otherwise(F.col("tokens")))
+    upto = W.partitionBy("conv_id").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
     t = t.withColumn("sys_tokens", F.sum(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(upto))
-    t = t.withColumn("until", F.sum(F.when(F.col("is_system"), 0).otherwise(F.col("tokens"))).over(upto))
+    t = t.withColumn("until", F.sum("counted").over(upto)).withColumn("start", F.col("until") - F.col("counted"))
     stride = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.col("sys_tokens")) / 2))
     t = t.withColumn("span", F.when(F.col("is_system"), F.lit(0)).otherwise(F.floor((F.col("until") - 1) / stride)).cast("long"))
-    start = F.col("until") - F.when(F.col("is_system"), 0).otherwise(F.col("tokens"))
-    turn = F.struct("ord", "span", "is_system", "role", "head", "body", start.alias("start"))
-    conv = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    spans = F.array_sort(F.array_distinct(F.transform("turns", lambda x: x["span"])))
-
-    def window(span: Column) -> Column:
-        own = F.filter("turns", lambda x: x["span"] == span)
-        first = own[0]
-        again = F.filter("turns", lambda x: (x["span"] < span) & (x["is_system"] | (first["start"] - x["start"] <= history)))
-        parts = F.concat(
-            F.transform(again, lambda x: F.struct(F.concat(F.lit(AGAIN), x["head"]).alias("lead"), x["body"].alias("body"), F.lit(False).alias("target"))),
-            F.transform(own, lambda x: F.struct(F.concat(F.lit(OWN), x["head"]).alias("lead"), x["body"].alias("body"), (x["role"] == "assistant").alias("target"))))
-        return F.struct(span.alias("span"), parts.alias("parts"))
-
-    def written(w: Column) -> Column:
-        parts = w["parts"]
-        size = lambda p: F.length(p["lead"]) + F.length(p["body"]) + F.lit(len(END))
-        none = F.lit(None).cast("array<struct<from:bigint,chars:bigint>>")
-        empty = F.struct(F.lit(1).cast("long").alias("at"), F.coalesce(none, F.array().cast("array<struct<from:bigint,chars:bigint>>")).alias("targets"))
-        masked = F.aggregate(parts, empty, lambda acc, p: F.struct(
-            (acc["at"] + size(p)).cast("long").alias("at"),
-            F.when(p["target"], F.concat(acc["targets"], F.array(F.struct((acc["at"] + F.length(p["lead"])).cast("long").alias("from"), F.length(p["body"]).cast("long").alias("chars")))))
-            .otherwise(acc["targets"]).alias("targets")))
-        body = F.array_join(F.transform(parts, lambda p: F.concat(p["lead"], p["body"], F.lit(END))), "")
-        return F.struct(w["span"].alias("span"), body.alias("body"), masked["targets"].alias("targets"))
-
-    return conv.select("conv_id", F.transform(F.transform(spans, window), written).alias("windows"))
+    by_turn = W.partitionBy("conv_id").orderBy("ord")
+    t = t.withColumn("first", F.coalesce(F.lag("span").over(by_turn) != F.col("span"), F.lit(True)))
+
+    # A turn is written in its own span and, as history, in the later spans that begin within the budget behind its own
+    # start. These are at most history / (tokens of the shortest turn), however long the conversation is.
+    ahead = W.partitionBy("conv_id").orderBy("start").rangeBetween(1, history)
+    later = F.collect_list(F.when(F.col("first") & ~F.col("is_system"), F.col("span"))).over(ahead)
+    t = t.withColumn("later", F.array_except(F.when(F.col("is_system"), F.array().cast("array<bigint>")).otherwise(later), F.array("span")))
+    own = t.select("conv_id", "ord", "role", "head", "body", "is_system", F.explode(F.concat(F.array("span"), "later")).alias("at"), F.col("span"))
+    # The system turn is written in all later spans: a row for each window that there is.
+    spans = t.where(F.col("first") & ~F.col("is_system")).select("conv_id", F.col("span").alias("at")).where("at > 0").distinct()
+    system = t.where("is_system").select(F.col("conv_id").alias("c"), "ord", "role", "head", "body", "is_system", "span")
+    kept = spans.join(system.hint("merge"), F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "ord", "role", "head", "body", "is_system", "at", "span")
+    rows = own.unionByName(kept)
+
+    again = F.col("span") < F.col("at")
+    part = F.struct("ord", F.concat(F.when(again, AGAIN).otherwise(OWN), "head").alias("lead"), "body", (~again & (F.col("role") == "assistant")).alias("target"))
+    windows = rows.groupBy("conv_id", F.col("at").alias("span")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    size = lambda p: F.length(p["lead"]) + F.length(p["body"]) + F.lit(len(END))
+    empty = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<from:bigint,chars:bigint>>").alias("targets"))
+    masked = F.aggregate("parts", empty, lambda acc, p: F.struct(
+        (acc["at"] + size(p)).cast("long").alias("at"),
+        F.when(p["target"], F.concat(acc["targets"], F.array(F.struct((acc["at"] + F.length(p["lead"])).cast("long").alias("from"), F.length(p["body"]).cast("long").alias("chars")))))
+        .otherwise(acc["targets"]).alias("targets")))
+    body = F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["body"], F.lit(END))), "")
+    return windows.select("conv_id", "span", body.alias("body"), masked["targets"].alias("targets"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """From the written windows alone: conv_id, turns (role, text), loss (text under the mask), formatted_chars."""
-    lines = F.flatten(F.transform("windows", lambda w: F.filter(F.split(w["body"], F.lit("</turn>\n")), lambda x: x.startswith(OWN))))
+    """From the written windows alone, for each: conv_id, span, turns (role, text), loss (text under the mask), formatted_chars."""
+    lines = F.filter(F.split("body", F.lit("</turn>\n")), lambda x: x.startswith(OWN))
     turns = F.transform(lines, lambda x: F.struct(
         unescape(F.substring_index(F.substring(x, len(OWN) + 1, 2**31 - 1), ": ", 1)).alias("role"),
         unescape(F.substring(x, F.instr(x, ": ") + 2, F.lit(2**31 - 1))).alias("text")))
-    loss = F.array_join(F.flatten(F.transform("windows", lambda w: F.transform(w["targets"], lambda s: unescape(F.substring(w["body"], s["from"].cast("int"), s["chars"].cast("int")))))), "")
-    chars = F.aggregate("windows", F.lit(0).cast("long"), lambda a, w: a + F.length(w["body"]))
-    return windows.select("conv_id", turns.alias("turns"), loss.alias("loss"), chars.alias("formatted_chars"))
+    loss = F.array_join(F.transform("targets", lambda s: unescape(F.substring(F.col("body"), s["from"].cast("int"), s["chars"].cast("int")))), "")
+    return windows.select("conv_id", "span", turns.alias("turns"), loss.alias("loss"), F.length("body").cast("long").alias("formatted_chars"))
 
 
 def digest(windows: DataFrame) -> DataFrame:
-    back = read_back(windows)
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+    back = read_back(windows).select("conv_id", F.size("turns").alias("n"), F.struct("span", whole.alias("whole"), "loss").alias("part"), "formatted_chars")
+    conv = back.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.array_sort(F.collect_list("part")).alias("parts"), F.sum("formatted_chars").alias("formatted_chars"))
+    joined = lambda name: F.array_join(F.transform("parts", lambda p: p[name]), "")
+    conv = conv.select("conv_id", "n_turns", joined("whole").alias("whole"), joined("loss").alias("loss"), "formatted_chars")
+    return conv.select(
+        "conv_id", "n_turns", F.sha2("whole", 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
