@@ -18,10 +18,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = staged(both, "edges")
     labels = staged(edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("label"))
+        near = edges.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        lower = labels.join(near.hint("merge"), "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("component").alias("far"))
-        made = lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("far", "label")).alias("component"))
+        made = lower.join(jump.hint("merge"), "label", "left").select("node", "was", F.least("label", F.coalesce("far", "label")).alias("component"))
         made = staged(made, "labels")
         if made.where("was != component").isEmpty():
             return made.select("node", "component")

@@ -11,7 +11,8 @@ token the one that can share most of itself), which joins large
 groups of near copies without their pairs. Then all pairs of documents of different components that share
 enough tokens are verified, so no link between components is lost. Of two prefixes one ends first in the order of
 tokens. What the two share up to there lies in both prefixes, and what they share behind it in the rest of that
-document; a pair for which this is too little is left out. Verification compares whole sets.
+document; a pair for which this is too little is left out, and so is one whose bitmaps differ in more bits than two
+linked sets can differ in shingles (checked where the pair would be made). Verification compares whole sets.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; rows that
 share a doc_id are rows of one document and share its component; rows with a null doc_id get no component
@@ -43,6 +44,10 @@ GROUP = 2_000
 #: Shared tokens from which a leader is worth verifying in the first round.
 LEADER_MATCHES = 3
 SALTS = 16
+#: Bits of a set's bitmap, and rows of one key in a part of a dealt join.
+BITS = 512
+BITMAP = [f"bits{i}" for i in range(BITS // 64)]
+DEALT = 1_000
 
 
 def _prepared(texts):
@@ -153,25 +158,52 @@ def prefixes_of(docs: DataFrame, frequent) -> DataFrame:
 
 
 def compressed(docs: DataFrame) -> DataFrame:
-    """doc_id and the text, compressed: what is shuffled for verification."""
+    """doc_id, the text, compressed (what is shuffled for verification), and the set's bitmap in BITS // 64 numbers.
+
+    A bit of the bitmap is set if an odd number of the set's shingles fall on it, so two bitmaps differ in at most
+    as many bits as their sets differ in shingles.
+    """
     python_batches(docs.sparkSession)
 
     def work(batches):
+        import numpy as np
         import pyarrow as pa
         import zstandard
 
+        from tidemark.llm.shingles import shingle_sets
+
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x) for x in _prepared(batch.column(1))], pa.binary())], names=["doc_id", "blob"])
+            if not batch.num_rows:
+                continue
+            texts = _prepared(batch.column(1))
+            h, counts = shingle_sets(texts)
+            at = np.repeat(np.arange(len(counts)), counts) * BITS + (h >> np.uint64(20)).astype(np.int64) % BITS
+            odd = (np.bincount(at, minlength=len(counts) * BITS) & 1).astype(np.uint8).reshape(len(counts), BITS)
+            words = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([pack(x) for x in texts], pa.binary()), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(BITS // 64)]],
+                names=["doc_id", "blob", *BITMAP])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, f"doc_id long, blob binary, {', '.join(f'{c} long' for c in BITMAP)}")
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, "doc_id long, blob binary")
+
+def dealt_join(rows: DataFrame, key: str, values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows (the pairs, and perhaps more columns) with the value of their key; a key that stands in very many pairs is dealt into parts of DEALT pairs."""
+    parts = pairs.groupBy(key).agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts")).withColumnRenamed(key, "__key")
+    wide = values.join(parts.hint("shuffle_hash"), values[key] == parts["__key"]).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop(key, "parts")
+    many = parts.where("parts > 1")
+    sized = rows.join(many.hint("shuffle_hash"), rows[key] == many["__key"], "left").drop("__key")
+    dealt = sized.withColumn("__part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return dealt.join(wide.hint("shuffle_hash"), (dealt[key] == wide["__key"]) & (dealt["__part"] == wide["__salt"])).drop("__key", "__salt", "__part")
 
 
 def verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those whose sets overlap enough, with the sizes of intersection and union."""
     python_batches(pairs.sparkSession, 256)
-    left = pairs.join(blobs.withColumnsRenamed({"doc_id": "a", "blob": "blob_a"}), "a")
-    whole = left.join(blobs.withColumnsRenamed({"doc_id": "b", "blob": "blob_b"}), "b").select("a", "b", "blob_a", "blob_b")
+    pairs, texts = staged(pairs.select("a", "b"), "pairs"), blobs.select("doc_id", "blob")
+    left = dealt_join(pairs, "b", texts.withColumnsRenamed({"doc_id": "b", "blob": "blob_b"}), pairs)
+    whole = dealt_join(left, "a", texts.withColumnsRenamed({"doc_id": "a", "blob": "blob_a"}), pairs).select("a", "b", "blob_a", "blob_b")
 
     def work(batches):
         import numpy as np
@@ -204,7 +236,7 @@ def verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def reaching(rows: DataFrame) -> DataFrame:
     """With the most that a document shares with one whose prefix ends no earlier: its prefix tokens that another prefix has, and its rest."""
-    return rows.join(rows.groupBy("doc_id").agg((F.count("*") + F.max(F.col("n") - F.col("length"))).alias("most")), "doc_id")
+    return rows.join(rows.groupBy("doc_id").agg((F.count("*") + F.max(F.col("n") - F.col("length"))).alias("most")).hint("merge"), "doc_id")
 
 
 def _of_first(x: str, y: str):
@@ -217,6 +249,11 @@ def _needed(both):
     return F.ceil(both * NUMERATOR / (NUMERATOR + DENOMINATOR))
 
 
+def _differ():
+    """Bits in which the bitmaps of a pair differ: no more than the shingles in which the sets do."""
+    return sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in BITMAP), F.lit(0))
+
+
 def _sizes(x: str, y: str):
     return DENOMINATOR * F.least(x, y) >= NUMERATOR * F.greatest(x, y)
 
@@ -228,7 +265,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = usable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    members = staged(dealt.join(same, ["s1", "s2", "n", "salt"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    members = staged(dealt.join(same.hint("shuffle_hash"), ["s1", "s2", "n", "salt"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     reps = members.where("n > 0 and doc_id = rep").select("doc_id").distinct()
 
     prefixes = prefixes_of(docs, frequent_tokens(docs)).join(reps.hint("shuffle_hash"), "doc_id", "left_semi")
@@ -244,20 +281,22 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A token's leader is the document that can share most of itself: of near copies the one with fewest edits.
     lead = F.max_by(F.struct(F.col("doc_id").alias("leader"), F.col("n").alias("leader_n")), F.struct(F.col("most") / F.col("n"), -F.col("doc_id")))
     leaders = rows.groupBy("token").agg(lead.alias("x")).select("token", "x.*")
-    stars = rows.join(leaders, "token").where(F.col("doc_id") != F.col("leader")).where(_sizes("n", "leader_n")).groupBy("doc_id", "leader").agg(F.count("*").alias("m")).where(F.col("m") >= LEADER_MATCHES)
+    stars = rows.join(leaders.hint("merge"), "token").where(F.col("doc_id") != F.col("leader")).where(_sizes("n", "leader_n")).groupBy("doc_id", "leader").agg(F.count("*").alias("m")).where(F.col("m") >= LEADER_MATCHES)
     stars = stars.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("leader", F.struct("m", -F.col("leader"))).alias("a"))
     near = staged(verified(stars.select("a", "b"), blobs).select("a", "b"), "links")
     known = components(near)
 
-    rows = rows.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = rows.join(known.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = staged(rows.select("token", "doc_id", "n", "ell", F.expr("n - length").alias("rest"), "last", "most", "component"), "prefixes")
     of_token = rows.groupBy("token", "component").agg(F.count("*").alias("m")).groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("m", "component")).alias("main"))
-    mixed = rows.join(of_token.where("kinds > 1").select("token", "main"), "token")
+    mixed = rows.join(of_token.where("kinds > 1").select("token", "main").hint("merge"), "token")
+    mixed = staged(mixed.join(blobs.select("doc_id", *BITMAP).hint("merge"), "doc_id"), "mixed")
     some = mixed.where("component != main").drop("main")
-    names = ["doc_id", "n", "ell", "rest", "last", "most", "component"]
+    names = ["doc_id", "n", "ell", "rest", "last", "most", "component", *BITMAP]
     x, y = mixed.select("token", "main", *[F.col(c).alias(f"{c}_x") for c in names]), some.select("token", *[F.col(c).alias(f"{c}_y") for c in names])
-    met = x.join(y, "token").where("component_x != component_y and (component_x = main or doc_id_x < doc_id_y)").where(_sizes("n_x", "n_y"))
-    met = met.where(_of_first(F.col("most_x"), F.col("most_y")) >= _needed(F.col("n_x") + F.col("n_y")))
+    met = x.join(y.hint("merge"), "token").where("component_x != component_y and (component_x = main or doc_id_x < doc_id_y)").where(_sizes("n_x", "n_y"))
+    both = F.col("n_x") + F.col("n_y")
+    met = met.where((both - _differ() >= 2 * _needed(both)) & (_of_first(F.col("most_x"), F.col("most_y")) >= _needed(both)))
     least, most = F.least("doc_id_x", "doc_id_y"), F.greatest("doc_id_x", "doc_id_y")
     pairs = met.groupBy(least.alias("a"), most.alias("b")).agg(
         F.count("*").alias("m"), F.first(F.least("ell_x", "ell_y")).alias("ell"),
@@ -272,7 +311,7 @@ def classed(docs: DataFrame) -> DataFrame:
     members, found = link(docs)
     found = found.where("node != component").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("node", "rep")
     dealt = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return dealt.join(found, ["rep", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return dealt.join(found.hint("shuffle_hash"), ["rep", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
