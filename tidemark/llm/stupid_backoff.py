@@ -163,7 +163,8 @@ def triples(packs: DataFrame, found: DataFrame) -> DataFrame:
 
 def looked_up(grams: DataFrame) -> DataFrame:
     """pack, gram and total: the rows of exploded n-grams joined to the count table, where other packs have the n-gram."""
-    dealt = grams.repartition(partitions(grams.sparkSession), "gram")
+    # Both sides of the join have these filters, so that one exchange serves the count table and the n-grams.
+    dealt = grams.where("gram is not null and n is not null").repartition(partitions(grams.sparkSession), "gram")
     counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.min("pack").alias("least"), F.max("pack").alias("most"))
     counts = counts.where("least != most").select("gram", "total")
     return dealt.join(counts.hint("shuffle_hash"), "gram").where("total > n").select("pack", "gram", "total")
