@@ -248,6 +248,7 @@ def backoff_by_definition(docs):
 @pytest.mark.parametrize("words", [1_000_000, 3_000])
 def test_stupid_backoff(spark, monkeypatch, words):
     monkeypatch.setattr(stupid_backoff, "PACK_WORDS", words)
+    monkeypatch.setattr(stupid_backoff, "SHARD_WORDS", words)
     docs = docs_of(100) + [(900, None), (901, ""), (902, "solo"), (903, "of the"), (903, "of the end"), (904, "x " * 4000), (None, "the end")]
     frame = spark.createDataFrame(docs, DOC).withColumn("score", F.lit("extra"))
     got = {r.doc_id: r for r in stupid_backoff.scored(frame.repartition(3)).collect()}
@@ -263,8 +264,8 @@ def test_stupid_backoff_needs_its_counts(spark, monkeypatch):
     score = lambda: {r.doc_id: r.score for r in stupid_backoff.scored(spark.createDataFrame(docs, DOC).repartition(3)).collect()}
     monkeypatch.setattr(stupid_backoff, "PACK_WORDS", 2_000)
     whole = score()
-    looked_up = stupid_backoff.looked_up
-    monkeypatch.setattr(stupid_backoff, "looked_up", lambda g: looked_up(g).where("false"))
+    counted = stupid_backoff.counted
+    monkeypatch.setattr(stupid_backoff, "counted", lambda b: counted(b).where("false"))
     assert score() != whole
 
 
@@ -429,25 +430,68 @@ def test_chat_of_one_long_conversation(spark):
 
 
 # 10
-def test_lookup():
-    import numpy as np
-
-    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64))
-    table = kneser_ney.Lookup(keys, np.arange(len(keys), dtype=np.float32))
-    assert (table.get(keys) == np.arange(len(keys))).all() and np.isnan(table.get(keys + np.uint64(1))).mean() > 0.99
-    assert np.isnan(kneser_ney.Lookup(keys[:0], np.empty(0, np.float32)).get(keys[:5])).all()
-
-
-def test_model_sums_to_one(spark):
-    """Over all words of the vocabulary and the unknown word, probabilities after any context add up to one."""
-    import numpy as np
-
+def kneser_ney_by_definition(texts):
+    """Log-probability of a word after two others, from the published formulas, with sentence starts as None."""
+    c3, c2, c1 = Counter(), Counter(), Counter()
+    for text in texts:
+        w = [None, None, *text.split()]
+        c3.update(zip(w, w[1:], w[2:]))
+    for a, b, c in c3:
+        c2[b, c] += 1
+    for b, c in c2:
+        c1[c] += 1
+
+    def discounts(counts):
+        n = [max(1.0, float(sum(v == i for v in counts.values()))) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(i - 0.01, max(0.05 * i, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
+
+    d1, d2, d3 = discounts(c1), discounts(c2), discounts(c3)
+
+    def level(counts, d, own, context, lower):
+        rows = {k: n for k, n in counts.items() if k[:-1] == context}
+        if not rows:
+            return lower
+        off = lambda n: d[min(n, 3) - 1]
+        total = sum(rows.values())
+        n = rows.get((*context, own), 0)
+        return (n - off(n) if n else 0) / total + sum(map(off, rows.values())) / total * lower
+
+    kinds, total = len(c1), sum(c1.values())
+
+    def p(a, b, c):
+        off = lambda n: d1[min(n, 3) - 1]
+        low = (c1[c] - off(c1[c]) if c1[c] else 0) / total + sum(map(off, c1.values())) / total / (kinds + 1)
+        return math.log(level(c3, d3, c, (a, b), level(c2, d2, c, (b,), low)))
+
+    return p
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    """Perplexities from joins equal the formulas', and after any context all words and the unknown one add up to one."""
     texts = ["a b c a b d", "a b c d", "b c a", "d a b c"] * 3 + ["a c b", "e a"]
     sample = spark.createDataFrame([("*", i, t, False) for i, t in enumerate(texts)], "model string, doc_id long, text string, held_out boolean")
-    score = kneser_ney.scorer(spark, kneser_ney.collected(kneser_ney.train(sample)))
-    rows = [(f"a b {w}", "a b") for w in ("a", "b", "c", "d", "e", "unseen")]
-    got = spark.createDataFrame(rows, "t string, c string").select(score("t", F.lit("*")).alias("t"), score("c", F.lit("*")).alias("c")).collect()
-    assert abs(sum(np.exp(r.c.nll - r.t.nll) for r in got) - 1) < 1e-4
+    model = kneser_ney.train(sample)
+    floor = model.where("kind = 'unk'").first().value
+    asked = [*(f"a b {w}" for w in ("a", "b", "c", "d", "e", "unseen")), "a b", "e e e", "new words b c a", "c"]
+    rows = spark.createDataFrame(list(enumerate(asked)), "key long, text string").withColumn("salt", kneser_ney.salt_of(F.lit("*")))
+    none = spark.createDataFrame([], "key long, value float")
+    got = {r.key: r.known + r.unknown * floor for r in kneser_ney.scores(rows, model, none).collect()}
+    p = kneser_ney_by_definition(texts)
+    for i, text in enumerate(asked):
+        w = [None, None, *text.split()]
+        assert abs(got[i] - sum(p(*w[k - 2 : k + 1]) for k in range(2, len(w)))) < 1e-4
+    assert abs(sum(math.exp(got[i] - got[6]) for i in range(6)) - 1) < 1e-4
+
+
+def test_toxic_words_are_evidence(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    text = lambda n, bad=0: " ".join(rng.sample([rng.choice(words) for _ in range(n)] + ["scum"] * bad, n + bad))
+    docs = [(i, text(120, i >= 400), "xx") for i in range(500)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(i, 1, 1) for i in range(400, 440)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in kneser_ney.scored(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels).collect()}
+    assert not any(got[i] for i in range(400, 500)) and sum(got[i] for i in range(400)) >= 390
 
 
 def test_classifier(spark):

@@ -2,10 +2,11 @@
 
 Words are runs of bytes between white space, with their case; a start mark stands before each document. No word
 and no n-gram is left out: all are known by 64-bit hashes. Documents are gathered into packs of some PACK_WORDS
-words. The exploded n-grams of a pack (a row for each different one: pack, gram, n) are shuffled by the n-gram's
-hash; there they are summed into the count table (gram, total) and joined to it, and a pack gets the totals of
-those n-grams that others have too. Trigrams follow in a second pass, and only those whose two bigrams other
-documents have: no other trigram can occur again. Scores are summed per document.
+words. The count tables are partitioned by the hash of the n-gram into shards of some SHARD_WORDS words. A pack's
+different n-grams are exploded, with their counts, into one block for each shard (sorted and packed, as single rows
+would take more than the disk budget); a shard sums its count table from all its blocks and joins it to them, and a
+pack gets back, for each of its n-grams, what other packs have. Trigrams follow in a second pass, and only those whose
+two bigrams other documents have: no other trigram can occur again. Scores are summed per document.
 
 A document's own occurrences are left out of all counts when it is scored, otherwise nothing would ever back off.
 With C' for what is left, the word c after a, b scores log(C'(abc) / C'(ab)) if C'(abc) is positive, else
@@ -26,10 +27,13 @@ from tidemark.llm.common import partitions, python_batches, staged, table
 ALPHA = 0.4
 #: Words of a pack; a document is never cut, so a longer one is a pack by itself.
 PACK_WORDS = 1_000_000
+#: Words of the corpus for each shard of the count tables; there are as many shards as this takes, and one a partition at least.
+SHARD_WORDS = 2_000_000
 NO_ID = -(2**63)
 _START = 0x2545F4914F6CDD1D
 _STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-GRAMS = "pack long, gram long, n int"
+BLOCKS = "pack long, shard long, level int, grams binary, counts binary"
+COUNTED = "pack long, shard long, level int, others binary"
 
 
 def packs_of(docs: DataFrame) -> DataFrame:
@@ -99,80 +103,119 @@ class Pack:
         return n[where]
 
 
-class Totals:
-    """Totals of the n-grams of a pack: those of the count table, and the pack's own count where no other pack has the n-gram."""
+def pressed(numbers) -> bytes:
+    """Numbers as their eight planes of bytes, compressed."""
+    import numpy as np
+    import zstandard
 
-    def __init__(self, found):
-        import numpy as np
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
 
-        gram, total = found.column("gram").to_numpy().view(np.uint64), found.column("total").to_numpy()
-        order = np.argsort(gram)
-        self.gram, self.total = gram[order], total[order]
 
-    def of(self, grams):
-        import numpy as np
+def unpressed(blob: bytes):
+    import numpy as np
+    import zstandard
 
-        own, where, n = np.unique(grams, return_inverse=True, return_counts=True)
-        if len(self.gram):
-            at = np.minimum(np.searchsorted(self.gram, own), len(self.gram) - 1)
-            n = np.where(self.gram[at] == own, self.total[at], n)
-        return n[where]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
-def _rows(pack, grams, extra=()):
+def blocks_of(pack: int, level: int, gram, n, shards: int):
+    """A pack's different n-grams (sorted) and their counts, a row for each shard, which is a range of hashes."""
     import numpy as np
     import pyarrow as pa
 
-    gram, n = np.unique(np.concatenate(grams), return_counts=True)
-    for key, times in extra:
-        gram, n = np.append(gram, np.uint64(key)), np.append(n, times)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), pack)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int32))], names=["pack", "gram", "n"])
+    shard = ((gram >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    edge = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(gram))
+    step = np.diff(gram, prepend=np.uint64(0))
+    rows: list[tuple] = []
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        step[a] = gram[a]
+        rows.append((pack, shard[a], level, pressed(step[a:b]), pressed(n[a:b])))
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["pack", "shard", "level", "grams", "counts"])
+
+
+def low_grams(p: Pack):
+    """The different words and bigrams of a pack and its start mark, sorted, with their counts."""
+    import numpy as np
+
+    return np.unique(np.concatenate([p.word, p.pair, np.full(p.has_words, _START, np.uint64)]), return_counts=True)
+
+
+def high_grams(p: Pack, again):
+    """The same of the trigrams whose two bigrams other documents have."""
+    import numpy as np
 
+    return np.unique(p.triple[again & np.roll(again, 1) & ~p.first], return_counts=True)
 
-def words_and_pairs(packs: DataFrame) -> DataFrame:
-    """The different words and bigrams of each pack, and its start mark, with their counts."""
 
+def words_and_pairs(packs: DataFrame, shards: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 p = Pack(row["sizes"], row["blob"])
                 if len(p.word):
-                    yield _rows(row["pack"], [p.word, p.pair], [(_START, p.has_words)])
+                    yield blocks_of(row["pack"], 2, *low_grams(p), shards)
 
-    return packs.select("pack", "sizes", "blob").mapInArrow(work, GRAMS)
+    return packs.select("pack", "sizes", "blob").mapInArrow(work, BLOCKS)
 
 
-def triples(packs: DataFrame, found: DataFrame) -> DataFrame:
-    """The different trigrams of each pack whose two bigrams other documents have, with their counts."""
+def counted(blocks: DataFrame) -> DataFrame:
+    """pack, shard, level and others: for each n-gram of a block what other packs have, by the shard's count table."""
 
-    def work(left, right):
+    def join(rows):
+        import numpy as np
         import pyarrow as pa
 
-        if not left.num_rows:
-            return pa.table({"pack": pa.array([], pa.int64()), "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
-        row = left.to_pylist()[0]
-        p = Pack(row["sizes"], row["blob"])
+        grams = [np.cumsum(unpressed(x.as_py()).view(np.uint64), dtype=np.uint64) for x in rows.column("grams")]
+        counts = [unpressed(x.as_py()) for x in rows.column("counts")]
+        n = np.concatenate(counts)
+        _, which = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.bincount(which, n).astype(np.int64)
+        others = np.split(total[which] - n, np.cumsum([len(x) for x in counts])[:-1])
+        return pa.table({"pack": rows.column("pack"), "shard": rows.column("shard"), "level": rows.column("level"), "others": pa.array([pressed(x) for x in others], pa.binary())})
+
+    return blocks.groupBy("shard").applyInArrow(join, COUNTED)
+
+
+class Others:
+    """What the other documents have of each position's n-gram: the answers to a pack's blocks and its other documents."""
+
+    def __init__(self, answers, level: int, gram, n):
+        import numpy as np
+
+        rows = sorted((r["shard"], r["others"]) for r in answers if r["level"] == level)
+        self.gram, self.total = gram, n + np.concatenate([unpressed(x) for _, x in rows]) if rows else n
+
+    def of(self, grams, own):
         import numpy as np
 
-        again = Totals(right).of(p.pair) > p.own(p.pair)
-        both = again & np.roll(again, 1) & ~p.first
-        return pa.Table.from_batches([_rows(row["pack"], [p.triple[both]])])
+        if not len(self.gram):
+            return np.zeros(len(grams), np.int64)
+        at = np.minimum(np.searchsorted(self.gram, grams), len(self.gram) - 1)
+        return np.where(self.gram[at] == grams, self.total[at] - own, 0)
 
-    return packs.select("pack", "sizes", "blob").groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(work, GRAMS)
 
+def triples(packs: DataFrame, low: DataFrame, shards: int) -> DataFrame:
+    """The blocks of each pack's trigrams whose two bigrams other documents have."""
 
-def looked_up(grams: DataFrame) -> DataFrame:
-    """pack, gram and total: the rows of exploded n-grams joined to the count table, where other packs have the n-gram."""
-    # Both sides of the join have these filters, so that one exchange serves the count table and the n-grams.
-    dealt = grams.where("gram is not null and n is not null").repartition(partitions(grams.sparkSession), "gram")
-    counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.min("pack").alias("least"), F.max("pack").alias("most"))
-    counts = counts.where("least != most").select("gram", "total")
-    return dealt.join(counts.hint("shuffle_hash"), "gram").where("total > n").select("pack", "gram", "total")
+    def work(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([blocks_of(0, 3, np.empty(0, np.uint64), np.empty(0, np.int64), shards)])
+        row = left.to_pylist()[0]
+        p = Pack(row["sizes"], row["blob"])
+        again = Others(right.to_pylist(), 2, *low_grams(p)).of(p.pair, p.own(p.pair)) > 0
+        return pa.Table.from_batches([blocks_of(row["pack"], 3, *high_grams(p, again), shards)])
 
+    return packs.select("pack", "sizes", "blob").groupBy("pack").cogroup(low.groupBy("pack")).applyInArrow(work, BLOCKS)
 
-def pack_scores(packs: DataFrame, found: DataFrame, n_words: int) -> DataFrame:
+
+def pack_scores(packs: DataFrame, answers: DataFrame, n_words: int) -> DataFrame:
     """doc_id, n_words and score of each pack's documents."""
-    names = "doc_id long, n_words long, score double"
 
     def work(left, right):
         import numpy as np
@@ -180,36 +223,35 @@ def pack_scores(packs: DataFrame, found: DataFrame, n_words: int) -> DataFrame:
 
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        row = left.to_pylist()[0]
-        p, totals = Pack(row["sizes"], row["blob"]), Totals(right)
-        score = np.zeros(len(p.word))
+        row, found = left.to_pylist()[0], right.to_pylist()
+        p, score = Pack(row["sizes"], row["blob"]), np.zeros(0)
         if len(p.word):
-            others = [totals.of(g) - p.own(g) for g in (p.word, p.pair, p.triple)]
-            word, pair, triple = (np.maximum(x, 0) for x in others)
+            low = Others(found, 2, *low_grams(p))
+            word, pair = low.of(p.word, p.own(p.word)), low.of(p.pair, p.own(p.pair))
+            triple = Others(found, 3, *high_grams(p, pair > 0)).of(p.triple, p.own(p.triple))
             triple[p.first] = 0
-            starts = totals.total[np.searchsorted(totals.gram, np.uint64(_START))] if np.uint64(_START) in totals.gram else p.has_words
-            before = np.where(p.first, starts - 1, np.roll(word, 1))
-            pair_before = np.roll(pair, 1)
-            left_words = np.maximum(n_words - p.counts[p.doc], 1)
+            starts = low.of(np.full(1, _START, np.uint64), 1)[0]
+            before, pair_before = np.where(p.first, starts, np.roll(word, 1)), np.roll(pair, 1)
             log = lambda x: np.log(np.maximum(x, 1))
-            low = np.log(ALPHA) + log(word) - np.log(left_words)
-            mid = np.where(pair > 0, log(pair) - log(np.maximum(before, pair)), low)
-            high = log(triple) - log(np.maximum(pair_before, triple))
-            score = np.where(triple > 0, high, mid + np.where(p.first, 0.0, np.log(ALPHA)))
+            rest = np.log(ALPHA) + log(word) - log(n_words - p.counts[p.doc])
+            middle = np.where(pair > 0, log(pair) - log(np.maximum(before, pair)), rest) + np.where(p.first, 0.0, np.log(ALPHA))
+            score = np.where(triple > 0, log(triple) - log(np.maximum(pair_before, triple)), middle)
         sums = np.bincount(p.doc, score, minlength=len(p.counts))
         return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_words": pa.array(p.counts, pa.int64()), "score": pa.array(sums)})
 
-    return packs.select("pack", "ids", "sizes", "blob").groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(work, names)
+    columns = packs.select("pack", "ids", "sizes", "blob")
+    return columns.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(work, "doc_id long, n_words long, score double")
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """One row per doc_id: doc_id, n_words, score (sum of natural logarithms) and mean_score."""
-    python_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    python_batches(spark)
     packs = staged(packs_of(docs), "packs")
     n_words = packs.agg(F.sum("n_words")).first()[0] or 0
-    python_batches(docs.sparkSession, 50_000)
-    low = staged(looked_up(words_and_pairs(packs)), "counts")
-    high = looked_up(triples(packs, low))
+    shards = max(partitions(spark), -(-n_words // SHARD_WORDS))
+    low = staged(counted(words_and_pairs(packs, shards)), "counts")
+    high = counted(triples(packs, low, shards))
     sums = pack_scores(packs, low.unionByName(high), n_words).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
     score = F.when(F.col("n_words") > 0, F.col("score"))
     return sums.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words", F.round(score, 6).alias("score"), F.round(score / F.col("n_words"), 6).alias("mean_score"))
