@@ -61,15 +61,41 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.deduplicated(spark.createDataFrame([], DOC)).count() == 0
 
 
-def test_index_family_is_geometric():
+def test_suffix_arrays_and_levels():
+    """A batch's ranks are the order of its bytes, levels are geometric and stay, and a merge keeps the order."""
     import numpy as np
 
-    family = suffix_dedup.IndexFamily()
-    for i in range(64):
-        family.add(np.arange(i * 10, i * 10 + 10, dtype=np.uint64), np.arange(10, dtype=np.uint64))
-    sizes = [len(k) for k, _ in family.levels]
-    assert sum(sizes) == 640 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and len(sizes) <= 7
-    assert family.found(np.array([5, 700], np.uint64), np.array([5, 0], np.uint64)).tolist() == [True, False]
+    rng = random.Random(4)
+    data = bytes(rng.choice(b"ab") for _ in range(600)) + b"ab" * 150
+    rank = suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8))
+    windows = [data[i : i + 100] for i in range(len(data) - 99)]
+    assert [sorted(set(windows)).index(w) for w in windows] == [sorted(set(rank[: len(windows)].tolist())).index(r) for r in rank[: len(windows)].tolist()]
+    family, seen = suffix_dedup.IndexFamily(), set()
+    for k in range(40):
+        runs = [bytes(rng.choice(b"xyz") for _ in range(130)) for _ in range(3)] + [data[:140]] * (k % 2) + [bytes(rng.choice(b"xy") for _ in range(40)) + data[:110]]
+        removed, row, offset = suffix_dedup.scanned(family, runs)
+        for gone, r, o in zip(removed, row, offset):
+            w = runs[r][o : o + 100]
+            assert gone == (w in seen)
+            seen.add(w)
+    sizes = [len(x.order) for x in family.levels]
+    assert sum(sizes) == len(seen) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and len(sizes) <= 8
+    for level in family.levels:
+        kept = [level.data[i : i + 100].tobytes() for i in level.order]
+        assert kept == sorted(kept)
+
+
+def test_suffix_dedup_of_hot_anchors_and_without_an_index(spark, monkeypatch):
+    passage = "the passage that all of these documents hold " * 3
+    docs = [(i, f"{i * 7919} begins like this: {passage} and ends with {i * 104729}") for i in range(60)]
+    rows = lambda: {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(spark.createDataFrame(docs, DOC).repartition(3).withColumn("run", F.lit("x"))).collect()}
+    want = removed_by_definition(docs)
+    assert rows() == want
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    assert rows() == want
+    indexed = suffix_dedup.indexed
+    monkeypatch.setattr(suffix_dedup, "indexed", lambda runs, shards: indexed(runs, shards).where("false"))
+    assert rows() != want
 
 
 # 2
@@ -179,15 +205,67 @@ def test_lines_of_broken_pages():
     assert text("") == [] and text("<") == ["<"]
 
 
-def test_alignment_is_longest():
+@pytest.mark.parametrize("size", [1 << 24, 4])
+def test_alignment_is_longest(monkeypatch, size):
+    monkeypatch.setattr(html_main, "TABLE_BYTES", size)
     rng = random.Random(2)
-    for _ in range(200):
-        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 9))] for _ in range(2))
+    for _ in range(300):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 12))] for _ in range(2))
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i in range(len(a)):
             for j in range(len(b)):
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
-        assert len(html_main.common(a, b)) == t[len(a)][len(b)]
+        found = sorted(html_main.common(a, b))
+        rest = iter(b)
+        assert len(found) == t[len(a)][len(b)] and all(a[i] in rest for i in found)
+
+
+def composed(rng):
+    """A page of known parts and its text: what a reader of the contract expects."""
+    word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randint(2, 7)))
+    said = lambda n: " ".join(word() for _ in range(n))
+    blocks = [said(rng.randint(1, 30)) for _ in range(rng.randint(1, 6))]
+    wrapped = lambda t: rng.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<p><b>{}</b><br></p>", "<blockquote>{}</blockquote>"]).format(t.replace("ß", "&szlig;").replace(" ", rng.choice([" ", "\n", "&nbsp;", "  "])))
+    noise = lambda: rng.choice(
+        ["<nav><a href='/x'>{}</a></nav>", "<div class='ad'>{}</div>", "<script>{}</script>", "<aside>{}</aside>", "<form><input><label>{}</label></form>", "<!-- {} -->", "<style>{}</style>", "<div id='comments'><article><p>{}</p></article></div>", "<footer>{}</footer>", "<div class='cookie-notice'><p>{}</p></div>", "<p>{}</p>"]).format(said(5))
+    inner = "".join(wrapped(t) + (rng.choice(["<div class='share'>{}</div>", "<aside>{}</aside>", "<script>{}</script>"]).format(said(3)) if rng.random() < 0.3 else "") for t in blocks)
+    body = f"<article>{inner}</article>"
+    body = rng.choice(["{}", "<form>{}</form>", "<div class='has-sidebar'>{}</div>", "<main>{}</main>", "<div><section>{}</section></div>"]).format(body)
+    return f"<html><head><title>{said(4)}</title></head><body>" + "".join(noise() for _ in range(rng.randint(0, 3))) + body + "".join(noise() for _ in range(rng.randint(0, 3))) + "</body></html>", "\n".join(blocks)
+
+
+def test_main_text_of_composed_pages(spark):
+    rng = random.Random(11)
+    pages = [composed(rng) for _ in range(400)]
+    rows = [(i, f"https://h{i % 7}.example/{rng.randint(0, 50)}/{i}", page, "x") for i, (page, _) in enumerate(pages)] * 2
+    got = html_main.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, hashes string").repartition(5)).collect()
+    assert len(got) == 800
+    wrong = [(r.text, pages[r.page_id]) for r in got if r.text != pages[r.page_id][1] or r.n_chars != len(r.text)]
+    assert not wrong, wrong[0]
+
+
+def test_differencing_decides(spark, monkeypatch):
+    """Menus of pages without structure, copies among them, and lists of links in articles go by what the nearest page shares."""
+    menu = "".join(f"<p>Entry {k} of the menu</p>" for k in range(20))
+    bare = lambda n, t: (n, f"http://h.example/a/{n}", f"{menu}<p>{t}</p><p>{t} more words of this page only</p>")
+    rows = [bare(1, "first"), (2, "http://h.example/a/1x", bare(1, "first")[2]), bare(3, "third")]
+    article = lambda n, t: (n, f"http://g.example/b/{n}", f"<article><p>{t}</p><p>said by all</p><p><a href='/'>Share this</a></p><p><a href='/{n}'>Own {n}</a></p></article>")
+    rows += [article(5, "five " * 9), article(6, "six " * 9)]
+    run = lambda: {r.page_id: (r.text, r.n_deleted) for r in html_main.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = run()
+    assert got[1] == got[2] == ("first\nfirst more words of this page only", 20) and got[3] == ("third\nthird more words of this page only", 20)
+    assert got[5] == ("five " * 8 + "five\nsaid by all\nOwn 5", 1) and got[6][1] == 1
+    monkeypatch.setattr(html_main, "deletions", lambda *a: [])
+    assert run() != got
+
+
+def test_pages_take_linear_time():
+    began = time.time()
+    assert html_main.lines("<span>" * 60_000 + "x" + "<p>y" * 20_000)[0] == ("x", html_main.ELSEWHERE)
+    assert len(html_main.lines("<div><span>" * 20_000 + "<li>z</li>" * 20_000)) == 20_000
+    a = list(range(6000))
+    assert len(html_main.common(a, a[::-1] + a[3000:])) == 3000
+    assert time.time() - began < 20
 
 
 # 5
@@ -291,12 +369,14 @@ def test_bpe_equals_tiktoken(coders):
         assert ids.tolist() == other.encode_ordinary(t) and "".join(own.decode_stream(ids, 3)) == t
 
 
-def test_bpe_without_states_is_the_same(coders, monkeypatch):
+def test_bpe_with_evicted_states_is_the_same(coders, monkeypatch):
     own, other = coders
-    monkeypatch.setattr(bpe, "MAX_TRANSITIONS", 0)
-    own.pieces.clear()
-    for _, t in docs_of(10):
-        assert own.encode_text(t).tolist() == other.encode_ordinary(t)
+    for most in (1, 7, 300):
+        monkeypatch.setattr(bpe, "MAX_TRANSITIONS", most)
+        own.pieces.clear()
+        for t in ["a" * 700, "ab" * 300 + "é" * 90, *(t for _, t in docs_of(10))]:
+            assert own.encode_text(t).tolist() == other.encode_ordinary(t)
+        assert len(own.moves) <= most + 1100
 
 
 def test_bpe_query(spark, coders):

@@ -5,10 +5,10 @@ of its encoding: the one that ends there and is compatible with the last token o
 (two tokens are compatible if the merges, applied to their bytes joined, give back these two). A state of the
 transducer holds the starts from which a token may still grow, each with its trie node and the tokens that lead
 to it and aren't settled. What all these have in common is settled and emitted, so a token is emitted after a
-lookahead of at most the longest token. States and transitions are made when first needed, up to a bound; a
-piece that then needs a state that isn't there runs through the undeterminised transducer, depth first, longest
-token first (each end of a token is entered once: the last token of a prefix is unique). A piece that is itself in the vocabulary is that one token, as in the public
-encoders. Decoding feeds the tokens' bytes through an incremental UTF-8 state machine.
+lookahead of at most the longest token. States and transitions are made when first needed; when there are
+MAX_TRANSITIONS, a worker drops them all and determinises anew, so its memory is bounded whatever the texts hold.
+A piece that is itself in the vocabulary is that one token, as in the public encoders. Decoding feeds the tokens'
+bytes through an incremental UTF-8 state machine.
 
 Defined cases: a null text is an empty text and has no tokens; repeated rows are encoded each; an empty table
 gives no rows; extra columns are ignored; special tokens' strings are ordinary text. Ids that form no valid
@@ -27,26 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import python_batches, table
 
-#: Most transitions that a worker determinises, most pieces that it remembers (the first ones it meets), and most
-#: token pairs before it starts afresh.
-MAX_TRANSITIONS = 40_000
-MAX_PIECES = 250_000
-MAX_PAIRS = 400_000
+#: Transitions and token pairs at which a worker starts afresh, and most pieces that it remembers (the first ones it meets).
+MAX_TRANSITIONS = 100_000
+MAX_PAIRS = 200_000
+MAX_PIECES = 150_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
-class Node(dict):
-    """A trie node: from byte to child, with the token that ends here, if any."""
-
-    __slots__ = ("token",)
-
-    def __init__(self):
-        self.token: int | None = None
-
-
 class Transducer:
     """Encoder of single pieces; `encode_text` splits a text into pieces by the pattern first."""
 
@@ -55,31 +45,40 @@ class Transducer:
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        self.root = Node()
+        # The trie: (node << 8 | byte) to child, the token that ends at a node (-1: none), and whether tokens go on from it. The root is node 0.
+        self.children: dict[int, int] = {}
+        self.token_at, self.goes_on = array("i", [-1]), bytearray(1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-            node = self.root
-            for b in token:
-                child = node.get(b)
+            node = 0
+            for byte in token:
+                child = self.children.get(node << 8 | byte)
                 if child is None:
-                    child = node[b] = Node()
+                    child = self.children[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.goes_on.append(0)
+                    self.goes_on[node] = 1
                 node = child
-            node.token = rank
+            self.token_at[node] = rank
         self.pairs: dict[int, bool] = {}
         self.parts: dict[int, tuple[int, int]] = {}
+        self.made: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        # The start state is number 0.
-        self.states: list[tuple] = [(None, ((self.root, ()),))]
-        self.numbers: dict[tuple, int] = {self._key(self.states[0]): 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.start_afresh()
 
-    @staticmethod
-    def _key(state: tuple) -> tuple:
-        return state[0], tuple((id(node), chain) for node, chain in state[1])
+    def start_afresh(self) -> None:
+        """Only the start state, number 0, and no transitions."""
+        start = (None, ((0, ()),))
+        self.states: list[tuple] = [start]
+        self.numbers: dict[tuple, int] = {start: 0}
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def reachable(self, token: int) -> bool:
         """Whether merges make the token from its bytes."""
-        return len(self.bytes_of[token]) == 1 or self.halves(token)[0] != token
+        known = self.made.get(token)
+        if known is None:
+            known = self.made[token] = len(self.bytes_of[token]) == 1 or self.halves(token)[0] != token
+        return known
 
     def merges(self, piece: bytes, below: int = 1 << 62) -> list[int]:
         """The encoding by definition: merge the leftmost pair of lowest rank, if that is less than below, until none is left."""
@@ -146,78 +145,59 @@ class Transducer:
     def move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after one more byte, and the tokens settled by it."""
         last, live = self.states[number]
-        compatible, reachable = self.compatible, self.reachable
+        children, goes_on = self.children.get, self.goes_on
         grown, found = [], None
         for node, chain in live:
-            child = node.get(byte)
+            child = children(node << 8 | byte)
             if child is None:
                 continue
-            token = child.token
-            if token is not None and found is None and reachable(token):
+            if found is None and (token := self.token_at[child]) >= 0 and self.reachable(token):
                 before = chain[-1] if chain else last
-                if before is None or compatible(before, token):
+                if before is None or self.compatible(before, token):
                     found = (*chain, token)
-            if child:
+            if goes_on[child]:
                 grown.append((child, chain))
         if found is None:
             raise ValueError("the vocabulary lacks single bytes")
-        grown.append((self.root, found))
-        settled = 0
-        shortest = min(len(chain) for _, chain in grown)
-        while settled < shortest and all(chain[settled] == found[settled] for _, chain in grown):
-            settled += 1
+        settled = len(found)
+        for _, chain in grown:
+            n = 0
+            for x, y in zip(chain, found):
+                if x != y:
+                    break
+                n += 1
+            settled = min(settled, n)
         out = found[:settled]
+        grown.append((0, found))
         state = (out[-1] if out else last, tuple((node, chain[settled:]) for node, chain in grown))
-        key = self._key(state)
-        target = self.numbers.get(key)
+        target = self.numbers.get(state)
         if target is None:
-            target = self.numbers[key] = len(self.states)
+            target = self.numbers[state] = len(self.states)
             self.states.append(state)
         self.moves[number << 8 | byte] = (target, out)
         return target, out
 
-    def depth_first(self, piece: bytes, settled: list[int]) -> list[int]:
-        """All tokens, from the settled ones on, without determinised states: longest token first, back where no compatible one is left."""
-        compatible, reachable, root, of = self.compatible, self.reachable, self.root, self.bytes_of
-        size, tokens, ways, ends, dead = len(piece), settled, [], [sum(len(of[t]) for t in settled)], set()
-        while True:
-            at = ends[-1]
-            if at == size:
-                return tokens
-            if len(ways) < len(ends):
-                found, node, i = [], root, at
-                while i < size and (node := node.get(piece[i])) is not None:
-                    i += 1
-                    if (token := node.token) is not None:
-                        found.append((token, i))
-                ways.append(found)
-            options = ways[-1]
-            while options:
-                token, end = options.pop()
-                if end not in dead and (compatible(tokens[-1], token) if tokens else True) and reachable(token):
-                    tokens.append(token)
-                    ends.append(end)
-                    break
-            else:
-                if len(ends) == 1:
-                    raise ValueError("the vocabulary lacks single bytes")
-                dead.add(at)
-                tokens.pop()
-                ends.pop()
-                ways.pop()
-
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
+        if len(self.moves) >= MAX_TRANSITIONS:
+            self.start_afresh()
         tokens: list[int] = []
-        state, get, full = 0, self.moves.get, len(self.moves) >= MAX_TRANSITIONS
+        state, get, left = 0, self.moves.get, MAX_TRANSITIONS
         for byte in piece:
             step = get(state << 8 | byte)
             if step is None:
-                if full:
-                    return tuple(self.depth_first(piece, tokens))
                 step = self.move(state, byte)
+                left -= 1
+                if not left:  # a piece of very many bytes: its state goes on alone
+                    state = self.states[step[0]]
+                    self.start_afresh()
+                    get, left = self.moves.get, MAX_TRANSITIONS
+                    if state not in self.numbers:
+                        self.numbers[state] = len(self.states)
+                        self.states.append(state)
+                    step = (self.numbers[state], step[1])
             state = step[0]
             if step[1]:
                 tokens += step[1]

@@ -1,18 +1,19 @@
 """Main-text extraction: nearest-URL page differencing guided by the page's own structure.
 
 A page is cut into lines, one for each block of text, with the place each stands in: inside an article or main
-element, inside boilerplate (by element, role, class or id), or elsewhere. Pages of a host are ordered by URL
-path, and a page is compared with the one of its two neighbours that shares the longer path. The two pages'
-lines are aligned by their longest common subsequence, and shared lines are deleted, unless they stand in an
-article: articles may share passages. A neighbour that shares nearly all lines is a copy, which tells nothing.
-The text is the article's lines if there is one, else all lines that are left.
+element, inside an article that a wrapper of doubtful name holds, inside boilerplate (by element, role, class or id),
+or elsewhere. Pages of a host are ordered by URL path, and a page is compared with the one of its two neighbours that
+shares the longer path and isn't a copy. The two pages' lines are aligned by their longest common subsequence, at
+every size, and shared lines are deleted: all of them outside articles, and in an article those that are nothing
+but links (articles may share passages, as copies do). The text is what is left of the article's lines if there is
+an article, else of all lines.
 
 Differencing alone can't give the article of pages whose menus, adverts and footers differ from page to page,
-so structure decides where it is marked and differencing decides the rest (see the README).
+so structure guards it (see the README). n_deleted tells how many lines a page lost to its neighbour.
 
 Defined cases: a null html is empty and gives empty text; a null url belongs to no host and has no neighbour;
-pages that repeat are compared with other pages only; unclosed elements end with the element around them; an
-empty table gives no rows; extra columns are ignored. One page is one row, however long.
+pages of a host with the same lines are one page, at the least of their paths, so a page is never compared with its copy; unclosed elements end with the element around them; an empty table gives no rows;
+extra columns are ignored. One page is one row, however long, and takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -26,12 +27,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import partitions, python_batches, staged, table
 
-#: Share of a page's other lines from which a neighbour counts as a copy, and lines at least for that.
-COPY_SHARE, COPY_LINES = 0.8, 5
 #: Deletions (rows) up to which they are broadcast to the pages; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
-#: Lines beyond which an alignment keeps lines that both pages hold once, in order, instead of a full table.
-FULL_TABLE = 2_000
+#: Bytes of an alignment's table; longer pages are aligned in halves.
+TABLE_BYTES = 16 << 20
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[a-zA-Z/][^>]*(?:>|\Z)", re.S)
 # Element names by their role, and words of class, id and role that mark boilerplate.
@@ -52,7 +51,11 @@ MARKED = re.compile(
     re.I,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-IN_MAIN, ELSEWHERE, DROPPED = 0, 1, 2
+# Elements and words that may wrap a whole page, whose articles still count.
+MAY_WRAP = {"form", "fieldset"}
+NEVER_WRAPS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|comment|comments|commentlist|disqus|promo|promoted|related|replies|respond|sponsor|sponsored)(?:[\s_-]|$)", re.I)
+#: Places of a line: in an article, a line of links in one, in a wrapped article, elsewhere, in boilerplate that may wrap an article, in other boilerplate.
+IN_MAIN, LINKS, IN_WRAPPED, ELSEWHERE, MAYBE, DROPPED = range(6)
 
 
 def boilerplate(attributes: str) -> bool:
@@ -65,41 +68,85 @@ def boilerplate(attributes: str) -> bool:
     return False
 
 
+def hides(attributes: str) -> bool:
+    """Whether boilerplate of these attributes can't hold the page's article."""
+    return any(name.lower() not in ("class", "id", "role") or NEVER_WRAPS.search("".join(values)) for name, *values in ATTRIBUTE.findall(attributes))
+
+
+class Open:
+    """The open elements, with what is asked about them at hand: each is looked at once when it opens and once when it closes."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []  # name, place outside
+        self.names: dict[str, int] = {}
+        self.blocks: list[int] = []
+        self.articles = 0
+
+    def push(self, name: str, outside: int) -> None:
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.articles += name in MAIN
+        self.names[name] = self.names.get(name, 0) + 1
+        self.stack.append((name, outside))
+
+    def cut(self, depth: int) -> int:
+        """Close all from this depth on; the place outside."""
+        outside = self.stack[depth][1]
+        for name, _ in self.stack[depth:]:
+            self.names[name] -= 1
+            self.articles -= name in MAIN
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+        del self.stack[depth:]
+        return outside
+
+    def depth(self, name: str) -> int | None:
+        if not self.names.get(name):
+            return None
+        return next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == name)
+
+
 def lines(page: str) -> list[tuple[str, int]]:
     """The page's blocks of text in order, each with its place."""
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int, int]] = []  # name, place inside, place outside
-    place, held, at = ELSEWHERE, [], 0
+    open_ = Open()
+    place, held, at, plain = ELSEWHERE, [], 0, False
+
+    def text(part: str) -> None:
+        nonlocal plain
+        held.append(part)
+        plain = plain or not open_.names.get("a") and not part.isspace()
 
     def close() -> None:
+        nonlocal plain
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+            whole = " ".join(entities.unescape("".join(held)).split())
             held.clear()
-            if text:
-                out.append((text, place))
+            if whole:
+                out.append((whole, LINKS if place == IN_MAIN and not plain else place))
+        plain = False
 
     size = len(page)
     lower = None
     for _ in range(size + 1):
         m = TOKEN.search(page, at)
         if m is None:
-            held.append(page[at:])
+            text(page[at:])
             break
         if m.start() > at:
-            held.append(page[at : m.start()])
+            text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name in BLOCK or depth is not None and any(x[0] in BLOCK for x in stack[depth:]):
+            depth = open_.depth(name)
+            if name in BLOCK or depth is not None and open_.blocks and open_.blocks[-1] >= depth:
                 close()
             if depth is not None:
-                if stack[depth][2] != place:
+                if open_.stack[depth][1] != place:
                     close()
-                place = stack[depth][2]
-                del stack[depth:]
+                place = open_.cut(depth)
             continue
         if name in RAW:
             if name == "title":
@@ -123,38 +170,60 @@ def lines(page: str) -> list[tuple[str, int]]:
             continue
         if name in BLOCK:
             close()
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name in HEADINGS:
+            if (name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name in HEADINGS) and open_.blocks:
                 # An open paragraph or item ends where the next begins.
-                for i in range(len(stack) - 1, -1, -1):
-                    own = stack[i][0]
-                    if own == name or own == "p" and name in HEADINGS:
-                        place = stack[i][2]
-                        del stack[i:]
-                        break
-                    if own in BLOCK:
-                        break
+                own = open_.stack[open_.blocks[-1]][0]
+                if own == name or own == "p" and name in HEADINGS:
+                    place = open_.cut(open_.blocks[-1])
         if m[3].endswith("/") and name not in BLOCK:
             continue
         before = place
-        inside = any(x[0] in MAIN for x in stack)
-        if place != DROPPED:
-            if name in MAIN and not boilerplate(m[3]):
-                place = IN_MAIN
-            elif name == "header" and inside:
+        marked = name not in ("html", "body") and bool(m[3]) and boilerplate(m[3])
+        if place == MAYBE and name in MAIN and not marked:
+            place = IN_WRAPPED
+        elif place != DROPPED:
+            if name in MAIN and not marked:
+                place = IN_MAIN if place in (IN_MAIN, ELSEWHERE) else place
+            elif name == "header" and open_.articles:
                 pass
-            elif name in BOILERPLATE or name not in ("html", "body") and m[3] and boilerplate(m[3]):
-                place = DROPPED
+            elif name in BOILERPLATE or marked:
+                wraps = place in (ELSEWHERE, MAYBE) and (name in MAY_WRAP or name not in BOILERPLATE) and not (marked and hides(m[3]))
+                place = MAYBE if wraps else DROPPED
         if place != before:
             now, place = place, before
             close()
             place = now
-        stack.append((name, place, before))
+        open_.push(name, before)
     close()
     return out
 
 
+def _rows(x: list[int], y: list[int]):
+    """For each line of x the row of the alignment's table, as bits: a bit of y is 0 where the common subsequence grows by it."""
+    masks: dict[int, int] = {}
+    for j, h in enumerate(y):
+        masks[h] = masks.get(h, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for h in x:
+        both = row & masks.get(h, 0)
+        row = (row + both | row - both) & full
+        yield row
+
+
+def _lengths(x: list[int], y: list[int]):
+    """The length of a longest common subsequence of x and each beginning of y."""
+    import numpy as np
+
+    row = (1 << len(y)) - 1
+    for row in _rows(x, y):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
 def common(a: list[int], b: list[int]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b (for long lists of one of the lines that occur once)."""
+    """Places in a of a longest common subsequence of a and b: by rows of bits, and in halves where these take too much."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -162,43 +231,27 @@ def common(a: list[int], b: list[int]) -> set[int]:
     while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
         end += 1
     out = {*range(start), *range(len(a) - end, len(a))}
-    x, y = a[start : len(a) - end], b[start : len(b) - end]
-    if not x or not y or not set(x) & set(y):
-        return out
-    if max(len(x), len(y)) <= FULL_TABLE:
-        table_ = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            row, below = table_[i], table_[i + 1]
-            for j in range(len(y) - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                out.add(start + i)
-                i, j = i + 1, j + 1
-            elif table_[i + 1][j] >= table_[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+    held = set(b)
+    places = [i for i in range(start, len(a) - end) if a[i] in held]
+    x, own = [a[i] for i in places], set(a)
+    y = [h for h in b[start : len(b) - end] if h in own]
+    if not x or not y:
         return out
-    # Lines that both hold once: the longest increasing run of their places (patience sorting).
-    from bisect import bisect_left
-    from collections import Counter
-
-    nx, ny = Counter(x), Counter(y)
-    place = {h: j for j, h in enumerate(y) if ny[h] == 1}
-    pairs = [(i, place[h]) for i, h in enumerate(x) if nx[h] == 1 and h in place]
-    tops: list[int] = []
-    heads: list[int] = []
-    back: list[int] = []
-    for k, (_, j) in enumerate(pairs):
-        at = bisect_left(tops, j)
-        back.append(heads[at - 1] if at else -1)
-        tops[at : at + 1], heads[at : at + 1] = [j], [k]
-    k = heads[-1] if heads else -1
-    while k >= 0:
-        out.add(start + pairs[k][0])
-        k = back[k]
+    if len(x) > 1 and len(x) * (len(y) // 8 + 1) > TABLE_BYTES:
+        half = len(x) // 2
+        both = _lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]
+        at = int(both.argmax())
+        return out | {places[i] for i in common(x[:half], y[:at])} | {places[half + i] for i in common(x[half:], y[at:])}
+    rows = list(_rows(x, y))
+    i, j = len(x), len(y)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> j - 1 & 1:
+            out.add(places[i])
+            j -= 1
     return out
 
 
@@ -219,14 +272,9 @@ def shared_prefix(a: str, b: str) -> int:
     return n
 
 
-def deletions(a: list[tuple[int, int]], b: list[int]) -> list[int]:
-    """Lines of the page a (hash, place) that the neighbour b holds too and that don't stand in an article."""
-    own = [h for h, _ in a]
-    other = [h for h, p in a if p != IN_MAIN]
-    held = set(b)
-    if len(other) >= COPY_LINES and sum(h in held for h in own) >= COPY_SHARE * len(own):
-        return []
-    return sorted(i for i in common(own, b) if a[i][1] != IN_MAIN)
+def deletions(a: list[int], places: list[int], b: list[int]) -> list[int]:
+    """Lines of the page a that the neighbour b holds too, in order, and that aren't text of an article."""
+    return sorted(i for i in common(a, b) if places[i] not in (IN_MAIN, IN_WRAPPED))
 
 
 def _line_hash(text: str) -> int:
@@ -259,7 +307,9 @@ def found_deletions(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "page_id", "host", "path", "hashes", "places"])
 
     cut_pages = rows.mapInArrow(cut, "key long, page_id long, host string, path string, hashes array<long>, places array<tinyint>")
-    cut_pages = cut_pages.dropDuplicates(["key"])
+    cut_pages = staged(cut_pages.withColumn("body", F.xxhash64("host", "hashes")), "lines")
+    one = F.min_by(F.struct("page_id", "path", "hashes", "places"), F.struct("path", "page_id", "key")).alias("one")
+    bodies = cut_pages.groupBy("host", "body").agg(one).select("host", "body", "one.*")
 
     def numbered(batches):
         import pyarrow as pa
@@ -271,15 +321,15 @@ def found_deletions(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *batch.columns], names=["part", "at", *batch.schema.names])
             at += n
 
-    ordered = cut_pages.repartitionByRange(partitions(spark), "host", "path", "page_id", "key").sortWithinPartitions("host", "path", "page_id", "key")
-    ordered = staged(ordered.mapInArrow(numbered, "part int, at long, key long, page_id long, host string, path string, hashes array<long>, places array<tinyint>"), "pages")
+    ordered = bodies.repartitionByRange(partitions(spark), "host", "path", "page_id", "body").sortWithinPartitions("host", "path", "page_id", "body")
+    ordered = staged(ordered.mapInArrow(numbered, "part int, at long, host string, body long, page_id long, path string, hashes array<long>, places array<tinyint>"), "pages")
     sizes = sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a partition
     first, total = [], 0
     for part, n in sizes:
         first.append((part, total))
         total += n
     ranked = ordered.join(F.broadcast(spark.createDataFrame(first, "part int, first long")), "part").withColumn("rank", F.col("first") + F.col("at"))
-    ranked = ranked.select("rank", "key", "host", "path", "hashes", "places")
+    ranked = ranked.select("rank", "body", "host", "path", "hashes", "places")
     side = lambda step, tag: ranked.select((F.col("rank") + step).alias("rank"), F.struct("host", "path", "hashes").alias(tag))
     both = ranked.join(side(1, "before").hint("shuffle_hash"), "rank", "left").join(side(-1, "after").hint("shuffle_hash"), "rank", "left")
 
@@ -290,15 +340,14 @@ def found_deletions(rows: DataFrame) -> DataFrame:
             keys, gone = [], []
             for r in batch.to_pylist():
                 near = [(shared_prefix(r["path"], x["path"]), -i, x["hashes"]) for i, x in enumerate((r["before"], r["after"])) if x and x["host"] == r["host"]]
-                if not near:
-                    continue
-                out = deletions(list(zip(r["hashes"], r["places"], strict=True)), max(near, key=lambda x: x[:2])[2])
-                if out and IN_MAIN not in r["places"]:
-                    keys.append(r["key"])
+                out = deletions(r["hashes"], r["places"], max(near, key=lambda x: x[:2])[2]) if near else []
+                if out:
+                    keys.append(r["body"])
                     gone.append(out)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["body", "gone"])
 
-    return staged(both.mapInArrow(compare, "key long, gone array<int>"), "deletions")
+    found = both.mapInArrow(compare, "body long, gone array<int>")
+    return staged(cut_pages.select("key", "body").distinct().join(found.hint("shuffle_hash"), "body").select("key", "gone"), "deletions")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -317,8 +366,9 @@ def extracted(pages: DataFrame) -> DataFrame:
             for page, numbers in zip(batch.column(2), batch.column(3), strict=True):
                 found = lines(page.as_py())
                 drop = set(numbers.as_py() or ())
-                wanted = IN_MAIN if any(p == IN_MAIN for _, p in found) else ELSEWHERE
-                texts.append("\n".join(x for i, (x, p) in enumerate(found) if p == wanted and i not in drop))
+                there = {p for _, p in found}
+                wanted = {IN_MAIN, LINKS} if there & {IN_MAIN, LINKS} else {IN_WRAPPED} if IN_WRAPPED in there else {ELSEWHERE}
+                texts.append("\n".join(x for i, (x, p) in enumerate(found) if p in wanted and i not in drop))
                 deleted.append(len(drop))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(deleted, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_deleted"])
 

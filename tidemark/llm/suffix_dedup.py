@@ -6,17 +6,18 @@ Earlier means a smaller doc_id, or the same document and an earlier start; strin
    least hash, leftmost. Consecutive windows with one anchor form a run. Equal windows have equal anchors, so
    runs meet by the anchor's hash; a run equal to an earlier one of the batch is removed on the spot, so a hot
    passage is pre-aggregated before the shuffle.
-2. Runs are shuffled by anchor hash and sorted. Of equal runs all but the first are removed. Where an anchor has
-   different runs, the first of each kind is fetched from its text.
-3. These runs go to the task of their anchor, in order, in batches. A batch's windows, sorted, are its suffix
-   array (suffixes compared as far as LENGTH bytes: by the leading byte, then by fingerprint). It is scanned
-   against the levels of the index by merging: windows found there are removed. What is new becomes a level;
-   levels of like size merge, so sizes are geometric and each window is merged a logarithmic number of times.
-   Suffixes of anchors that are done leave the index.
+2. Runs are shuffled by anchor hash and sorted. Of equal runs (by 128 bits of fingerprints) all but the first are
+   removed. Where an anchor has different runs, the first of each kind is fetched from its text.
+3. These runs are dealt to shards, by anchor, or by window where an anchor has more than HOT kinds of runs. A shard
+   takes them in the order of doc_id and start, in batches of BATCH bytes. Each batch gets its suffix array
+   (ranks of 8, 16, 32, 64 and LENGTH bytes by prefix doubling) and is merge-scanned against every level of the shard's
+   index: a suffix is looked up in the level's order by comparing bytes, and one whose longest match there has
+   LENGTH bytes is removed. What is new becomes a level; levels of like size merge, so sizes are geometric and a
+   suffix is merged a logarithmic number of times. The levels stay for all batches of the shard.
 4. Removals are gathered by document and cut out.
 
-Fingerprints have 120 bits; windows are not compared byte by byte. The index of a task holds the different
-surroundings of one anchor and two batches, not its copies.
+Suffixes that start no window of a run are not indexed: they belong to another shard. There are as many shards as
+SHARD bytes of runs each take, so an index is bounded however large the input is.
 
 Defined cases: a null text is empty; documents shorter than LENGTH stay whole; documents with a null doc_id are
 neither indexed nor cut; of rows that repeat a doc_id each gets the removals found for that id, and later rows
@@ -38,6 +39,9 @@ GRAMS = 64
 #: Bytes hashed at a time, and bytes of runs in one batch of the index.
 PIECE = 1 << 20
 BATCH = 1 << 20
+#: Bytes of runs that one shard's index holds, about, and kinds of runs of one anchor from which its windows are dealt singly.
+SHARD = 8 << 20
+HOT = 1_000
 
 
 def _runs(texts: list[bytes]):
@@ -184,106 +188,185 @@ def compressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, blob binary")
 
 
+def dealt(wanted: DataFrame) -> DataFrame:
+    """wanted (doc_id, start, windows, anchor) with single: whether the anchor has so many kinds of runs that its windows go their own ways."""
+    kinds = wanted.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("anchor", F.lit(True).alias("single"))
+    return wanted.join(kinds.hint("merge"), "anchor", "left").select("doc_id", "start", "windows", "anchor", F.coalesce("single", F.lit(False)).alias("single"))
+
+
 def fetched(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, doc_id, start and bytes of the wanted runs (doc_id, start, windows, anchor)."""
+    """shard, doc_id, start and bytes of the wanted runs (doc_id, start, windows, anchor, single)."""
 
     def work(batches):
+        import numpy as np
         import pyarrow as pa
         import zstandard
 
+        from tidemark.llm.rolling import Rolling
+
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             columns: list[list] = [[], [], [], []]
+
+            def add(*row):
+                for column, value in zip(columns, row, strict=True):  # noqa: B023
+                    column.append(value)
+
             for own, blob, runs in zip(*batch.columns, strict=True):
-                data = unpack(blob.as_py())
+                data, own = unpack(blob.as_py()), own.as_py()
                 for r in runs.as_py():
-                    for column, value in zip(columns, (r["anchor"], own.as_py(), r["start"], data[r["start"] : r["start"] + r["windows"] + LENGTH - 1]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "doc_id", "start", "run"])
+                    run = data[r["start"] : r["start"] + r["windows"] + LENGTH - 1]
+                    if not r["single"]:
+                        add(r["anchor"], own, r["start"], run)
+                        continue
+                    for i, key in enumerate(Rolling(run).windows(np.arange(r["windows"]), LENGTH)[0].view(np.int64).tolist()):
+                        add(key, own, r["start"] + i, run[i : i + LENGTH])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "doc_id", "start", "run"])
 
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("runs"))
-    return blobs.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "blob", "runs").mapInArrow(work, "anchor long, doc_id long, start int, run binary")
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "single")).alias("runs"))
+    return blobs.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "blob", "runs").mapInArrow(work, "shard long, doc_id long, start int, run binary")
 
 
-class IndexFamily:
-    """Levels of sorted windows (key and second fingerprint); each is at least twice as large as the next."""
+def suffix_ranks(data):
+    """The rank of each position among all, by the LENGTH bytes that follow it (positions with fewer have no meaning): prefix doubling."""
+    import numpy as np
+
+    rank = Suffixes.words(data).astype(np.uint64)
+    size = 8
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+    while size < LENGTH:
+        step = min(size, LENGTH - size)
+        ahead = np.zeros(len(rank), np.uint64)
+        ahead[:-step] = rank[step:]
+        rank = np.unique(rank << np.uint64(32) | ahead, return_inverse=True)[1].astype(np.uint64)
+        size += step
+    return rank
 
-    def __init__(self):
-        self.levels: list[tuple] = []
 
-    def found(self, keys, marks):
-        """Which of the sorted windows some level holds."""
+class Suffixes:
+    """Text with some of its suffixes in the order of the LENGTH bytes that follow: a batch's suffix array, or a level."""
+
+    #: Offsets of the eight-byte words that cover LENGTH bytes.
+    OFFSETS = [*range(0, LENGTH - 8, 8), LENGTH - 8]
+
+    def __init__(self, data, order):
+        self.data, self.order, self.first = data, order, self.words(data)
+
+    @staticmethod
+    def words(data):
+        """At each position the next eight bytes as one number (behind the end: zero bytes)."""
         import numpy as np
 
-        hit = np.zeros(len(keys), bool)
-        for own, second in self.levels:
-            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-            hit |= (own[at] == keys) & (second[at] == marks)
-        return hit
+        padded, out = np.concatenate([data, np.zeros(8, np.uint8)]), np.zeros(len(data), np.uint64)
+        for k in range(8):
+            out = out << np.uint64(8) | padded[k : k + len(data)]
+        return out
 
-    def add(self, keys, marks) -> None:
+    def place(self, other: Suffixes):
+        """For the suffixes of another, in their order, the places where they belong in this order, and whether their match there has LENGTH bytes."""
         import numpy as np
 
-        if not len(keys):
-            return
-        while self.levels and len(self.levels[-1][0]) < 2 * len(keys):
-            own, second = self.levels.pop()
-            keys, marks = np.concatenate([own, keys]), np.concatenate([second, marks])
-            order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
-            keys, marks = keys[order], marks[order]
-        self.levels.append((keys, marks))
+        low, high = np.zeros(len(other.order), np.int64), np.full(len(other.order), len(self.order))
+        while (open_ := np.flatnonzero(low < high)).size:
+            middle = (low[open_] + high[open_]) // 2
+            less = self._compared(self.order[middle], other, other.order[open_]) < 0
+            low[open_[less]], high[open_[~less]] = middle[less] + 1, middle[~less]
+        same = np.zeros(len(low), bool)
+        at = np.flatnonzero(low < len(self.order))
+        same[at] = self._compared(self.order[low[at]], other, other.order[at]) == 0
+        return low, same
+
+    def _compared(self, own, other: Suffixes, others):
+        """-1, 0 or 1: how LENGTH bytes from own places compare with those from the other's."""
+        import numpy as np
+
+        out, left = np.zeros(len(own), np.int8), np.arange(len(own))
+        for offset in self.OFFSETS:
+            x, y = self.first[own[left] + offset], other.first[others[left] + offset]
+            differ = x != y
+            out[left[differ]] = np.where(x[differ] < y[differ], -1, 1)
+            left = left[~differ]
+            if not len(left):
+                break
+        return out
+
+    def merged(self, other: Suffixes) -> Suffixes:
+        """One text and one order of both; no suffix of one is in the other."""
+        import numpy as np
 
+        place, _ = self.place(other)
+        return Suffixes(np.concatenate([self.data, other.data]), np.insert(self.order, place, other.order + len(self.data)))
 
-def indexed(fetched_runs: DataFrame) -> DataFrame:
-    """doc_id, start, windows of removed windows, found by scanning batches against the index of their task."""
 
-    def scan(family, rows):
+class IndexFamily:
+    """Levels of suffixes; each is at least twice as large as the next."""
+
+    def __init__(self):
+        self.levels: list[Suffixes] = []
+
+    def found(self, batch: Suffixes):
+        """Which of the batch's suffixes, in their order, match one of some level over LENGTH bytes."""
         import numpy as np
 
-        from tidemark.llm.rolling import Rolling
+        hit = np.zeros(len(batch.order), bool)
+        for level in self.levels:
+            left = np.flatnonzero(~hit)
+            part = Suffixes.__new__(Suffixes)
+            part.data, part.first, part.order = batch.data, batch.first, batch.order[left]
+            hit[left] = level.place(part)[1]
+        return hit
+
+    def add(self, new: Suffixes) -> None:
+        if not len(new.order):
+            return
+        while self.levels and len(self.levels[-1].order) < 2 * len(new.order):
+            new = self.levels.pop().merged(new)
+        self.levels.append(new)
 
-        roll = Rolling(b"".join(r[3] for r in rows))
-        sizes = np.fromiter((len(r[3]) for r in rows), np.int64, len(rows))
-        counts = sizes - LENGTH + 1
-        row = np.repeat(np.arange(len(rows)), counts)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = (np.cumsum(sizes) - sizes)[row] + offset
-        print_, marks = roll.windows(at, LENGTH)
-        keys = roll.data[at].astype(np.uint64) << np.uint64(56) | print_ >> np.uint64(8)
-        order = np.argsort(keys, kind="stable")
-        keys, marks = keys[order], marks[order]
-        again = np.zeros(len(keys), bool)
-        again[1:] = (keys[1:] == keys[:-1]) & (marks[1:] == marks[:-1])
-        hit = family.found(keys, marks)
-        removed = np.zeros(len(keys), bool)
-        removed[order] = again | hit
-        fresh = ~(again | hit)
-        own, start = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], removed, [False]]).astype(np.int8)))
-        # A stretch of removed windows ends where its run does.
-        out = []
-        for a, b in zip(edge[0::2], edge[1::2], strict=True):
-            while a < b:
-                stop = min(b, int(np.searchsorted(row, row[a], side="right")))
-                out.append((own[row[a]], start[row[a]] + offset[a], stop - a))
-                a = stop
-        anchors = np.array([r[0] for r in rows], np.int64)
-        return keys[fresh], marks[fresh], anchors[row[order]][fresh], out
+
+def scanned(family: IndexFamily, runs: list[bytes]):
+    """Scan a batch of runs against the family and add what is new to it: the removed windows, run by run, as a mask."""
+    import numpy as np
+
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+    begin, counts = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
+    row = np.repeat(np.arange(len(runs)), counts)
+    at = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rank = suffix_ranks(data)[at]
+    order = np.argsort(rank, kind="stable")
+    first = np.ones(len(order), bool)
+    first[1:] = rank[order[1:]] != rank[order[:-1]]
+    distinct = order[first]  # of equal windows of the batch the earliest
+    new = distinct[~family.found(Suffixes(data, at[distinct]))]
+    removed = np.ones(len(at), bool)
+    removed[new] = False
+    # The text of runs without a new window isn't kept.
+    used = np.zeros(len(runs), bool)
+    used[row[new]] = True
+    shift = begin - (np.cumsum(np.where(used, sizes, 0)) - np.where(used, sizes, 0))
+    family.add(Suffixes(data[np.repeat(used, sizes)], at[new] - shift[row[new]]))
+    return removed, row, at - begin[row]
+
+
+def indexed(fetched_runs: DataFrame, shards: int) -> DataFrame:
+    """doc_id, start, windows of removed windows, found by scanning batches against the index of their shard."""
 
     def work(batches):
+        import numpy as np
         import pyarrow as pa
 
-        family, rows, size, before = IndexFamily(), [], 0, None
+        family, rows, size = IndexFamily(), [], 0
 
         def close():
-            nonlocal family, before
-            if rows[0][0] != before:
-                family = IndexFamily()
-            keys, marks, anchors, out = scan(family, rows)
-            before = rows[-1][0]
-            if rows[0][0] != before:
-                family = IndexFamily()
-            family.add(keys[anchors == before], marks[anchors == before])
+            removed, row, offset = scanned(family, [r[3] for r in rows])
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], removed, [False]]).astype(np.int8)))
+            out: list[tuple] = []
+            for a, b in zip(edge[0::2], edge[1::2], strict=True):  # a stretch of removed windows ends where its run does
+                while a < b:
+                    stop = min(b, int(np.searchsorted(row, row[a], side="right")))
+                    out.append((rows[row[a]][1], rows[row[a]][2] + int(offset[a]), int(stop - a)))
+                    a = stop
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "start", "windows"])
 
         for batch in batches:
@@ -296,8 +379,8 @@ def indexed(fetched_runs: DataFrame) -> DataFrame:
         if rows:
             yield close()
 
-    dealt = fetched_runs.repartition(partitions(fetched_runs.sparkSession), "anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    return dealt.mapInArrow(work, "doc_id long, start int, windows int")
+    spread = fetched_runs.repartition(shards, "shard").sortWithinPartitions("doc_id", "start")
+    return spread.mapInArrow(work, "doc_id long, start int, windows int")
 
 
 def cut(blobs: DataFrame, removals: DataFrame) -> DataFrame:
@@ -344,7 +427,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     compared = staged(compared_runs(runs_of(usable)), "runs")
     blobs = compressed(rows)
     python_batches(spark, 20_000)
-    more = staged(indexed(fetched(blobs.where("doc_id is not null"), compared.where("anchor is not null"))), "removed")
+    wanted = compared.where("anchor is not null")
+    size = wanted.agg(F.sum(F.col("windows").cast("long") + LENGTH - 1)).first()[0] or 0
+    runs = fetched(blobs.where("doc_id is not null"), dealt(wanted))
+    more = staged(indexed(runs, max(partitions(spark), -(-size // SHARD))), "removed")
     python_batches(spark)
     return cut(blobs, compared.where("anchor is null").select("doc_id", "start", "windows").unionByName(more))
 
