@@ -15,7 +15,7 @@ RADIUS: at similarity 0.8 fingerprints differ in 10 bits on average, with a devi
 such window in 5,000, and fewer above it.
 
 Defined cases: null and empty texts have no words and match nothing, on either side; a document or item of
-fewer than five words is one shingle, so a short item is found only where it is all of a document; items that repeat are reported each under their item_id; rows with a null
+fewer than five words is one shingle, so a short item is found where its words stand in a row; items that repeat are reported each under their item_id; rows with a null
 doc_id are not examined and stay; an empty benchmark or table gives no rows; extra columns pass through.
 """
 
@@ -34,6 +34,7 @@ NUMERATOR, DENOMINATOR = 80, 100
 RADIUS, BLOCKS = 20, 7
 #: Words of all items up to which their shingles are broadcast; more are joined by a shuffle.
 BROADCAST_WORDS = 1_000_000
+SALTS = 16
 _SIZES = [64 // BLOCKS + (i < 64 % BLOCKS) for i in range(BLOCKS)]
 _STARTS = [sum(_SIZES[:i]) for i in range(BLOCKS)]
 
@@ -91,17 +92,25 @@ def reach(size: Column) -> Column:
     return F.floor(2 * DENOMINATOR * F.greatest(size - WIDTH + 1, F.lit(1)) / (NUMERATOR + DENOMINATOR)).cast("int")
 
 
+def held_by(rows: DataFrame, shingles: DataFrame, small: bool) -> DataFrame:
+    """rows with the items that hold their shingle; where these are too many for a broadcast, a shingle of very many rows is dealt into SALTS parts."""
+    if small:
+        return rows.join(F.broadcast(shingles), "shingle")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(shingles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["shingle", "salt"]).drop("salt")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, n_words, hamming, similarity: the best window of each document and item."""
     words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = words.select("item_id", F.size("words").alias("size"), shingles_of(F.col("words")).alias("shingles"))
     offsets = items.select("size", F.xxhash64("shingles").alias("kind"), F.posexplode("shingles").alias("offset", "shingle")).distinct()
-    if (words.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_WORDS:
-        offsets = F.broadcast(offsets)
+    small = (words.agg(F.sum(F.size("words"))).first()[0] or 0) <= BROADCAST_WORDS
+    short = [r["size"] for r in items.where(F.col("size") < WIDTH).select("size").distinct().collect()]  # at most WIDTH - 1
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("whole"), words_of(F.col("text")).alias("words"))
     rows = texts.select("doc_id", "whole", "words", F.explode(places(F.col("words"))).alias("at"))
-    met = rows.withColumn("shingle", shingle_at(F.col("words"), F.col("at"))).join(offsets, "shingle")
+    met = held_by(rows.withColumn("shingle", shingle_at(F.col("words"), F.col("at"))), offsets, small)
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("words") - F.col("size")))
     aligned = met.select("doc_id", "whole", "kind", "size", start.alias("first"), F.slice("words", start + 1, F.col("size") + reach(F.col("size"))).alias("near")).distinct()
     after = F.lead("first").over(W.partitionBy("doc_id", "whole", "kind").orderBy("first"))
@@ -109,6 +118,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     starts = laid.select("doc_id", "size", "first", "near", F.explode(F.sequence("first", "last")).alias("start"))
     windows = starts.select("doc_id", "size", "start", F.slice("near", F.col("start") - F.col("first") + 1, F.col("size")).alias("window")).distinct()
     windows = windows.select("doc_id", "size", "start", F.size("window").alias("n_words"), shingles_of(F.col("window")).alias("held"))
+    for size in short:  # an item of fewer words than a shingle is one shingle of its own width, looked for at every word
+        whole = items.where(F.col("size") == size).select(F.col("shingles")[0].alias("shingle")).distinct()
+        at = texts.where(F.size("words") >= size).select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("start"))
+        at = held_by(at.withColumn("shingle", F.xxhash64(F.concat_ws(" ", F.slice("words", F.col("start") + 1, size)))), whole, small)
+        windows = windows.unionByName(at.select("doc_id", F.lit(size).alias("size"), "start", F.lit(size).alias("n_words"), F.array("shingle").alias("held")).distinct())
     prints = windows.select("*", simhash(F.col("held")).alias("print"))
 
     index = hamming_index(items.withColumn("fingerprint", simhash(F.col("shingles"))))
