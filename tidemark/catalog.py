@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import partial
 
-from tidemark.plans import aggregates, dialect, extra, relational, timeseries
+from tidemark.plans import aggregates, dialect, extra, relational, series, studies, studies_sql, timeseries
 
 SQL = {**timeseries.QUERIES, **aggregates.QUERIES, **relational.QUERIES}
-QUERIES: dict = {name: partial(dialect.run, text) for name, text in SQL.items()} | extra.QUERIES
-ORACLES: dict = {name: dialect.oracle(text) for name, text in SQL.items()} | extra.ORACLES
+QUERIES: dict = {name: partial(dialect.run, text) for name, text in SQL.items()} | extra.QUERIES | studies.QUERIES | series.QUERIES
+ORACLES: dict = {name: dialect.oracle(text) for name, text in SQL.items()} | extra.ORACLES | studies_sql.ORACLES | series.ORACLES
+ORACLES["ts_features"] = series.features_sql(ORACLES)
