@@ -190,7 +190,7 @@ def ocean(spark, sf_dir: str) -> DataFrame:
     """A station's days from the orders of a day: values with gaps, as stations have them, and days without any."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("day"), "o_custkey", "o_totalprice")
     days = o.groupBy("day").agg(F.count("*").alias("n"), F.max("o_totalprice").cast("double").alias("m"), (F.sum("o_custkey") % 101).alias("k")).where("k % 7 <> 0")
-    value = {"wave_height_max": F.col("m") / 1e5, "swell_height_max": F.col("m") / 2e5, "wind_speed_max": F.col("k") * 0.5, "wind_gust_max": F.when(F.col("k") % 5 != 0, F.col("k")), "temp_mean": F.when(F.col("k") % 3 != 0, F.col("k") / 4), "pressure_msl": 1000 + F.col("k"), "precipitation": F.col("k") % 10, "sunshine_hours": F.col("k") % 13}
+    value = {"wave_height_max": F.floor(F.col("m") / 1000) / 8, "swell_height_max": F.floor(F.col("m") / 1000) / 16, "wind_speed_max": F.col("k") * 0.5, "wind_gust_max": F.when(F.col("k") % 5 != 0, F.col("k")), "temp_mean": F.when(F.col("k") % 3 != 0, F.col("k") / 4), "pressure_msl": 1000 + F.col("k"), "precipitation": F.col("k") % 10, "sunshine_hours": F.col("k") % 13}
     return days.select("day", *[value[c].cast("double").alias(c) for c in OCEAN])
 
 
@@ -274,7 +274,7 @@ grid AS (SELECT s.species, cal.*, coalesce(q, 0) AS q, coalesce(n, 0) AS n, row_
 _W = "WINDOW w AS (PARTITION BY species ORDER BY trade_date), c AS (PARTITION BY species ORDER BY trade_date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
 _HALF = "floor(({0}) * 1000000.0 + 0.5) / 1000000.0"
 _ROWS = "OVER (PARTITION BY species ORDER BY trade_date ROWS BETWEEN {0} PRECEDING AND 1 PRECEDING)"
-_SEA = "sea AS (SELECT day, m / 1e5 AS wave_height_max, m / 2e5 AS swell_height_max, k * 0.5 AS wind_speed_max, CASE WHEN k % 5 <> 0 THEN k END AS wind_gust_max, CASE WHEN k % 3 <> 0 THEN k / 4.0 END AS temp_mean, 1000 + k AS pressure_msl, k % 10 AS precipitation, k % 13 AS sunshine_hours FROM (SELECT CAST(o_orderdate AS DATE) AS day, CAST(max(o_totalprice) AS DOUBLE) AS m, sum(o_custkey) % 101 AS k FROM orders GROUP BY 1) WHERE k % 7 <> 0)"
+_SEA = "sea AS (SELECT day, floor(m / 1000) / 8 AS wave_height_max, floor(m / 1000) / 16 AS swell_height_max, k * 0.5 AS wind_speed_max, CASE WHEN k % 5 <> 0 THEN k END AS wind_gust_max, CASE WHEN k % 3 <> 0 THEN k / 4.0 END AS temp_mean, 1000 + k AS pressure_msl, k % 10 AS precipitation, k % 13 AS sunshine_hours FROM (SELECT CAST(o_orderdate AS DATE) AS day, CAST(max(o_totalprice) AS DOUBLE) AS m, sum(o_custkey) % 101 AS k FROM orders GROUP BY 1) WHERE k % 7 <> 0)"
 _OCEAN = f"""WITH {_SEA}, d AS (SELECT DISTINCT trade_date FROM lots), m AS (SELECT d.trade_date, avg(wave_height_max) AS wv, avg(wind_speed_max) AS wi, avg(temp_mean) AS te FROM d LEFT JOIN sea ON sea.day < d.trade_date AND sea.day >= d.trade_date - 7 GROUP BY d.trade_date)
 SELECT m.trade_date, {", ".join(f"{_HALF.format(c)} AS {c}_lag1" for c in OCEAN)}, {_HALF.format("wv")} AS wave_height_7d_avg, {_HALF.format("wi")} AS wind_speed_7d_avg, {_HALF.format("te")} AS temp_7d_avg, CAST(wind_gust_max > 50 AS INT) AS is_storm FROM m LEFT JOIN sea ON sea.day = m.trade_date - 1"""
 _ROBUST = """x AS (SELECT *, dense_rank() OVER (PARTITION BY species, packaging ORDER BY trade_date) AS i FROM lots), bnd AS (SELECT a.species, a.packaging, a.i, quantile_cont(CAST(b.price_avg AS DOUBLE), 0.1) AS lo, quantile_cont(CAST(b.price_avg AS DOUBLE), 0.9) AS hi, count(*) AS k
