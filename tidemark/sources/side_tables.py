@@ -34,6 +34,15 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("species").alias("species", "n"))
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """species, packaging and n of result documents {species, counts: {packaging: n}}; no rows where there is no file."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], "species string, packaging string, n long")
+    df = spark.read.schema("species string, counts map<string,bigint>").json(path)
+    return df.select("species", F.explode("counts").alias("packaging", "n"))
+
+
 def daily_from_parallel(responses: DataFrame, values: list[str]) -> DataFrame:
     """Rows of JSON responses (location, body) whose "daily" object holds an array for each value, zipped with time."""
     inner = ", ".join(f"{v}: array<double>" for v in values)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,17 @@ from pyspark.sql import functions as F
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only in plain local mode."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
+
+
 def event_stream(spark: SparkSession, sf_dir: str, per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
