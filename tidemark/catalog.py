@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import partial
 
-from tidemark.plans import aggregates, dialect, extra, flows, ingest, models, relational, series, studies, studies_sql, timeseries
+from tidemark.plans import aggregates, dialect, extra, flows, ingest, models, relational, series, serving, studies, studies_sql, timeseries
 
 SQL = {**timeseries.QUERIES, **aggregates.QUERIES, **relational.QUERIES}
-QUERIES: dict = {name: partial(dialect.run, text) for name, text in SQL.items()} | extra.QUERIES | studies.QUERIES | series.QUERIES | models.QUERIES | ingest.QUERIES | flows.QUERIES
-ORACLES: dict = {name: dialect.oracle(text) for name, text in SQL.items()} | extra.ORACLES | studies_sql.ORACLES | series.ORACLES | models.ORACLES | ingest.ORACLES | flows.ORACLES
+QUERIES: dict = {name: partial(dialect.run, text) for name, text in SQL.items()} | extra.QUERIES | studies.QUERIES | series.QUERIES | models.QUERIES | ingest.QUERIES | flows.QUERIES | serving.QUERIES
+ORACLES: dict = {name: dialect.oracle(text) for name, text in SQL.items()} | extra.ORACLES | studies_sql.ORACLES | series.ORACLES | models.ORACLES | ingest.ORACLES | flows.ORACLES | serving.ORACLES
 ORACLES["ts_features"] = series.features_sql(ORACLES)
