@@ -83,6 +83,47 @@ def test_recursions_against_loops():
     assert len(recursive.holt_winters(x)) == 7 and len(recursive.arima_forecast(x)) == 7 and len(recursive.holt_winters(x[:3])) == 7
 
 
+def test_loess_and_stl():
+    rng = np.random.default_rng(3)
+    y, own = rng.normal(0, 1, 60), rng.uniform(0.2, 1, 60)
+    at = np.arange(-1.0, 61.0)
+    got = recursive.loess(y, 9, own, at)
+    for x0, value in zip(at, got):
+        near = sorted(range(60), key=lambda i: (abs(i - x0), i))[:9]
+        first = min(max(int(np.round(x0)) - 4, 0), 51)
+        near = list(range(first, first + 9))
+        reach = max(abs(i - x0) for i in near)
+        w = np.array([max(1 - (abs(i - x0) / reach) ** 3, 0) ** 3 * own[i] for i in near])
+        line = np.polyfit(near, y[near], 1, w=np.sqrt(w))
+        assert abs(np.polyval(line, x0) - value) < 1e-6
+    t = np.arange(280.0)
+    season = np.tile([3, 1, 0, -2, -4, 0, 2.0], 40)
+    x = 50 + 0.1 * t + season + rng.normal(0, 0.1, 280)
+    x[[40, 111, 200]] += 60
+    trend, found, rest = recursive.stl(x)
+    assert np.allclose(trend + found + rest, x)
+    assert np.abs(trend - 50 - 0.1 * t)[10:-10].max() < 0.5 and np.abs(found - season)[10:-10].max() < 0.5
+    assert (rest[[40, 111, 200]] > 50).all()
+
+
+def test_autoregression_with_moving_average_follows_its_series():
+    rng = np.random.default_rng(4)
+    e, d = rng.normal(0, 0.01, 500), np.zeros(500)
+    for i in range(2, 500):
+        d[i] = 0.5 * d[i - 1] - 0.2 * d[i - 2] + e[i] + 0.4 * e[i - 1]
+    x = 1000 * np.exp(np.cumsum(d))
+    errors = [(abs(recursive.arima_forecast(x[:n], 1)[0] / x[n] - 1), abs(x[n - 1] / x[n] - 1)) for n in range(300, 490)]
+    assert np.mean([a for a, _ in errors]) < 0.9 * np.mean([b for _, b in errors])
+
+
+def test_search_finds_the_best_candidate(spark):
+    x = np.cos(np.arange(64) * 0.7) + np.cos(np.arange(64) * 2.0)
+    rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "species string, at int, residual double")
+    best = recursive.searched(rows, (2, 3), (200, 5000), 50).first()
+    want = min(((float(np.mean((recursive.vmd(x, k, a, rounds=50).sum(0) - x) ** 2)), k, a) for k in (2, 3) for a in (200, 5000)))
+    assert (best.n_modes, best.alpha, best.tried) == (want[1], want[2], 4) and abs(best.error - want[0]) < 1e-12
+
+
 def test_days_replace_themselves_and_prune(spark, tmp_path):
     path = str(tmp_path / "lots")
     row = lambda day, p: (day, "a", "a", None, "o", "1미", "kg", 1.0, p, p, p)

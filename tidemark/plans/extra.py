@@ -101,6 +101,7 @@ QUERIES = {
     "ml_forecasts": lambda spark, sf_dir: recursive.forecasts(daily(spark, sf_dir), order="trade_date"),
     "ml_boosted_trees": boosted_trees,
     "ml_decomposition": lambda spark, sf_dir: recursive.decomposed(daily(spark, sf_dir), order="trade_date"),
+    "ml_vmd_search": lambda spark, sf_dir: recursive.searched(recursive.decomposed(daily(spark, sf_dir), order="trade_date"), (3, 5, 8), (500, 2000, 5000), 100, order="trade_date"),
     "str_tumbling": streams.on_events(streams.tumbling),
     "str_sliding": streams.on_events(streams.sliding),
     "str_sessions": streams.on_events(streams.sessions),
