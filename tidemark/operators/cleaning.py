@@ -19,9 +19,13 @@ def species_alias(c: Column) -> Column:
     return mapped(c, schemas.SPECIES_ALIASES)
 
 
+# A padded count, and a state before a name.
+PADDED, STATED = r"^0(\d+미)$", r"^\(([^)]+)\)(.+)$"
+
+
 def spec_unpadded(c: Column) -> Column:
     """One leading zero of a plain count goes; ranges stay as they are."""
-    return F.regexp_replace(c, r"^0(\d+미)$", "$1")
+    return F.regexp_replace(c, PADDED, "$1")
 
 
 def avg_repaired(high: Column, low: Column, avg: Column) -> Column:
@@ -29,11 +33,11 @@ def avg_repaired(high: Column, low: Column, avg: Column) -> Column:
 
 
 def state_of(raw: Column) -> Column:
-    return F.nullif(F.regexp_extract(raw, r"^\(([^)]+)\)(.+)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(raw, STATED, 1), F.lit(""))
 
 
 def species_of(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"^\(([^)]+)\)(.+)$", "$2")
+    return F.regexp_replace(raw, STATED, "$2")
 
 
 def is_foreign(origin: Column) -> Column:

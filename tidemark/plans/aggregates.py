@@ -9,47 +9,24 @@ _CORR = "round((avg({x} * {y}) - avg({x}) * avg({y})) / nullif(stddev_pop({x}) *
 QUERIES = {
     "agg_config_daily": "SELECT species, state, packaging, trade_date, round(avg(price_avg), 6) AS price, max(price_high) AS high, min(price_low) AS low, count(*) AS n_lots, count(DISTINCT nullif(origin, '')) AS n_origins, sum(quantity) AS qty FROM lots GROUP BY species, state, packaging, trade_date",
     "agg_species_daily": "SELECT trade_date, species, round(avg(price_avg), 6) AS avg_price, max(price_high) AS max_price, min(price_low) AS min_price, sum(quantity) AS total_qty, count(price_avg) AS lots FROM lots GROUP BY trade_date, species",
-    "agg_run_summary": "SELECT trade_date, count(*) AS n, count(DISTINCT species) AS n_species, count(state) AS n_state, count(CASE WHEN state = 'A' THEN 1 END) AS n_a, count(CASE WHEN state = 'R' THEN 1 END) AS n_r, round(avg(price_avg), 6) AS mean_price, sum(quantity) AS qty FROM lots GROUP BY trade_date",
-    "agg_state_distribution": _SHARES.format(k="state", where="", flag="100.0 * n / total < 90 AS multi_state"),
     "agg_packaging_dominance": _SHARES.format(k="packaging", where="WHERE packaging <> ''", flag="100.0 * n / total > 80 AS dominated"),
     "agg_heterogeneous": "SELECT species, pct FROM (" + _SHARES.format(k="packaging", where="WHERE packaging <> ''", flag="1 AS one") + ") x WHERE pct < 50",
-    "agg_state_divergence": """WITH s AS (SELECT species, state, CAST(BROUND(avg(price_avg), 0) AS BIGINT) AS mean, count(*) AS n FROM lots WHERE state IS NOT NULL GROUP BY species, state HAVING count(*) > 10)
-SELECT species, count(*) AS states, max(mean) AS high, min(mean) AS low, round(CAST(max(mean) AS DOUBLE) / min(mean), 2) AS ratio, CAST(max(mean) AS DOUBLE) / min(mean) > 1.5 AS divergent FROM s GROUP BY species HAVING count(*) >= 2""",
-    "agg_spec_classes": """WITH k AS (SELECT species, CASE WHEN spec IS NULL THEN 'null' WHEN MATCHES(spec, '^(특대|대|중|소)$') THEN 'size_grade' WHEN MATCHES(spec, '^[0-9]+미$') THEN 'count' WHEN MATCHES(spec, '^[0-9]+/[0-9]+미$') THEN 'count_range' WHEN MATCHES(spec, '^[0-9]+/[0-9]+$') THEN 'weight_range' ELSE 'other' END AS class
-FROM (SELECT species, CASE WHEN spec = '1미' THEN '특대' WHEN spec = '2미' THEN '10/11미' WHEN spec = '3미' THEN '300/400' WHEN spec = '4미' THEN '바라' WHEN spec = '5미' THEN NULL ELSE spec END AS spec FROM lots) x)
-SELECT class, count(*) AS n, count(DISTINCT species) AS n_species FROM k GROUP BY class""",
-    "agg_spec_class_kinds": "SELECT kinds, count(*) AS n_species FROM (SELECT species, count(DISTINCT spec) AS kinds FROM lots GROUP BY species) x GROUP BY kinds",
     "agg_origins_per_day": "SELECT min(k) AS least, max(k) AS most, PCT(k, 0.5) AS median, round(avg(k), 6) AS mean, PCT(k, 0.25) AS p25, PCT(k, 0.75) AS p75, PCT(k, 0.95) AS p95 FROM (SELECT trade_date, species, count(DISTINCT origin) AS k FROM lots GROUP BY trade_date, species) x",
     "agg_packaging_cv": """WITH a AS (SELECT species, trade_date, stddev_pop(price_avg) / avg(price_avg) AS cv FROM lots GROUP BY species, trade_date HAVING count(*) >= 3),
 w AS (SELECT species, trade_date, avg(cv) AS cv FROM (SELECT species, trade_date, packaging, stddev_pop(price_avg) / avg(price_avg) AS cv FROM lots GROUP BY species, trade_date, packaging HAVING count(*) >= 2) x GROUP BY species, trade_date)
 SELECT a.species, count(*) AS days, round(PCT(a.cv, 0.5), 6) AS cv_all, round(PCT(w.cv, 0.5), 6) AS cv_within, round(PCT(a.cv, 0.5) / nullif(PCT(w.cv, 0.5), 0), 4) AS ratio FROM a JOIN w ON a.species = w.species AND a.trade_date = w.trade_date GROUP BY a.species""",
-    "agg_spec_cv": """WITH a AS (SELECT species, trade_date, state, packaging, stddev_pop(price_avg) / avg(price_avg) AS cv FROM lots WHERE spec IS NOT NULL GROUP BY species, trade_date, state, packaging HAVING count(*) >= 2)
-SELECT species, count(*) AS n, round(PCT(cv, 0.5), 6) AS median_cv, round(avg(cv), 6) AS mean_cv FROM a GROUP BY species""",
-    "agg_threshold_sweep": """WITH r AS (SELECT species, CAST(max(m) AS DOUBLE) / min(m) AS ratio FROM (SELECT species, packaging, avg(price_avg) AS m FROM lots GROUP BY species, packaging) x GROUP BY species)
-SELECT t.t AS threshold, count(CASE WHEN ratio > t.t THEN 1 END) AS n FROM r CROSS JOIN (SELECT 1.01 AS t UNION ALL SELECT 1.05 UNION ALL SELECT 1.1) t GROUP BY t.t""",
     "agg_packaging_pairs": f"""WITH d AS (SELECT species, packaging, trade_date, avg(price_avg) AS p, sum(price_avg * quantity) / sum(quantity) AS w FROM lots GROUP BY species, packaging, trade_date),
 k AS (SELECT species, packaging, row_number() OVER (PARTITION BY species ORDER BY count(*) DESC, packaging) AS rn FROM d GROUP BY species, packaging HAVING count(*) >= 100)
 SELECT a.species, ka.packaging AS first, kb.packaging AS second, count(*) AS days, {_CORR.format(x="a.p", y="b.p")} AS corr_simple, {_CORR.format(x="a.w", y="b.w")} AS corr_weighted, round(avg(a.p) / avg(b.p), 4) AS ratio
 FROM d a JOIN k ka ON a.species = ka.species AND a.packaging = ka.packaging AND ka.rn = 1 JOIN k kb ON kb.species = a.species AND kb.rn = 2 JOIN d b ON b.species = a.species AND b.packaging = kb.packaging AND b.trade_date = a.trade_date GROUP BY a.species, ka.packaging, kb.packaging HAVING count(*) >= 30""",
-    "agg_origin_spread": """WITH g AS (SELECT CAST(max(price_avg) - min(price_avg) AS DOUBLE) / avg(price_avg) AS s FROM lots GROUP BY species, trade_date, state, packaging HAVING count(*) >= 2 AND avg(price_avg) <> 0)
-SELECT count(*) AS n, round(100 * PCT(s, 0.5), 4) AS median_pct, round(100 * avg(s), 4) AS mean_pct, round(100 * PCT(s, 0.95), 4) AS p95_pct FROM g""",
     "agg_weighting_corr": f"SELECT species, count(*) AS days, {_CORR.format(x='p', y='w')} AS corr FROM ({_DAILY}) d GROUP BY species HAVING count(*) >= 30",
     "agg_lag1": f"SELECT species, count(*) AS days, {_CORR.format(x='p', y='prev')} AS lag1 FROM (SELECT species, p, lag(p) OVER (PARTITION BY species ORDER BY trade_date) AS prev FROM ({_DAILY}) d) x WHERE prev IS NOT NULL GROUP BY species HAVING count(*) >= 3",
-    "agg_row_reduction": "SELECT grouping(state) AS no_state, grouping(packaging) AS no_packaging, count(*) AS groups_ FROM lots GROUP BY GROUPING SETS ((species, trade_date), (species, trade_date, state), (species, trade_date, packaging), (species, trade_date, state, packaging))".replace("SELECT grouping(state)", "SELECT no_state, no_packaging, count(*) AS n_groups, sum(n) AS n_rows FROM (SELECT grouping(state)").replace("count(*) AS groups_", "count(*) AS n") + ") x GROUP BY no_state, no_packaging",
-    "agg_viable_species": "SELECT species, count(DISTINCT trade_date) AS days, count(DISTINCT trade_date) >= 100 AS viable FROM lots WHERE species NOT IN (SELECT species FROM (SELECT species, row_number() OVER (ORDER BY count(*) DESC, species) AS rn FROM lots GROUP BY species) t WHERE rn <= 5) GROUP BY species",
     "agg_gate_volume": "SELECT species, count(DISTINCT trade_date) AS days FROM lots GROUP BY species HAVING count(DISTINCT trade_date) >= 200",
-    "agg_gate_regularity": """WITH m AS (SELECT max(trade_date) AS last FROM lots), r AS (SELECT l.* FROM lots l CROSS JOIN m WHERE DAYS(m.last, l.trade_date) <= 365)
-SELECT species, count(DISTINCT trade_date) AS days, (SELECT count(DISTINCT trade_date) FROM r) AS market_days, round(CAST(count(DISTINCT trade_date) AS DOUBLE) / (SELECT count(DISTINCT trade_date) FROM r), 3) AS regularity FROM r GROUP BY species""",
-    "agg_gate_signal": f"""WITH d AS ({_DAILY}), s AS (SELECT species, p, lag(p) OVER w AS prev, avg(p) OVER (PARTITION BY species ORDER BY trade_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS sm, row_number() OVER w AS rn FROM d WINDOW w AS (PARTITION BY species ORDER BY trade_date)),
-t AS (SELECT *, lag(sm) OVER (PARTITION BY species ORDER BY rn) AS prev_sm FROM s)
-SELECT species, BROUND(avg(p), 0) AS mean, BROUND(stddev_pop(p), 0) AS std, round(BROUND(stddev_pop(p), 0) / BROUND(avg(p), 0), 3) AS cv, round((avg(CASE WHEN prev IS NOT NULL THEN p * prev END) - avg(CASE WHEN prev IS NOT NULL THEN p END) * avg(prev)) / nullif(stddev_pop(CASE WHEN prev IS NOT NULL THEN p END) * stddev_pop(prev), 0), 3) AS lag1,
-round((avg(CASE WHEN rn > 7 THEN sm * prev_sm END) - avg(CASE WHEN rn > 7 THEN sm END) * avg(CASE WHEN rn > 7 THEN prev_sm END)) / nullif(stddev_pop(CASE WHEN rn > 7 THEN sm END) * stddev_pop(CASE WHEN rn > 7 THEN prev_sm END), 0), 3) AS smooth_lag1 FROM t GROUP BY species""",
     "agg_gate_tiers": "SELECT species, n, qty, rank_, CASE WHEN rank_ <= 15 THEN 'A' WHEN rank_ <= 30 THEN 'B' ELSE 'C' END AS tier FROM (SELECT species, count(*) AS n, sum(quantity) AS qty, row_number() OVER (ORDER BY sum(quantity) DESC, species) AS rank_ FROM lots GROUP BY species) x",
     "agg_market_calendar": """WITH c AS (SELECT DISTINCT trade_date FROM lots), s AS (SELECT DISTINCT species FROM lots), d AS (SELECT species, trade_date, sum(quantity) AS q, count(*) AS n FROM lots GROUP BY species, trade_date)
 SELECT s.species, c.trade_date, coalesce(d.q, 0) AS qty, coalesce(d.n, 0) AS lots FROM c CROSS JOIN s LEFT JOIN d ON d.species = s.species AND d.trade_date = c.trade_date""",
     "agg_month_mean": "SELECT species, month(trade_date) AS month, round(avg(price_avg), 6) AS mean FROM lots GROUP BY species, month(trade_date)",
     "agg_year_month_pivot": "SELECT year(trade_date) AS year, " + ", ".join(f"round(coalesce(avg(CASE WHEN month(trade_date) = {m} THEN price_avg END), 0), 6) AS m{m}" for m in range(1, 13)) + " FROM lots GROUP BY year(trade_date)",
-    "agg_summary_stats": f"SELECT species, count(*) AS n, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS std, round(stddev_samp(p) / avg(p), 6) AS cv FROM ({_DAILY}) d GROUP BY species",
     "agg_histogram": "WITH b AS (SELECT min(price_avg) AS lo, max(price_avg) AS hi FROM lots) SELECT least(49, BUCKET((price_avg - lo) * 50.0 / nullif(hi - lo, 0))) AS bin, count(*) AS n FROM lots CROSS JOIN b GROUP BY 1",
     "agg_species_counts": "SELECT species, count(*) AS n, sum(count(*)) OVER () AS total FROM lots GROUP BY species",
     "agg_by_origin": "SELECT origin, round(avg(price_avg), 6) AS avg_price, sum(quantity) AS qty, count(*) AS n FROM lots WHERE species = 'Brand#1' GROUP BY origin",
@@ -61,14 +38,7 @@ SELECT s.species, c.trade_date, coalesce(d.q, 0) AS qty, coalesce(d.n, 0) AS lot
     "agg_compare_season": "SELECT season, round(avg(price_avg), 6) AS avg_price, count(*) AS n, rank() OVER (ORDER BY avg(price_avg) DESC) AS rank_ FROM (SELECT price_avg, CASE WHEN month(trade_date) IN (3, 4, 5) THEN 'spring' WHEN month(trade_date) IN (6, 7, 8) THEN 'summer' WHEN month(trade_date) IN (9, 10, 11) THEN 'autumn' ELSE 'winter' END AS season FROM lots) x GROUP BY season",
     "agg_config_viability": """WITH g AS (SELECT species, state, packaging, spec, count(DISTINCT trade_date) AS days, count(*) AS n FROM lots GROUP BY species, state, packaging, spec)
 SELECT species, state, packaging, spec, days, n, round(CAST(n AS DOUBLE) / days, 4) AS lots_per_day, days >= 300 AND n >= 500 AND CAST(n AS DOUBLE) / days >= 1 AS viable, CASE WHEN days >= 1000 THEN 'A' WHEN days >= 500 THEN 'B' WHEN days >= 300 THEN 'C' ELSE 'D' END AS grade FROM g""",
-    "agg_species_profile": """SELECT species, round(avg(CASE WHEN origin LIKE '%NATION_1%' THEN 1.0 ELSE 0.0 END), 6) AS foreign_share, round(avg(CASE WHEN origin LIKE '%NATION_1%' THEN price_avg END) / avg(CASE WHEN origin NOT LIKE '%NATION_1%' THEN price_avg END), 6) AS price_ratio FROM lots GROUP BY species""",
-    "agg_pattern_mode": """WITH s AS (SELECT species, CASE WHEN count(DISTINCT state) >= 2 THEN ARR('state', 'packaging') ELSE ARR('packaging') END AS pattern FROM lots GROUP BY species)
-SELECT size_ AS pattern_size, n FROM (SELECT CASE WHEN pattern = ARR('state', 'packaging') THEN 2 ELSE 1 END AS size_, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC) AS rn FROM s GROUP BY pattern) x WHERE rn = 1""",
     "agg_daily_view": "SELECT trade_date, species, sum(quantity) AS qty, max(price_high) AS high, min(price_low) AS low, CAST(BROUND(avg(price_avg), 0) AS INT) AS avg_price, count(*) AS n FROM lots WHERE state IS NOT NULL AND packaging IS NOT NULL GROUP BY trade_date, species",
-    "agg_config_health": f"SELECT species, count(*) AS days, round(avg(p), 6) AS mean, round(stddev_pop(p) / avg(p), 6) AS cv, min(trade_date) AS first_day, max(trade_date) AS last_day, count(CASE WHEN year(trade_date) >= 1998 THEN 1 END) AS recent_days, CASE WHEN count(CASE WHEN year(trade_date) >= 1998 THEN 1 END) >= 100 THEN 'active' WHEN count(CASE WHEN year(trade_date) >= 1998 THEN 1 END) >= 1 THEN 'caution' ELSE 'stopped' END AS health FROM ({_DAILY}) d GROUP BY species",
     "agg_cube": "SELECT grouping(species) AS all_species, grouping(state) AS all_states, species, state, count(*) AS n FROM lots GROUP BY CUBE (species, state)",
     "agg_rollup": "SELECT year(trade_date) AS year, month(trade_date) AS month, count(*) AS n, sum(quantity) AS qty FROM lots GROUP BY ROLLUP (year(trade_date), month(trade_date))",
-    "agg_decision_tree": """WITH st AS (SELECT species, CAST(max(m) AS DOUBLE) / min(m) AS r FROM (SELECT species, state, avg(price_avg) AS m FROM lots WHERE state IS NOT NULL GROUP BY species, state HAVING count(*) > 10) x GROUP BY species HAVING count(*) >= 2),
-pk AS (SELECT species, max(n) * 1.0 / sum(n) AS top FROM (SELECT species, packaging, count(*) AS n FROM lots GROUP BY species, packaging) x GROUP BY species)
-SELECT pk.species, CASE WHEN coalesce(st.r, 1) > 1.01 THEN 1 ELSE 0 END AS by_state, CASE WHEN pk.top < 0.5 THEN 1 ELSE 0 END AS by_packaging, 1 + CASE WHEN coalesce(st.r, 1) > 1.01 THEN 1 ELSE 0 END + CASE WHEN pk.top < 0.5 THEN 1 ELSE 0 END AS n_columns FROM pk LEFT JOIN st ON st.species = pk.species""",
 }

@@ -72,7 +72,7 @@ def boosted_trees(spark, sf_dir: str) -> DataFrame:
     late = model.transform(rows.where("place >= 0.8"))
     error = late.agg(F.round(F.avg(F.abs(F.exp("prediction") - F.exp("y")) / F.exp("y")) * 100, 4).alias("mape"))
     gains = [(n, round(100 * float(g), 2)) for n, g in zip(names, model.featureImportances.toArray(), strict=True)]
-    return spark.createDataFrame(gains, "feature string, gain_pct double").join(F.broadcast(error))  # one row
+    return spark.createDataFrame(gains, "feature string, gain_pct double").join(F.broadcast(error)).orderBy(F.desc("gain_pct"), "feature")  # one row
 
 
 def audit_verdicts(spark, sf_dir: str) -> DataFrame:

@@ -14,8 +14,6 @@ SELECT a.trade_date, count(b.p) AS days, round(avg(b.p), 6) AS mean7 FROM a LEFT
     "jn_theta_domestic": "SELECT c.id, l.species, count(*) AS n, sum(l.quantity) AS qty FROM lots l JOIN (SELECT 'a' AS id, 'Brand#1' AS species, FALSE AS domestic UNION ALL SELECT 'b', 'Brand#1', TRUE UNION ALL SELECT 'c', 'Brand#2', TRUE) c ON l.species = c.species AND (NOT c.domestic OR l.origin NOT LIKE 'NATION_1%') GROUP BY c.id, l.species",
     "jn_anti_new": "SELECT count(*) AS n_new FROM (SELECT DISTINCT species, trade_date FROM lots WHERE year(trade_date) >= 1998) a LEFT ANTI JOIN (SELECT DISTINCT species, trade_date FROM lots WHERE state = 'R') b ON a.species = b.species AND a.trade_date = b.trade_date".replace("LEFT ANTI JOIN (SELECT DISTINCT species, trade_date FROM lots WHERE state = 'R') b ON a.species = b.species AND a.trade_date = b.trade_date", "WHERE NOT EXISTS (SELECT 1 FROM lots b WHERE b.state = 'R' AND a.species = b.species AND a.trade_date = b.trade_date)"),
     "jn_semi_top": "SELECT species, count(*) AS n FROM lots WHERE species IN (SELECT species FROM (SELECT species, row_number() OVER (ORDER BY count(*) DESC, species) AS rn FROM lots GROUP BY species) t WHERE rn <= 10) GROUP BY species",
-    "jn_asof_fill": f"""WITH d AS (SELECT trade_date, avg(price_avg) AS p FROM lots WHERE species = 'Brand#1' AND packaging = 'ECONOMY' GROUP BY trade_date), c AS (SELECT CAL(min(trade_date), max(trade_date)) AS day FROM d)
-SELECT c.day, round(LASTKNOWN(d.p) OVER (ORDER BY c.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS price, d.p IS NULL AS filled FROM c LEFT JOIN d ON d.trade_date = c.day""",
     "jn_best_of_two": """WITH r AS (SELECT species, packaging AS model, stddev_pop(price_avg) / avg(price_avg) * 100 AS m FROM lots GROUP BY species, packaging), a AS (SELECT species, model, m, row_number() OVER (PARTITION BY species ORDER BY m, model) AS rn FROM r)
 SELECT x.species, x.model AS best, round(x.m, 4) AS mape, y.model AS second FROM a x JOIN a y ON x.species = y.species AND x.rn = 1 AND y.rn = 2""",
     "jn_star": "SELECT r_name, p_brand, count(*) AS n, sum(l_quantity) AS qty FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, p_brand",

@@ -26,18 +26,12 @@ SELECT species, trade_date, round(CASE WHEN sum(w) > 0 THEN sum(p * w) / sum(w)
     "ts_weighted_mean": "SELECT species, trade_date, round(CASE WHEN sum(quantity) > 0 THEN sum(price_avg * quantity) / sum(quantity) ELSE avg(price_avg) END, 6) AS price FROM lots GROUP BY species, trade_date",
     "ts_outliers": f"WITH {_D}, e AS (SELECT species, trade_date, i, p, avg(p) OVER w30 AS m, stddev_pop(p) OVER w30 AS s FROM d {_W}) SELECT species, count(CASE WHEN i >= 30 AND s > 0 AND abs(p - m) > 3 * s THEN 1 END) AS outliers, count(*) AS days FROM e GROUP BY species",
     "ts_lags": f"WITH {_D} SELECT species, trade_date, round(p, 6) AS price_t, round(coalesce(lag(p, 1) OVER w, p), 6) AS price_lag1, round(coalesce(lag(p, 7) OVER w, lag(p, 1) OVER w, p), 6) AS price_lag7, round(coalesce(lag(p, 30) OVER w, lag(p, 1) OVER w, p), 6) AS price_lag30 FROM d {_W}",
-    "ts_trailing": f"WITH {_D} SELECT species, trade_date, round(avg(p) OVER w7, 6) AS a7, round(stddev_pop(p) OVER w7, 6) AS s7, round(max(p) OVER w7 - min(p) OVER w7, 6) AS r7, round(avg(p) OVER w30, 6) AS a30, round(stddev_pop(p) OVER w30, 6) AS s30 FROM d {_W}",
     "ts_momentum": f"WITH {_D}, l AS (SELECT *, coalesce(lag(p, 1) OVER w, p) AS p1, coalesce(lag(p, 7) OVER w, lag(p, 1) OVER w, p) AS p7, coalesce(lag(p, 30) OVER w, lag(p, 1) OVER w, p) AS p30, lag(p, 14) OVER w AS p14, avg(p) OVER w7 AS a7, avg(p) OVER w30 AS a30 FROM d {_W}) SELECT species, trade_date, round(CASE WHEN p1 > 0 THEN (p - p1) / p1 * 100 ELSE 0 END, 6) AS m1, round(CASE WHEN p7 > 0 THEN (p - p7) / p7 * 100 ELSE 0 END, 6) AS m7, round(CASE WHEN p30 > 0 THEN (p - p30) / p30 * 100 ELSE 0 END, 6) AS m30, round(CASE WHEN a30 > 0 THEN a7 / a30 - 1 ELSE 0 END, 6) AS m7v30, round(CASE WHEN p14 > 0 THEN (p - p14) / p14 * 100 ELSE 0 END, 6) AS m14 FROM l",
     "ts_centred": f"WITH {_D} SELECT species, trade_date, round(sum(p) OVER c7 / 7, 6) AS c7, round(sum(p) OVER (PARTITION BY species ORDER BY i ROWS BETWEEN 15 PRECEDING AND 14 FOLLOWING) / 30, 6) AS c30, CASE WHEN i >= 6 THEN round(avg(p) OVER (PARTITION BY species ORDER BY i ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) END AS valid7 FROM d {_W}",
     "ts_bollinger_zscore": f"WITH {_D}, e AS (SELECT *, avg(p) OVER w30 AS a, stddev_pop(p) OVER w30 AS s FROM d {_W}) SELECT species, trade_date, round(CASE WHEN s > 0 THEN (p - (a - 2 * s)) / (4 * s) ELSE 0.5 END, 6) AS bollinger, round(CASE WHEN s > 0 THEN (p - a) / s ELSE 0 END, 6) AS z FROM e",
-    "ts_skew_kurtosis": f"WITH {_D}, e AS (SELECT species, i, trade_date, p / 1000 AS p FROM d), y AS (SELECT species, trade_date, i, count(*) OVER w30 AS n, stddev_pop(p) OVER w30 AS s, avg(p * p * p) OVER w30 AS m3, avg(p * p) OVER w30 AS m2, avg(p) OVER w30 AS m1, avg(p * p * p * p) OVER w30 AS m4 FROM e {_W}) SELECT species, trade_date, round(CASE WHEN n >= 30 AND s > 0 THEN (m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / power(s, 3) ELSE 0 END, 4) AS skew, round(CASE WHEN n >= 30 AND s > 0 THEN (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / power(s, 4) - 3 ELSE 0 END, 4) AS kurtosis FROM y",
-    "ts_percentile_rank": f"WITH {_D} SELECT a.species, a.trade_date, count(*) AS n, round((sum(CASE WHEN b.p < a.p THEN 1 ELSE 0 END) + sum(CASE WHEN b.p <= a.p THEN 1 ELSE 0 END) + max(CASE WHEN b.p = a.p THEN 1 ELSE 0 END)) * 0.5 / count(*), 6) AS pct FROM d a JOIN d b ON a.species = b.species AND b.i >= a.i - 90 AND b.i < a.i WHERE a.species IN ('Brand#1', 'Brand#2') GROUP BY a.species, a.trade_date HAVING count(*) >= 3",
     "ts_supply_own": f"WITH {_SUPPLY}, l AS (SELECT *, coalesce(lag(q7, 7) OVER w, first_value(q7) OVER w) AS q7b, coalesce(lag(n7, 7) OVER w, first_value(n7) OVER w) AS n7b, lag(n7, 14) OVER w AS n14 FROM k WINDOW w AS (PARTITION BY species ORDER BY di)) SELECT species, trade_date, round(q7, 6) AS qty_7d, round(n7, 6) AS lots_7d, round(CASE WHEN coalesce(q30, q7) > 0 THEN q7 / coalesce(q30, q7) ELSE 1 END, 6) AS ratio, round((q7 - q7b) / greatest(q7b, 1), 6) AS qty_change, round((n7 - n7b) / greatest(n7b, 1), 6) AS lots_change, CASE WHEN di >= 14 AND n7 < n14 * 0.5 THEN 1 ELSE 0 END AS lots_drop, CASE WHEN q30 > 0 AND q7 < q30 * 0.5 THEN 1 ELSE 0 END AS qty_drop FROM l",
-    "ts_supply_cross": f"WITH {_SUPPLY}, l AS (SELECT *, coalesce(lag(ml7, 7) OVER w, first_value(ml7) OVER w) AS ml7b, coalesce(lag(mq7, 7) OVER w, first_value(mq7) OVER w) AS mq7b FROM k WINDOW w AS (PARTITION BY species ORDER BY di)) SELECT species, trade_date, round(mq7 - q7, 6) AS others, round(ml7, 6) AS market_lots_7d, round(CASE WHEN mq > 0 THEN q / mq ELSE 0 END, 6) AS concentration, round((mq7 - mq7b) / greatest(mq7b, 1), 6) AS total_change, round((ml7 - ml7b) / greatest(ml7b, 1), 6) AS market_change FROM l",
-    "ts_supply_lags": f"WITH {_SUPPLY} SELECT species, trade_date, sum(q) OVER (PARTITION BY species ORDER BY di ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS q3, sum(q) OVER (PARTITION BY species ORDER BY di ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS q5, sum(q) OVER (PARTITION BY species ORDER BY di ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS q7s, lag(q, 3, 0) OVER (PARTITION BY species ORDER BY di) AS ql3, lag(q, 5, 0) OVER (PARTITION BY species ORDER BY di) AS ql5 FROM k",
     "ts_streak": f"WITH {_D}, g AS (SELECT species, trade_date, CASE WHEN DAYS(trade_date, lag(trade_date) OVER w) <= 7 THEN 0 ELSE 1 END AS new_ FROM d {_W}), s AS (SELECT species, sum(new_) OVER (PARTITION BY species ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM g) SELECT species, max(n) AS longest FROM (SELECT species, island, count(*) AS n FROM s GROUP BY species, island) x GROUP BY species",
     "ts_gaps": f"WITH {_D} SELECT species, trade_date, coalesce(DAYS(trade_date, lag(trade_date) OVER w), 0) AS gap, CASE WHEN coalesce(DAYS(lead(trade_date) OVER w, trade_date), 1) > 2 THEN 1 ELSE 0 END AS pre_holiday FROM d {_W}",
-    "ts_yoy_supply": f"WITH {_D} SELECT a.species, a.trade_date, round(a.q / nullif(avg(b.p), 0), 6) AS ratio FROM d a JOIN d b ON a.species = b.species AND b.i BETWEEN a.i - 365 AND a.i - 301 AND WOY(b.trade_date) = WOY(a.trade_date) WHERE a.i >= 300 AND a.species = 'Brand#1' GROUP BY a.species, a.trade_date, a.q",
     "ts_diversity": f"WITH {_D} SELECT species, trade_date, round(avg(o) OVER w7, 6) AS origins, round(avg(q / greatest(n, 1)) OVER w7, 6) AS lot_size, round(avg(hi - lo) OVER w7, 6) AS spread FROM d {_W}",
     "ts_seasonal": f"WITH {_D} SELECT species, trade_date, round(p / avg(p) OVER (PARTITION BY species, month(trade_date)), 6) AS vs_month, round(sin(2 * {_PI} * month(trade_date) / 12), 6) AS sin_month, round(cos(2 * {_PI} * month(trade_date) / 12), 6) AS cos_month, CASE WHEN month(trade_date) IN (11, 12, 1, 2) THEN 1 ELSE 0 END AS peak FROM d",
     "ts_calendar": f"SELECT DISTINCT trade_date, DOW(trade_date) AS dow, month(trade_date) AS month, day(trade_date) AS dom, CASE WHEN DOW(trade_date) >= 5 THEN 1 ELSE 0 END AS weekend, WOY(trade_date) AS week, quarter(trade_date) AS quarter, CASE WHEN DOW(trade_date) <= 4 THEN DOW(trade_date) / 4.0 ELSE 1.0 END AS week_pos, greatest(0, 4 - DOW(trade_date)) AS days_left FROM lots".replace("DOW(trade_date) / 4.0 ELSE 1.0 END", "CAST(DOW(trade_date) AS DOUBLE) / 4 ELSE CAST(1 AS DOUBLE) END"),
@@ -48,7 +42,6 @@ SELECT species, trade_date, round(CASE WHEN sum(w) > 0 THEN sum(p * w) / sum(w)
     "ts_yoy_lag": "WITH y AS (SELECT species, year(trade_date) AS year, avg(price_avg) AS m FROM lots GROUP BY species, year(trade_date)) SELECT species, year, round(m, 6) AS mean, round((m - lag(m) OVER (PARTITION BY species ORDER BY year)) / lag(m) OVER (PARTITION BY species ORDER BY year) * 100, 4) AS yoy_pct FROM y",
     "ts_ranks": "SELECT species, rank() OVER (ORDER BY cv DESC) AS rank_, round(percent_rank() OVER (ORDER BY cv), 6) AS more_volatile_than, ntile(4) OVER (ORDER BY cv, species) AS quarter FROM (SELECT species, stddev_pop(price_avg) / avg(price_avg) AS cv FROM lots GROUP BY species) x",
     "ts_recency_weight": f"WITH {_D} SELECT species, trade_date, round(exp(2.0 * i / count(*) OVER (PARTITION BY species)), 6) AS weight FROM d",
-    "ts_cross_correlation": f"WITH {_D}, l AS (SELECT species, lag(q, 1) OVER w AS q1, lag(q, 3) OVER w AS q3, lead(p, 7) OVER w AS y FROM d {_W}) SELECT species, count(*) AS n, round((avg(q1 * y) - avg(q1) * avg(y)) / (stddev_pop(q1) * stddev_pop(y)), 4) AS c1, round((avg(q3 * y) - avg(q3) * avg(y)) / (stddev_pop(q3) * stddev_pop(y)), 4) AS c3 FROM l WHERE y IS NOT NULL AND q3 IS NOT NULL AND q1 IS NOT NULL GROUP BY species",
     "ts_range_days": f"WITH {_D}, e AS (SELECT species, trade_date, p, DAYS(trade_date, DATE '1990-01-01') AS dn FROM d) SELECT species, trade_date, count(*) OVER r AS days, round(avg(p) OVER r, 6) AS mean7 FROM e WINDOW r AS (PARTITION BY species ORDER BY dn RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING)",
     "ts_normalised": f"WITH {_D}, t AS (SELECT species, avg(CASE WHEN i < 0.8 * days THEN p END) AS m, stddev_pop(CASE WHEN i < 0.8 * days THEN p END) AS s FROM (SELECT *, count(*) OVER (PARTITION BY species) AS days FROM d) x GROUP BY species) SELECT d.species, d.trade_date, round(least(10, greatest(-10, (d.p - t.m) / CASE WHEN t.s < 0.00000001 THEN 1 ELSE t.s END)), 6) AS z FROM d JOIN t ON t.species = d.species",
     "ml_naive": f"WITH {_D}, {_NAIVE} SELECT species, count(*) AS n, round(avg(abs(p - a) / CASE WHEN a > 0 THEN a ELSE 1 END) * 100, 6) AS mape, round(sqrt(avg((p - a) * (p - a))), 4) AS rmse, round(avg(abs(p - a)), 6) AS mae FROM f WHERE a IS NOT NULL GROUP BY species",
@@ -62,8 +55,6 @@ SELECT f.species, f.fold, count(CASE WHEN d.i < f.base + f.fold * f.step THEN 1
     "ml_volatility": f"WITH {_D}, v AS (SELECT species, i, CASE WHEN i >= 29 THEN stddev_samp(p) OVER (PARTITION BY species ORDER BY i ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) END AS s, abs(p / lag(p) OVER (PARTITION BY species ORDER BY i) - 1) AS r FROM d) SELECT species, round(max_by(s, i) / max(s), 6) AS index_, CASE WHEN max_by(s, i) / max(s) < 0.33 THEN 'low' WHEN max_by(s, i) / max(s) < 0.66 THEN 'medium' ELSE 'high' END AS label, round(avg(r) * 100, 6) AS mean_move FROM v GROUP BY species",
     "ml_trend": f"WITH {_D}, l AS (SELECT species, i, p, count(*) OVER (PARTITION BY species) - i AS back FROM d), t AS (SELECT species, (avg(i * p) - avg(i) * avg(p)) / (avg(i * i) - avg(i) * avg(i)) AS slope, stddev_pop(p) AS s FROM (SELECT species, CAST(30 - back AS DOUBLE) AS i, p FROM l WHERE back <= 30) x GROUP BY species) SELECT species, round(slope, 4) AS slope, round(least(abs(slope) / nullif(s, 0), 1), 4) AS strength, CASE WHEN slope > 0.1 * s THEN 'up' WHEN slope < -0.1 * s THEN 'down' ELSE 'flat' END AS label FROM t",
     "ml_seasonality": f"WITH {_D}, m AS (SELECT species, month(trade_date) AS month, avg(p) AS m FROM d GROUP BY species, month(trade_date)), o AS (SELECT species, avg(p) AS a FROM d GROUP BY species) SELECT m.species, month, round(m.m / o.a, 6) AS index_, rank() OVER (PARTITION BY m.species ORDER BY m.m DESC) AS rank_ FROM m JOIN o ON o.species = m.species",
-    "ml_insight": f"""WITH {_D}, s AS (SELECT species, avg(p) AS a, max_by(p, i) AS last, max_by(trade_date, i) AS day, stddev_pop(p) AS sd FROM d GROUP BY species), m AS (SELECT d.species, avg(d.p) AS m FROM d JOIN s ON s.species = d.species WHERE month(d.trade_date) = month(s.day) GROUP BY d.species)
-SELECT s.species, CASE WHEN m.m < s.a THEN 2 ELSE -2 END + CASE WHEN s.last < s.a THEN 1 ELSE -1 END - CASE WHEN s.sd / s.a > 0.3 THEN 1 ELSE 0 END AS score, CASE WHEN CASE WHEN m.m < s.a THEN 2 ELSE -2 END + CASE WHEN s.last < s.a THEN 1 ELSE -1 END - CASE WHEN s.sd / s.a > 0.3 THEN 1 ELSE 0 END >= 2 THEN 'buy' WHEN CASE WHEN m.m < s.a THEN 2 ELSE -2 END + CASE WHEN s.last < s.a THEN 1 ELSE -1 END - CASE WHEN s.sd / s.a > 0.3 THEN 1 ELSE 0 END <= -2 THEN 'wait' ELSE 'hold' END AS advice FROM s JOIN m ON m.species = s.species""",
     "ev_direction": f"WITH {_D}, {_NAIVE} SELECT species, round(avg(CASE WHEN (a > prev) = (s7 > prev) THEN 1.0 ELSE 0.0 END), 6) AS direction FROM f WHERE a IS NOT NULL AND prev IS NOT NULL GROUP BY species",
     "ev_interval": f"WITH {_D}, {_NAIVE} SELECT species, round(avg(CASE WHEN a BETWEEN s7 - 1.28 * sd AND s7 + 1.28 * sd THEN 100.0 ELSE 0.0 END), 6) AS coverage, round(avg(2.56 * sd), 4) AS width, round(avg(2.56 * sd / a) * 100, 4) AS width_pct FROM f WHERE a IS NOT NULL AND i >= 30 GROUP BY species",
     "ev_conformal": f"WITH {_D}, {_NAIVE} SELECT species, round(PCT(abs(a - p), 0.8), 4) AS q80 FROM f WHERE a IS NOT NULL GROUP BY species",
@@ -71,11 +62,7 @@ SELECT s.species, CASE WHEN m.m < s.a THEN 2 ELSE -2 END + CASE WHEN s.last < s.
     "ev_pinball": f"WITH {_D}, {_NAIVE} SELECT species, round(avg(greatest(0.1 * (a - (s7 - sd)), -0.9 * (a - (s7 - sd)))), 4) AS p10, round(avg(greatest(0.9 * (a - (s7 + sd)), -0.1 * (a - (s7 + sd)))), 4) AS p90 FROM f WHERE a IS NOT NULL AND i >= 30 GROUP BY species",
     "ev_losses": f"WITH {_D}, {_NAIVE} SELECT species, round(avg(2 * abs(p - a) / (abs(p) + abs(a))) * 100, 6) AS smape, round(avg(CASE WHEN abs(p - a) <= 1 THEN 0.5 * (p - a) * (p - a) ELSE abs(p - a) - 0.5 END), 4) AS huber FROM f WHERE a IS NOT NULL GROUP BY species",
     "ev_best_variant": f"WITH {_D}, {_NAIVE}, m AS (SELECT species, avg(abs(p - a) / a) AS naive, avg(abs(s7 - a) / a) AS sma FROM f WHERE a > 0 AND s7 IS NOT NULL GROUP BY species) SELECT species, CASE WHEN naive <= sma THEN 'naive' ELSE 'sma' END AS best, CASE WHEN least(naive, sma) < 0.1 THEN 'A' WHEN least(naive, sma) < 0.2 THEN 'B' WHEN least(naive, sma) < 0.3 THEN 'C' ELSE 'D' END AS tier, round((naive + sma) / 2 * 100, 6) AS ensemble_metric FROM m",
-    "ev_regression_line": f"WITH {_D}, {_NAIVE} SELECT species, round((avg(p * a) - avg(p) * avg(a)) / (avg(p * p) - avg(p) * avg(p)), 4) AS slope FROM f WHERE a IS NOT NULL GROUP BY species",
-    "ts_sequences": f"WITH {_D}, s AS (SELECT species, i, count(*) OVER b AS seen, sum(p) OVER b AS total, first_value(p) OVER b AS oldest, count(*) OVER a AS ahead, lead(p, 7) OVER (PARTITION BY species ORDER BY i) AS y7 FROM d WINDOW b AS (PARTITION BY species ORDER BY i ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), a AS (PARTITION BY species ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)) SELECT species, count(*) AS samples, round(avg(total / 30), 4) AS mean_input, round(avg(oldest), 4) AS mean_oldest, round(avg(y7), 4) AS mean_target FROM s WHERE seen = 30 AND ahead = 7 GROUP BY species",
     "ev_direction_previous": f"WITH {_D}, {_NAIVE}, g AS (SELECT species, a > lag(a) OVER (PARTITION BY species ORDER BY i) AS up, s7 > lag(s7) OVER (PARTITION BY species ORDER BY i) AS guess FROM f WHERE a IS NOT NULL AND s7 IS NOT NULL) SELECT species, round(avg(CASE WHEN up = guess THEN 1.0 ELSE 0.0 END), 6) AS direction FROM g WHERE up IS NOT NULL AND guess IS NOT NULL GROUP BY species",
     "ev_cqr_first": f"WITH {_D}, {_NAIVE}, b AS (SELECT species, i, a, s7 - sd AS lo, s7 + sd AS hi, greatest(s7 - sd - a, a - s7 - sd) AS score, row_number() OVER (PARTITION BY species ORDER BY i) AS rn, count(*) OVER (PARTITION BY species) AS m FROM f WHERE a IS NOT NULL AND i >= 30), q AS (SELECT species, PCT(score, 0.9) AS qhat FROM b WHERE rn <= BUCKET(0.8 * m) GROUP BY species) SELECT b.species, round(max(q.qhat), 4) AS qhat, round(avg(CASE WHEN a BETWEEN lo - q.qhat AND hi + q.qhat THEN 1.0 ELSE 0.0 END), 6) AS held_out_coverage FROM b JOIN q ON q.species = b.species WHERE rn > BUCKET(0.8 * m) GROUP BY b.species",
     "ev_split_conformal": f"WITH {_D}, {_NAIVE}, b AS (SELECT species, i, a, s7, abs(a - s7) AS r, row_number() OVER (PARTITION BY species ORDER BY i) AS rn, count(*) OVER (PARTITION BY species) AS m FROM f WHERE a IS NOT NULL AND i >= 30), q AS (SELECT species, PCT(r, 0.8) AS q FROM b WHERE rn <= BUCKET(0.8 * m) GROUP BY species) SELECT b.species, round(max(q.q), 4) AS half_width, round(avg(CASE WHEN b.r <= q.q THEN 1.0 ELSE 0.0 END), 6) AS held_out_coverage FROM b JOIN q ON q.species = b.species WHERE rn > BUCKET(0.8 * m) GROUP BY b.species",
-    "ts_calendar_filled": f"WITH d AS (SELECT species, trade_date, avg(price_avg) AS p FROM lots WHERE species IN ('Brand#1', 'Brand#2') GROUP BY species, trade_date), c AS (SELECT species, CAL(min(trade_date), max(trade_date)) AS day FROM d GROUP BY species) SELECT c.species, c.day, round(LASTKNOWN(d.p) OVER (PARTITION BY c.species ORDER BY c.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS price FROM c LEFT JOIN d ON d.species = c.species AND d.trade_date = c.day",
-    "ts_supply_substitution": f"WITH {_D} SELECT a.species, b.species AS other, count(*) AS days, round((avg(a.q * b.q) - avg(a.q) * avg(b.q)) / nullif(stddev_pop(a.q) * stddev_pop(b.q), 0), 4) AS corr FROM d a JOIN d b ON a.trade_date = b.trade_date AND a.species < b.species WHERE a.species IN ('Brand#1', 'Brand#2', 'Brand#3') AND b.species IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY a.species, b.species HAVING count(*) >= 30",
 }

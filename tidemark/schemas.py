@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The columns of stored files.
 LOTS = T.StructType([
     T.StructField("trade_date", T.StringType()), T.StructField("species_raw", T.StringType()), T.StructField("species", T.StringType()),
     T.StructField("state", T.StringType()), T.StructField("origin", T.StringType()), T.StructField("spec", T.StringType()),
@@ -14,7 +15,6 @@ COASTAL_WEATHER = (
     "date string, location string, location_name string, temperature_2m_max double, temperature_2m_min double, temperature_2m_mean double, "
     "precipitation_sum double, wind_speed_10m_max double, wind_gusts_10m_max double, pressure_msl_mean double, sunshine_duration double"
 )
-STATION_DAILY = "date string, station_code string, station_name string, water_temp_avg double, water_temp_max double, wind_speed_avg double, wind_speed_max double, wind_dir_avg double"
 RETAIL = "date string, item_name string, item_code string, kind_code string, type string, price string"
 CHECKPOINT = "last_updated string, status string, last_completed_date string, statistics struct<total_days_crawled:bigint,total_records:bigint,failed_dates:array<string>>"
 
@@ -34,4 +34,3 @@ HOLIDAYS = [
     (2024, "seollal", "2024-02-10"), (2024, "chuseok", "2024-09-17"), (2025, "seollal", "2025-01-29"), (2025, "chuseok", "2025-10-06"),
 ]
 NO_DATA = "조회된 경락시세가 없습니다"
-PEAK_MONTHS = [11, 12, 1, 2]
