@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 with the columns of documents; the last gives the token ids.
 
 Defined cases: documents without words (null, empty or white space) go in the first stage, those that repeat a text in
-the second, where the largest doc_id stays; of rows that repeat a doc_id and text one stays. A null doc_id is judged,
+the second, where the largest doc_id stays; rows that repeat a doc_id and text stay or go together. A null doc_id is judged,
 loses to any other doc_id with the same text, links with nothing, isn't examined for benchmark passages and stays.
 Without labels every document with words is good, without a benchmark all are clean; an empty table gives no rows;
 further columns of documents pass through all stages but the last, whatever their names.
