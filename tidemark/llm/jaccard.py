@@ -317,7 +317,7 @@ def classed(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of each component the one with the least doc_id.
 
-    Rows with a null doc_id stay; of rows that repeat that doc_id one stays.
+    Rows with a null doc_id stay; rows that repeat a doc_id stay or go together.
     """
     dropped = classed(docs.select("doc_id", "text")).where("doc_id != component_id").select("doc_id").distinct()
     rows = packed(docs).withColumn("doc_id", F.col("__row.doc_id").cast("long"))
