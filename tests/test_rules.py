@@ -182,6 +182,33 @@ def test_side_tables(spark):
     assert [r.v for r in side_tables.filled(gaps, ["v"]).orderBy("location", "date").collect()] == [2.0, 2.0, 2.0]
 
 
+def test_memo_makes_a_frame_again_when_it_is_old(spark):
+    from tidemark.functions.memo import Memo
+
+    now, made = [0.0], []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    memo = Memo(10, lambda: now[0])
+    first = memo.get("a", make)
+    assert memo.get("a", make) is first and len(made) == 1
+    now[0] = 10.0
+    second = memo.get("a", make)
+    assert second is not first and len(made) == 2 and second.count() == 3 and not first.is_cached
+    memo.clear()
+    assert not memo.held
+
+
+@pytest.mark.parametrize(("answers", "want"), [([200], ("x", True, 1, 1.5)), ([429, 429, 200], ("x", True, 3, 184.5)), ([-1, 500, -1], ("", False, 3, 5.5)), ([-2, 200], ("", False, 1, 1.5))])
+def test_retries(answers, want):
+    from tidemark.sources import pages
+
+    assert pages.fetched(lambda i: (answers[i], "x"), 3) == want
+    assert pages.pages_of("<a href='#' onclick='go(4)'><a class='arr last' onclick=\"go(9)\">") == 9 and pages.pages_of("<a onclick='f(3)'><a onclick='f(2)'>") == 3 and pages.pages_of("") == 1
+
+
 def test_limits_block_and_expire(spark, tmp_path):
     rows = [(1, f"2024-01-01 00:00:{i:02d}") for i in range(4)] + [(1, "2024-01-01 00:05:00")]
     spark.createDataFrame(rows, "user_id long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/e")

@@ -15,6 +15,7 @@ from tidemark.sources import html as pages_html
 from tidemark.sources import side_tables, sinks
 from tidemark.sources.lots import read_lots, star_lots
 from tidemark.sources.pages import BROKEN, UNEXPECTED, PageSource
+from tidemark.sources.writers import DayFiles, read_day_files
 from tidemark.streaming import streams
 
 EMPTY = "<table><tbody><tr><td>" + schemas.NO_DATA + "</td></tr></tbody></table>"
@@ -227,9 +228,27 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(log).groupBy("event_type", "flagged").agg(F.count("*").alias("n"), F.count_distinct("audit_id").alias("ids"))
 
 
+def data_source_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily prices through a writer of one's own, and back from the files of its manifest."""
+    path = scratch(spark, "files").removeprefix("file:").replace("///", "/")
+    spark.dataSource.register(DayFiles)
+    day = lot_rows(spark, sf_dir).groupBy("species", "trade_date").agg(F.count("*").alias("n"), F.sum("price_avg").alias("price"))
+    day.write.format("day_files").option("path", path).mode("append").save()
+    back = read_day_files(spark, path, day.schema)
+    return back.groupBy("species").agg(F.count("*").alias("days"), F.sum("n").alias("n"), F.sum("price").alias("price"))
+
+
 # Sources
 
 
+def run_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each kind of run covers, on 2024-03-10, with its inclusive number of days."""
+    asked = {"history": {}, "yesterday": {}, "date": {"start": "2024-02-29"}, "range": {"start": "2024-02-01", "end": "2024-03-01"}, "resume": {"last_completed": "2024-02-28"}, "first": {}}
+    rows = [(kind, *side_tables.run_range(kind, "2024-03-10", **own)) for kind, own in asked.items()]
+    out = spark.createDataFrame(rows, "kind string, start string, end string")
+    return out.withColumn("days", F.datediff(F.to_date("end"), F.to_date("start")) + 1)
+
+
 def pruned_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A year of stored lots through the projected, pruned scan and through the view over all files."""
     path = scratch(spark, "lots")
@@ -296,6 +315,7 @@ def retail_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "src_pages": day_results, "agg_crawl_statistics": crawl_statistics, "str_resumed_run": resumed_run, "snk_days": written_days, "snk_json": written_json, "snk_csv": appended_csv, "snk_memory": in_memory, "snk_fan_out": fanned_out,
     "snk_insert_absent": inserted, "snk_rewrite": rewritten, "snk_inventory": inventory, "snk_results": results_document, "snk_compact": appended_months, "snk_constraints": constraints, "snk_audit": audited,
+    "snk_data_source": data_source_writer, "src_run_ranges": run_ranges,
     "src_pruned_view": pruned_view, "src_slices": config_slices, "src_weather_csv": weather_files, "src_retail_csv": retail_files, "src_parallel_json": parallel_arrays, "src_stations": stations, "src_retail_rest": retail_rest,
 }
 _OD = "od AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1)"
@@ -317,6 +337,8 @@ UNION ALL SELECT '1995-05-21', '1995.12.31', CAST(sum(records) AS BIGINT), CAST(
     "snk_constraints": """SELECT 'customer' AS table_, count(*) - count(DISTINCT c_custkey) AS repeated, count(*) FILTER (c_custkey IS NULL) AS missing FROM customer UNION ALL SELECT 'part', count(*) - count(DISTINCT p_partkey), count(*) FILTER (p_partkey IS NULL) FROM part
 UNION ALL SELECT 'lineitem', count(*) - count(DISTINCT l_orderkey), count(*) FILTER (l_orderkey IS NULL) FROM lineitem UNION ALL SELECT 'orders', count(*) - count(DISTINCT o_custkey), count(*) FILTER (o_custkey IS NULL) FROM orders""",
     "snk_audit": "WITH e AS (SELECT *, count(*) OVER (PARTITION BY user_id) > 2 AS flagged FROM events WHERE event_type IN ('click', 'view')) SELECT event_type, flagged, count(*) AS n, count(*) AS ids FROM e GROUP BY ALL",
+    "snk_data_source": "SELECT species, count(DISTINCT trade_date) AS days, count(*) AS n, CAST(sum(price_avg) AS BIGINT) AS price FROM lots GROUP BY species",
+    "src_run_ranges": """SELECT kind, start, "end", CAST("end" AS DATE) - CAST(start AS DATE) + 1 AS days FROM (VALUES ('history', '2004-01-02', '2024-03-09'), ('yesterday', '2024-03-09', '2024-03-09'), ('date', '2024-02-29', '2024-02-29'), ('range', '2024-02-01', '2024-03-01'), ('resume', '2024-02-29', '2024-03-10'), ('first', '2004-01-02', '2024-03-10')) v(kind, start, "end")""",
     "src_pruned_view": "SELECT way, species, count(*) AS n, CAST(sum(price_avg) AS BIGINT) AS price FROM lots CROSS JOIN (VALUES ('scan'), ('view')) v(way) WHERE trade_date BETWEEN DATE '1995-03-10' AND DATE '1996-02-05' GROUP BY ALL",
     "src_slices": "SELECT species, packaging, (row_number() OVER (ORDER BY species, packaging) - 1) // 40 AS slice FROM (SELECT DISTINCT species, packaging FROM lots)",
     "src_weather_csv": f"WITH {_OD} SELECT strftime(d, '%Y') AS year, count(*) AS n, count(*) FILTER (n % 2 = 0) AS known, round(CAST(sum(n * 1.5) FILTER (n % 2 = 0) AS DOUBLE), 1) AS total, CAST(0 AS BIGINT) AS pressure, 2557 AS days FROM od GROUP BY 1",

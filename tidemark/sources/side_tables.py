@@ -95,6 +95,25 @@ def filled(values: DataFrame, columns: list[str], key: str = "location", order:
     return out.withColumns({c: F.coalesce(c, f"mean_{c}", F.lit(0.0)) for c in columns}).drop(*[f"mean_{c}" for c in columns])
 
 
+# Fixed value: the first day of the history.
+HISTORY = "2004-01-02"
+
+
+def run_range(kind: str, today: str, last_completed: str | None = None, start: str | None = None, end: str | None = None) -> tuple[str, str]:
+    """First and last day of a run: of the whole history, of yesterday, of one day, of a range, or from where the last run ended."""
+    from datetime import date, timedelta
+
+    yesterday = str(date.fromisoformat(today) - timedelta(days=1))
+    if kind == "history":
+        return HISTORY, yesterday
+    if kind == "yesterday":
+        return yesterday, yesterday
+    if kind == "date":
+        return start, start
+    resumed = str(date.fromisoformat(last_completed) + timedelta(days=1)) if last_completed else HISTORY
+    return start or resumed, end or today
+
+
 def resume_date(state: DataFrame) -> DataFrame:
     """Where the next run starts: the day after the last completed one; the start of history if there is none."""
     last = F.max(F.to_date("last_completed_date", "yyyy.MM.dd"))
