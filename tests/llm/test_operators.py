@@ -15,6 +15,7 @@ from tidemark.llm import bpe, chat, components, decontaminate, exact_dedup, html
 
 FOLDER = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
+_xxhash64 = F.xxhash64
 
 
 def docs_of(limit=150):
@@ -118,6 +119,18 @@ def test_directory_splits_overfull_buckets():
     assert exact_dedup.directory({}, 10) == [(0, 0)]
 
 
+def test_exact_dedup_takes_its_groups_from_the_buckets(spark, monkeypatch):
+    """Chains of colliding keys are told apart by their texts, and a bucket that is lost takes its groups with it."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 and "coalesce" in str(c[0]) else _xxhash64(*c))
+    docs = [(i, f"text {i % 5}") for i in range(60)]
+    rows = lambda: sorted(tuple(r) for r in exact_dedup.exact_groups(spark.createDataFrame(docs, DOC)).select("doc_id", "keep_id", "group_size", "kept").collect())
+    want = [(i, 55 + i % 5, 12, i >= 55) for i in range(60)]
+    assert rows() == want
+    build = exact_dedup.build_index
+    monkeypatch.setattr(exact_dedup, "build_index", lambda *a: build(*a).where("false"))
+    assert rows() != want
+
+
 def test_exact_dedup_is_native(spark):
     plan = exact_dedup.op2_exact_dedup(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -1,11 +1,12 @@
 """Exact deduplication with an extendible-hash index on shared files. DataFrame operations only.
 
-Every text gets a 64-bit key. Rows with equal keys are pre-aggregated into one index entry, so a group of
-any size is one entry. The directory starts with one bucket; a bucket with more entries than its capacity is
-split on the next bit of the key, which doubles the directory where needed. Entries are written to the shared
-folder, a file or more for each bucket, and the owner task of a bucket reads its key range back. Entries with
-several rows are compared byte by byte: the rows of a key are grouped by their whole text, so keys that collide
-give a chain of groups. The joins that move texts are shuffled joins at every size, salted against hot keys.
+Every text gets a 64-bit key. Keys that several rows share enter the index. The directory starts with one bucket; a
+bucket with more keys than its capacity is split on the next bit of the key, which doubles the directory where needed.
+An entry holds a key, a whole text, and how many rows have it with their largest doc_id; rows are pre-aggregated into at
+most SALTS entries for a text, so a group of any size is a few entries. Entries are written to the shared folder, a file
+or more for each bucket. The owner task of a bucket reads its key range back and compares the whole texts of a key's
+entries: equal ones become one group, and keys that collide give a chain of groups. Rows take their group from it. The
+joins that move texts are shuffled joins at every size, salted against hot keys.
 
 Defined cases: a null text is an empty text; a null doc_id takes part in a group but stays only where all the
 group's doc_ids are null; rows that repeat a doc_id and text all count and share one decision; an empty table
@@ -46,31 +47,31 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH)
     return leaves
 
 
-def build_index(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Write the entries (one for each key) into buckets on shared files; gives the index as read back."""
-    spark = entries.sparkSession
-    entries = entries.withColumn("slot", F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int"))
-    counts = {r["slot"]: r["n"] for r in entries.groupBy("slot").agg(F.count("*").alias("n")).collect()}  # at most 2 ** MAX_DEPTH rows
+def build_index(keys: DataFrame, entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Write the entries (key, text, keep_id, n) into buckets on shared files, split by the keys in them; gives the index as read back."""
+    spark, slot = entries.sparkSession, F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
+    counts = {r["slot"]: r["n"] for r in keys.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()}  # at most 2 ** MAX_DEPTH rows
     leaves = directory(counts, max(capacity, sum(counts.values()) // MAX_BUCKETS))
     slots = [(s, b) for b, (p, d) in enumerate(leaves) for s in range(p << (MAX_DEPTH - d), (p + 1) << (MAX_DEPTH - d))]
     owners = spark.createDataFrame(slots, "slot int, bucket int")
     path = new_path(spark, "extendible")
-    (entries.join(F.broadcast(owners), "slot").drop("slot").repartition("bucket")
+    (entries.withColumn("slot", slot).join(F.broadcast(owners), "slot").drop("slot").repartition("bucket")
         .write.partitionBy("bucket").option("compression", "zstd").parquet(path))
-    schema = "key long, n long, bucket int"
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema("key long, text string, keep_id long, n long, bucket int").parquet(path)
 
 
 def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Groups of at least two equal texts: key, chain (the text's SHA-256), keep_id, group_size."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    entries = rows.groupBy("key").agg(F.count("*").alias("n"))
-    repeated = build_index(entries, capacity).where("n > 1").select("key")
+    repeated = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     wanted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     members = dealt.join(wanted.hint("shuffle_hash"), ["key", "salt"], "left_semi")
-    chains = members.groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    entries = members.groupBy("key", "salt", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).drop("salt")
+    # The owner of a bucket reads all of it, so texts are compared where the bucket is.
+    owned = build_index(repeated, entries, capacity).repartition("bucket")
+    chains = owned.groupBy("bucket", "key", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     return chains.where("group_size > 1").select("key", F.sha2("text", 256).alias("chain"), "keep_id", "group_size")
 
 
