@@ -382,14 +382,19 @@ def test_bpe_equals_tiktoken(coders):
         assert ids.tolist() == other.encode_ordinary(t) and "".join(own.decode_stream(ids, 3)) == t
 
 
-def test_bpe_with_evicted_states_is_the_same(coders, monkeypatch):
+@pytest.mark.parametrize(("most", "misses"), [(0, 5), (7, 1), (300, 50), (100_000, 10)])
+def test_bpe_with_evicted_states_is_the_same(coders, monkeypatch, most, misses):
     own, other = coders
-    for most in (1, 7, 300):
-        monkeypatch.setattr(bpe, "MAX_TRANSITIONS", most)
-        own.pieces.clear()
-        for t in ["a" * 700, "ab" * 300 + "é" * 90, *(t for _, t in docs_of(10))]:
-            assert own.encode_text(t).tolist() == other.encode_ordinary(t)
-        assert len(own.moves) <= most + 1100
+    monkeypatch.setattr(bpe, "MAX_TRANSITIONS", most)
+    monkeypatch.setattr(bpe, "MAX_MISSES", misses)
+    own.pieces.clear()
+    own.start_afresh()
+    afresh, times = own.start_afresh, []
+    monkeypatch.setattr(own, "start_afresh", lambda: (times.append(1), afresh()))
+    for t in ["a" * 700, "ab" * 300 + "é" * 90, *(t for _, t in docs_of(10))]:
+        assert own.encode_text(t).tolist() == other.encode_ordinary(t)
+        assert len(own.moves) <= most and own.misses <= misses
+    assert bool(times) == (most < 100_000)
 
 
 def test_bpe_query(spark, coders):

@@ -5,8 +5,10 @@ of its encoding: the one that ends there and is compatible with the last token o
 (two tokens are compatible if the merges, applied to their bytes joined, give back these two). A state of the
 transducer holds the starts from which a token may still grow, each with its trie node and the tokens that lead
 to it and aren't settled. What all these have in common is settled and emitted, so a token is emitted after a
-lookahead of at most the longest token. States and transitions are made when first needed; when there are
-MAX_TRANSITIONS, a worker drops them all and determinises anew, so its memory is bounded whatever the texts hold.
+lookahead of at most the longest token. States and transitions are made when first needed. When there are
+MAX_TRANSITIONS, a piece that needs another runs through the undeterminised transducer, depth first, longest token first
+(each end of a token is entered once: the last token of a prefix is unique); after MAX_MISSES such pieces a worker drops
+all states and determinises anew for what it meets then. So its memory is bounded whatever the texts hold.
 A piece that is itself in the vocabulary is that one token, as in the public encoders. Decoding feeds the tokens'
 bytes through an incremental UTF-8 state machine.
 
@@ -27,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import python_batches, table
 
-#: Transitions and token pairs at which a worker starts afresh, and most pieces that it remembers (the first ones it meets).
-MAX_TRANSITIONS = 100_000
-MAX_PAIRS = 200_000
-MAX_PIECES = 150_000
+#: Most transitions, pieces that then do without before all are dropped, token pairs before they are, and pieces remembered (the first met).
+MAX_TRANSITIONS = 50_000
+MAX_MISSES = 200_000
+MAX_PAIRS = 300_000
+MAX_PIECES = 300_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -72,6 +75,7 @@ class Transducer:
         self.states: list[tuple] = [start]
         self.numbers: dict[tuple, int] = {start: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.misses = 0
 
     def reachable(self, token: int) -> bool:
         """Whether merges make the token from its bytes."""
@@ -177,27 +181,51 @@ class Transducer:
         self.moves[number << 8 | byte] = (target, out)
         return target, out
 
+    def depth_first(self, piece: bytes, settled: list[int]) -> list[int]:
+        """All tokens, from the settled ones on, without determinised states: longest token first, back where no compatible one is left."""
+        compatible, reachable, children, token_at, of = self.compatible, self.reachable, self.children.get, self.token_at, self.bytes_of
+        size, tokens, ways, ends, dead = len(piece), settled, [], [sum(len(of[t]) for t in settled)], set()
+        while True:
+            at = ends[-1]
+            if at == size:
+                return tokens
+            if len(ways) < len(ends):
+                found, node, i = [], 0, at
+                while i < size and (node := children(node << 8 | piece[i])) is not None:
+                    i += 1
+                    if (token := token_at[node]) >= 0:
+                        found.append((token, i))
+                ways.append(found)
+            options = ways[-1]
+            while options:
+                token, end = options.pop()
+                if end not in dead and (compatible(tokens[-1], token) if tokens else True) and reachable(token):
+                    tokens.append(token)
+                    ends.append(end)
+                    break
+            else:
+                if len(ends) == 1:
+                    raise ValueError("the vocabulary lacks single bytes")
+                dead.add(at)
+                tokens.pop()
+                ends.pop()
+                ways.pop()
+
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.moves) >= MAX_TRANSITIONS:
+        if self.misses >= MAX_MISSES:
             self.start_afresh()
         tokens: list[int] = []
-        state, get, left = 0, self.moves.get, MAX_TRANSITIONS
+        state, get = 0, self.moves.get
         for byte in piece:
             step = get(state << 8 | byte)
             if step is None:
+                if len(self.moves) >= MAX_TRANSITIONS:
+                    self.misses += 1
+                    return tuple(self.depth_first(piece, tokens))
                 step = self.move(state, byte)
-                left -= 1
-                if not left:  # a piece of very many bytes: its state goes on alone
-                    state = self.states[step[0]]
-                    self.start_afresh()
-                    get, left = self.moves.get, MAX_TRANSITIONS
-                    if state not in self.numbers:
-                        self.numbers[state] = len(self.states)
-                        self.states.append(state)
-                    step = (self.numbers[state], step[1])
             state = step[0]
             if step[1]:
                 tokens += step[1]
