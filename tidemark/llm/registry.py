@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, decontaminate, exact_dedup, html_main, jaccard, kneser_ney, stupid_backoff, suffix_dedup, warc
+from tidemark.llm import bpe, chat, decontaminate, exact_dedup, html_main, jaccard, kneser_ney, packing, repair, stupid_backoff, suffix_dedup, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality_classifier": kneser_ney.op10_quality_classifier,
+    "op12_best_fit_packing": packing.op12_best_fit_packing,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 SQL = {
@@ -22,4 +24,5 @@ SQL = {
     "op5_warc": warc.SQL,
     "op8_ngram_jaccard": jaccard.SQL,
     "op9_chat_format": chat.SQL,
+    "op13_conversation_repair": repair.SQL,
 }
