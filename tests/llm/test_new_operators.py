@@ -11,7 +11,7 @@ import duckdb
 import pytest
 
 from tests.compare import spark_rows
-from tidemark.llm import packing, registry, repair, word_tokens
+from tidemark.llm import alignment, packing, registry, repair, word_tokens
 
 FOLDER = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, task string, length string, ids string, rank string, row string"
@@ -42,6 +42,97 @@ def test_word_end_coder_equals_whole_texts(monkeypatch):
     assert len(coder.known) < 5000
 
 
+def bytes_of_tokens():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    path_a, path_b = alignment.vocabulary_paths()
+    a, b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+    a.encode_special_tokens = True
+    bs = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {chr(x): x for x in bs} | {chr(256 + k): x for k, x in enumerate(sorted(set(range(256)) - set(bs)))}
+    of_a = lambda i: bytes(table[c] for c in a.id_to_token(i))
+    def of_b(i):
+        piece = b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode()
+    return a, b, of_a, of_b
+
+
+def aligned_by_definition(docs):
+    a, b, of_a, of_b = bytes_of_tokens()
+    made, held = [], Counter()
+    for doc, text in docs:
+        ia, ib = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        pa, pb = [of_a(i) for i in ia], [of_b(i) for i in ib]
+        if not text or b"".join(pa) != (" " + text).encode() or b"".join(pb) != (" " + text).encode():
+            made.append((doc, [], [], [], []))
+            continue
+        groups, ka, kb, na, nb = [([], [])], 0, 0, 0, 0
+        while ka < len(ia) or kb < len(ib):
+            if na <= nb and ka < len(ia):
+                groups[-1][0].append(ia[ka])
+                na += len(pa[ka])
+                ka += 1
+            else:
+                groups[-1][1].append(ib[kb])
+                nb += len(pb[kb])
+                kb += 1
+            if na == nb:
+                groups.append(([], []))
+        groups.pop()
+        links = [(x, y) for g in groups for x in g[0] for y in g[1]]
+        held.update(set(links))
+        made.append((doc, ia, ib, groups, links))
+    top = defaultdict(int)
+    for (x, _), n in held.items():
+        top[x] = max(top[x], n)
+    out = []
+    for doc, ia, ib, groups, links in made:
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        digest = hashlib.sha256(text.encode()).hexdigest() if groups else ""
+        out.append((doc, len(ia), len(ib), len(groups), len(links), sum(held[p] == top[p[0]] for p in links), sum(held[p] for p in links), digest))
+    return sorted(out, key=repr)
+
+
+# 11
+@pytest.mark.parametrize("case", ["as it is", "sorted ends", "joined counts", "small slices"])
+def test_alignment(spark, monkeypatch, case):
+    monkeypatch.setattr(alignment, "LONG_WORD", 0 if case == "sorted ends" else alignment.LONG_WORD)
+    monkeypatch.setattr(alignment, "BROADCAST", 0 if case == "joined counts" else alignment.BROADCAST)
+    if case == "small slices":
+        monkeypatch.setattr(alignment, "SLICE_CHARS", 50)
+        monkeypatch.setattr(word_tokens, "CACHE", 100)
+    docs = docs_of(40) + ODD + list(enumerate(odd_texts(250), 20_000)) + [(30_000, "日本語のテキスト" * 300), (30_001, "nospace" * 2000)]
+    frame = spark.createDataFrame([(*d, "x", "y", "z", "r", "o") for d in docs], DOC).repartition(3)
+    documents = alignment.staged(alignment.document_links(alignment.grouped(alignment.tokenised(frame))).withColumn("row", alignment.F.monotonically_increasing_id()), "test-alignment")
+    got = sorted((tuple(r) for r in alignment.scored(documents, alignment.link_counts(documents)).collect()), key=repr)
+    assert got == aligned_by_definition(docs)
+
+
+def test_alignment_groups_of_documents(spark):
+    made = alignment.document_groups(alignment.grouped(alignment.tokenised(spark.createDataFrame([(1, "Unbelievable tokens"), (2, None)], "doc_id long, text string"))))
+    got = {r.doc_id: r.groups and [(list(g.a), list(g.b)) for g in r.groups] for r in made.collect()}
+    ia, ib, groups = aligned_groups("Unbelievable tokens")
+    assert got == {1: groups, 2: None} and sum((g[0] for g in groups), []) == ia and sum((g[1] for g in groups), []) == ib
+
+
+def aligned_groups(text):
+    a, b, of_a, of_b = bytes_of_tokens()
+    ia, ib = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+    ends = lambda ids, of: [sum(len(of(i)) for i in ids[: k + 1]) for k in range(len(ids))]
+    ea, eb = ends(ia, of_a), ends(ib, of_b)
+    groups, last = [], 0
+    for cut in sorted(set(ea) & set(eb)):
+        groups.append(([i for i, e in zip(ia, ea, strict=True) if last < e <= cut], [i for i, e in zip(ib, eb, strict=True) if last < e <= cut]))
+        last = cut
+    return ia, ib, groups
+
+
+def test_alignment_of_nothing(spark):
+    documents = alignment.document_links(alignment.grouped(alignment.tokenised(spark.createDataFrame([], "doc_id long, text string")))).withColumn("row", alignment.F.monotonically_increasing_id())
+    assert alignment.scored(documents, alignment.link_counts(documents)).count() == 0
+
+
 # 12
 def least_sequences(lengths, capacity):
     rooms, n = [], 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, decontaminate, exact_dedup, html_main, jaccard, kneser_ney, packing, repair, stupid_backoff, suffix_dedup, warc
+from tidemark.llm import alignment, bpe, chat, decontaminate, exact_dedup, html_main, jaccard, kneser_ney, packing, repair, stupid_backoff, suffix_dedup, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality_classifier": kneser_ney.op10_quality_classifier,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_best_fit_packing": packing.op12_best_fit_packing,
     "op13_conversation_repair": repair.op13_conversation_repair,
 }

@@ -134,17 +134,19 @@ class TwoCoders(_Coder):
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[bytes], list[bytes]] | None]:
-        """For each text its words' ids by A and by B, little-endian unsigned 32-bit."""
-        words = [None if not t else t.split(" ") if t[0] != " " and not self.UNEVEN.search(t) else self.CUT.split(t) for t in texts]
-        new = self._missing(set().union(*(w for w in words if w)))
+    def words(self, text: str | None) -> list[str]:
+        """The words of a text; each stands for a blank and itself."""
+        if not text:
+            return []
+        return text.split(" ") if text[0] != " " and not self.UNEVEN.search(text) else self.CUT.split(text)
+
+    def ids(self, words: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Ids by A and by B of each word, little-endian unsigned 32-bit; None where bytes don't come back."""
+        new = self._missing(words)
         self._learn(sorted(new))
-        out = []
-        for w in words:
-            pairs = [self.known[x] for x in w] if w else [None]
-            out.append(None if None in pairs else ([p[0] for p in pairs], [p[1] for p in pairs]))
+        found = {w: self.known[w] for w in words}
         self._forget(new)
-        return out
+        return found
 
     def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), JOINED):
