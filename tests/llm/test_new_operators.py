@@ -104,7 +104,7 @@ def test_alignment(spark, monkeypatch, case):
         monkeypatch.setattr(word_tokens, "CACHE", 100)
     docs = docs_of(40) + ODD + list(enumerate(odd_texts(250), 20_000)) + [(30_000, "日本語のテキスト" * 300), (30_001, "nospace" * 2000)]
     frame = spark.createDataFrame([(*d, "x", "y", "z", "r", "o") for d in docs], DOC).repartition(3)
-    documents = alignment.staged(alignment.document_links(alignment.grouped(alignment.tokenised(frame))).withColumn("row", alignment.F.monotonically_increasing_id()), "test-alignment")
+    documents = alignment.staged(alignment.document_links(alignment.tokenised(frame)).withColumn("row", alignment.F.monotonically_increasing_id()), "test-alignment")
     got = sorted((tuple(r) for r in alignment.scored(documents, alignment.link_counts(documents)).collect()), key=repr)
     assert got == aligned_by_definition(docs)
 
@@ -129,7 +129,7 @@ def aligned_groups(text):
 
 
 def test_alignment_of_nothing(spark):
-    documents = alignment.document_links(alignment.grouped(alignment.tokenised(spark.createDataFrame([], "doc_id long, text string")))).withColumn("row", alignment.F.monotonically_increasing_id())
+    documents = alignment.document_links(alignment.tokenised(spark.createDataFrame([], "doc_id long, text string"))).withColumn("row", alignment.F.monotonically_increasing_id())
     assert alignment.scored(documents, alignment.link_counts(documents)).count() == 0
 
 

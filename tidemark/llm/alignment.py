@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import staged, table
 
 #: Characters and documents of a slice; a longer text is a slice of its own.
-SLICE_CHARS, SLICE_DOCS = 1 << 18, 256
+SLICE_CHARS, SLICE_DOCS = 1 << 20, 1024
 LONG_WORD = 64
 #: Distinct pairs of ids whose counts are broadcast.
 BROADCAST = 1_000_000
-TOKENS = "docs array<struct<doc_id:long,words:array<int>>>, words array<struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>>"
+TOKENS = "docs array<struct<doc_id:long,n_a:long,n_b:long,words:array<int>>>, words array<struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>>"
 
 
 def vocabulary_paths() -> tuple[str, str]:
@@ -60,9 +60,9 @@ def tokenised(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFram
         import numpy as np
         import pyarrow as pa
 
-        from tidemark.llm.word_tokens import TwoCoders
+        from tidemark.llm.word_tokens import two_coders
 
-        coder = TwoCoders(path_a, path_b)
+        coder = two_coders(path_a, path_b)
 
         def lists(values, lengths) -> pa.ListArray:
             return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values.astype(np.int32)))
@@ -70,23 +70,26 @@ def tokenised(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFram
         for some in slices(batches):
             words = [coder.words(text) for _, text in some]
             ids = coder.ids(set().union(*words))
-            number: dict[str, int] = {}
-            docs_ = [
-                {"doc_id": doc, "words": None if not w or any(ids[x] is None for x in set(w)) else [number.setdefault(x, len(number)) for x in w]}
-                for (doc, _), w in zip(some, words, strict=True)
-            ]
-            columns = []
-            for side, sizes in ((0, coder.sizes_a), (1, coder.sizes_b)):
+            bad = {w for w, found in ids.items() if found is None}
+            number = {w: k for k, w in enumerate(w for w, found in ids.items() if found is not None)}
+            whole = [bool(w) and (not bad or bad.isdisjoint(w)) for w in words]
+            chosen = np.fromiter((number[x] for w, ok in zip(words, whole, strict=True) if ok for x in w), np.int32)
+            sizes = np.array([len(w) if ok else 0 for w, ok in zip(words, whole, strict=True)], np.int64)
+            numbers = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(chosen), mask=pa.array([not ok for ok in whole]))
+            columns, totals = [], []
+            of_doc = np.repeat(np.arange(len(some)), sizes)
+            for side, bytes_of in ((0, coder.sizes_a), (1, coder.sizes_b)):
                 each = [ids[x][side] for x in number]
                 flat = np.frombuffer(b"".join(each), "<u4")
                 lengths = np.array([len(x) // 4 for x in each], np.int64)
-                ends = np.cumsum(sizes[flat])
+                ends = np.cumsum(bytes_of[flat])
                 starts = np.cumsum(lengths) - lengths
-                before = np.repeat(ends[starts] - sizes[flat[starts]], lengths) if len(flat) else ends
+                before = np.repeat(ends[starts] - bytes_of[flat[starts]], lengths) if len(flat) else ends
+                totals.append(pa.array(np.bincount(of_doc, lengths[chosen] if len(chosen) else None, len(some)).astype(np.int64)))
                 columns += [lists(flat, lengths), lists(ends - before, lengths)]
+            docs_ = pa.StructArray.from_arrays([pa.array([doc for doc, _ in some], pa.int64()), *totals, numbers], names=["doc_id", "n_a", "n_b", "words"])
             tokens = pa.StructArray.from_arrays(columns, names=["a", "a_ends", "b", "b_ends"])
-            doc_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("words", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays([pa.array([docs_], doc_type), pa.ListArray.from_arrays(pa.array([0, len(number)], pa.int32()), tokens)], names=["docs", "words"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), docs_), pa.ListArray.from_arrays(pa.array([0, len(number)], pa.int32()), tokens)], names=["docs", "words"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(work, TOKENS)
 
@@ -110,25 +113,33 @@ def _sorted(word: Column) -> Column:
     return _let(F.sort_array(F.concat(code(word["a_ends"], 0), code(word["b_ends"], 1))), met)
 
 
-def grouped(tokens: DataFrame) -> DataFrame:
-    """docs, and of each word of the slice: groups (a: ids, b: ids), groups as text, and links (a << 32 | b)."""
-    places = F.transform("words", lambda w: F.when(F.size(w["a_ends"]) + F.size(w["b_ends"]) > LONG_WORD, _sorted(w)).otherwise(
-        _searched(w, F.array_intersect(w["a_ends"], w["b_ends"]))))
-    t = tokens.select("docs", "words", places.alias("places"))
+def _cut(word: Column, place: Column) -> Column:
+    def group(p: Column, k: Column) -> Column:
+        since = lambda side: F.when(k > 0, F.get(place, k - 1)[side]).otherwise(0)
+        return F.struct(*(F.slice(word[side], since(side) + 1, p[side] - since(side)).alias(side) for side in "ab"))
+    return F.transform(place, group)
 
-    def cut(word: Column, place: Column) -> Column:
-        def group(p: Column, k: Column) -> Column:
-            since = lambda side: F.when(k > 0, F.get(place, k - 1)[side]).otherwise(0)
-            return F.struct(*(F.slice(word[side], since(side) + 1, p[side] - since(side)).alias(side) for side in "ab"))
-        return F.transform(place, group)
 
-    t = t.select("docs", "words", F.zip_with("words", "places", cut).alias("groups"))
+def _groups(word: Column, cuts: Column) -> Column:
+    """One cut is the word's end; as many cuts as tokens on both sides are pairs of tokens; else places are looked for."""
+    n, a, b = F.size(cuts), F.size(word["a"]), F.size(word["b"])
+    single = F.zip_with(word["a"], word["b"], lambda x, y: F.struct(F.array(x).alias("a"), F.array(y).alias("b")))
+    places = F.when(a + b > LONG_WORD, _sorted(word)).otherwise(_searched(word, cuts))
+    return F.when(n == 1, F.array(F.struct(word["a"].alias("a"), word["b"].alias("b")))).when((n == a) & (n == b), single).otherwise(_let(places, lambda p: _cut(word, p)))
+
+
+def grouped(tokens: DataFrame, of=lambda groups: groups) -> DataFrame:
+    """docs, and `groups`: of each word of the slice its groups (a: ids, b: ids), or what `of` makes of them."""
+    t = tokens.select("docs", "words", F.transform("words", lambda w: F.array_intersect(w["a_ends"], w["b_ends"])).alias("cuts"))
+    return t.select("docs", F.zip_with("words", "cuts", lambda w, c: of(_groups(w, c))).alias("groups"))
+
+
+def linked(groups: Column) -> Column:
+    """n, text (`a1,a2|b1;...`) and links (a << 32 | b) of a word's groups."""
     ids = lambda x: F.array_join(x.cast("array<string>"), ",")
-    text = F.transform("groups", lambda g: F.array_join(F.transform(g, lambda x: F.concat(ids(x["a"]), F.lit("|"), ids(x["b"]))), ";"))
+    text = lambda g: F.array_join(F.transform(g, lambda x: F.concat(ids(x["a"]), F.lit("|"), ids(x["b"]))), ";")
     pairs = lambda x: F.flatten(F.transform(x["a"], lambda i: F.transform(x["b"], lambda j: F.shiftleft(i.cast("long"), 32) + j)))
-    links = F.transform("groups", lambda g: F.flatten(F.transform(g, pairs)))
-    sizes = F.transform("words", lambda w: F.struct(F.size(w["a"]).alias("a"), F.size(w["b"]).alias("b")))
-    return t.select("docs", "groups", sizes.alias("sizes"), text.alias("text"), links.alias("links"))
+    return _let(groups, lambda g: F.struct(F.size(g).alias("n"), text(g).alias("text"), F.flatten(F.transform(g, pairs)).alias("links")))
 
 
 def document_groups(made: DataFrame) -> DataFrame:
@@ -137,20 +148,17 @@ def document_groups(made: DataFrame) -> DataFrame:
     return made.select(F.inline(each))
 
 
-def document_links(made: DataFrame) -> DataFrame:
+def document_links(tokens: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_a, n_b, n_groups, groups_sha256 and links, one for each pair of token occurrences."""
     def row(d: Column) -> Column:
-        words = d["words"]
-        total = lambda value: F.coalesce(F.aggregate(words, F.lit(0).cast("long"), lambda acc, k: acc + value(k)), F.lit(0).cast("long"))
-        groups = F.array_join(F.transform(words, lambda k: F.get(F.col("text"), k)), ";")
-        return F.struct(
-            d["doc_id"].alias("doc_id"),
-            total(lambda k: F.get(F.col("sizes"), k)["a"]).alias("n_a"), total(lambda k: F.get(F.col("sizes"), k)["b"]).alias("n_b"),
-            total(lambda k: F.size(F.get(F.col("groups"), k))).alias("n_groups"),
-            F.coalesce(F.sha2(groups, 256), F.lit("")).alias("groups_sha256"),
-            F.coalesce(F.flatten(F.transform(words, lambda k: F.get(F.col("links"), k))), F.array().cast("array<long>")).alias("links"))
+        words = F.transform(d["words"], lambda k: F.get(F.col("groups"), k))
+        return _let(words, lambda w: F.struct(
+            d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"),
+            F.coalesce(F.aggregate(w["n"], F.lit(0).cast("long"), lambda acc, n: acc + n), F.lit(0).cast("long")).alias("n_groups"),
+            F.coalesce(F.sha2(F.array_join(w["text"], ";"), 256), F.lit("")).alias("groups_sha256"),
+            F.coalesce(F.flatten(w["links"]), F.array().cast("array<long>")).alias("links")))
 
-    return made.select(F.inline(F.transform("docs", row)))
+    return grouped(tokens, linked).select(F.inline(F.transform("docs", row)))
 
 
 def link_counts(documents: DataFrame) -> DataFrame:
@@ -172,6 +180,6 @@ def scored(documents: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:
-    made = document_links(grouped(tokenised(table(spark, sf_dir, "documents"))))
+    made = document_links(tokenised(table(spark, sf_dir, "documents")))
     documents = staged(made.withColumn("row", F.monotonically_increasing_id()), "alignment-documents")
     return scored(documents, link_counts(documents))

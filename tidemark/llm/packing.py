@@ -48,9 +48,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from tidemark.llm.word_tokens import WordEndCoder
+        from tidemark.llm.word_tokens import word_end_coder
 
-        coder, task, seen = WordEndCoder(path), TaskContext.get().partitionId(), defaultdict(int)
+        coder, task, seen = word_end_coder(path), TaskContext.get().partitionId(), defaultdict(int)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
         names = ["doc_id", "piece", "start", "length", "ids", "task", "nth"]
         for batch in batches:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 from itertools import filterfalse
 
 import numpy as np
@@ -91,7 +92,7 @@ class WordEndCoder(_Coder):
         single = [w for w in todo if len(w) <= LONG and WORD.fullmatch(w)]
         for at in range(0, len(single), JOINED):
             some = single[at : at + JOINED]
-            ids = np.asarray(self.coder.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.coder.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
                 whole, starts = ids.tobytes(), [0, *(4 * stops).tolist()]
@@ -155,7 +156,7 @@ class TwoCoders(_Coder):
             stops = np.cumsum([len(w.encode()) + 1 for w in some])
             parts = []
             if all(w and not w[-1].isspace() and not w[0].isspace() for w in some):
-                for ids, table in ((self.a.encode(whole, add_special_tokens=False).ids, self.bytes_a), (self.b.encode(whole[1:]), self.bytes_b)):
+                for ids, table in ((self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.bytes_a), (self.b.encode(whole[1:]), self.bytes_b)):
                     if b"".join([table[i] for i in ids]) == whole.encode():
                         ids, sizes = np.asarray(ids, "<u4"), self.sizes_a if table is self.bytes_a else self.sizes_b
                         ends = np.cumsum(sizes[ids])
@@ -174,3 +175,14 @@ class TwoCoders(_Coder):
         if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
             return None
         return _packed(a), _packed(b)
+
+
+@lru_cache(maxsize=1)
+def word_end_coder(path: str) -> WordEndCoder:
+    """One for a worker, which keeps what it has learnt from task to task."""
+    return WordEndCoder(path)
+
+
+@lru_cache(maxsize=1)
+def two_coders(path_a: str, path_b: str) -> TwoCoders:
+    return TwoCoders(path_a, path_b)
