@@ -120,26 +120,49 @@ def _cut(word: Column, place: Column) -> Column:
     return F.transform(place, group)
 
 
+def _placed_groups(word: Column, cuts: Column) -> Column:
+    places = F.when(F.size(word["a"]) + F.size(word["b"]) > LONG_WORD, _sorted(word)).otherwise(_searched(word, cuts))
+    return _let(places, lambda p: _cut(word, p))
+
+
+def _by_case(word: Column, cuts: Column, whole: Column, single: Column, other: Column) -> Column:
+    """One cut is the word's end, so the word is a group; as many cuts as tokens on both sides are pairs of tokens; else places are looked for."""
+    n = F.size(cuts)
+    return F.when(n == 1, whole).when((n == F.size(word["a"])) & (n == F.size(word["b"])), single).otherwise(other)
+
+
 def _groups(word: Column, cuts: Column) -> Column:
-    """One cut is the word's end; as many cuts as tokens on both sides are pairs of tokens; else places are looked for."""
-    n, a, b = F.size(cuts), F.size(word["a"]), F.size(word["b"])
+    whole = F.array(F.struct(word["a"].alias("a"), word["b"].alias("b")))
     single = F.zip_with(word["a"], word["b"], lambda x, y: F.struct(F.array(x).alias("a"), F.array(y).alias("b")))
-    places = F.when(a + b > LONG_WORD, _sorted(word)).otherwise(_searched(word, cuts))
-    return F.when(n == 1, F.array(F.struct(word["a"].alias("a"), word["b"].alias("b")))).when((n == a) & (n == b), single).otherwise(_let(places, lambda p: _cut(word, p)))
+    return _by_case(word, cuts, whole, single, _placed_groups(word, cuts))
 
 
-def grouped(tokens: DataFrame, of=lambda groups: groups) -> DataFrame:
-    """docs, and `groups`: of each word of the slice its groups (a: ids, b: ids), or what `of` makes of them."""
-    t = tokens.select("docs", "words", F.transform("words", lambda w: F.array_intersect(w["a_ends"], w["b_ends"])).alias("cuts"))
-    return t.select("docs", F.zip_with("words", "cuts", lambda w, c: of(_groups(w, c))).alias("groups"))
+def _ids(x: Column) -> Column:
+    return F.when(F.size(x) == 1, F.get(x, F.lit(0)).cast("string")).otherwise(F.array_join(x.cast("array<string>"), ","))
+
 
+def _link(i: Column, j: Column) -> Column:
+    return F.shiftleft(i.cast("long"), 32) + j
 
-def linked(groups: Column) -> Column:
+
+def _pairs(x: Column) -> Column:
+    return F.flatten(F.transform(x["a"], lambda i: F.transform(x["b"], lambda j: _link(i, j))))
+
+
+def _linked(word: Column, cuts: Column) -> Column:
     """n, text (`a1,a2|b1;...`) and links (a << 32 | b) of a word's groups."""
-    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
-    text = lambda g: F.array_join(F.transform(g, lambda x: F.concat(ids(x["a"]), F.lit("|"), ids(x["b"]))), ";")
-    pairs = lambda x: F.flatten(F.transform(x["a"], lambda i: F.transform(x["b"], lambda j: F.shiftleft(i.cast("long"), 32) + j)))
-    return _let(groups, lambda g: F.struct(F.size(g).alias("n"), text(g).alias("text"), F.flatten(F.transform(g, pairs)).alias("links")))
+    text = lambda x: F.concat(_ids(x["a"]), F.lit("|"), _ids(x["b"]))
+    made = lambda n, t, links: F.struct(n.alias("n"), t.alias("text"), links.alias("links"))
+    pairs = F.zip_with(word["a"], word["b"], lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string")))
+    single = made(F.size(cuts), F.array_join(pairs, ";"), F.zip_with(word["a"], word["b"], _link))
+    other = _let(_placed_groups(word, cuts), lambda g: made(F.size(g), F.array_join(F.transform(g, text), ";"), F.flatten(F.transform(g, _pairs))))
+    return _by_case(word, cuts, made(F.lit(1), text(word), _pairs(word)), single, other)
+
+
+def grouped(tokens: DataFrame, of=_groups) -> DataFrame:
+    """docs, and `groups`: of each word of the slice its groups (a: ids, b: ids), or what else `of` makes of the word and its cuts."""
+    t = tokens.select("docs", "words", F.transform("words", lambda w: F.array_intersect(w["a_ends"], w["b_ends"])).alias("cuts"))
+    return t.select("docs", F.zip_with("words", "cuts", of).alias("groups"))
 
 
 def document_groups(made: DataFrame) -> DataFrame:
@@ -151,14 +174,14 @@ def document_groups(made: DataFrame) -> DataFrame:
 def document_links(tokens: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_a, n_b, n_groups, groups_sha256 and links, one for each pair of token occurrences."""
     def row(d: Column) -> Column:
-        words = F.transform(d["words"], lambda k: F.get(F.col("groups"), k))
+        words = F.transform(d["words"], lambda k: F.get(F.col("groups"), k))  # once a document
         return _let(words, lambda w: F.struct(
             d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"),
             F.coalesce(F.aggregate(w["n"], F.lit(0).cast("long"), lambda acc, n: acc + n), F.lit(0).cast("long")).alias("n_groups"),
             F.coalesce(F.sha2(F.array_join(w["text"], ";"), 256), F.lit("")).alias("groups_sha256"),
             F.coalesce(F.flatten(w["links"]), F.array().cast("array<long>")).alias("links")))
 
-    return grouped(tokens, linked).select(F.inline(F.transform("docs", row)))
+    return grouped(tokens, _linked).select(F.inline(F.transform("docs", row)))
 
 
 def link_counts(documents: DataFrame) -> DataFrame:

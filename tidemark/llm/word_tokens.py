@@ -16,7 +16,7 @@ from itertools import filterfalse
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 200_000
 LONG = 256
 #: Cuts encoded in one call.
 JOINED = 1000
