@@ -15,10 +15,6 @@ QUERIES = {
     "agg_packaging_cv": """WITH a AS (SELECT species, trade_date, stddev_pop(price_avg) / avg(price_avg) AS cv FROM lots GROUP BY species, trade_date HAVING count(*) >= 3),
 w AS (SELECT species, trade_date, avg(cv) AS cv FROM (SELECT species, trade_date, packaging, stddev_pop(price_avg) / avg(price_avg) AS cv FROM lots GROUP BY species, trade_date, packaging HAVING count(*) >= 2) x GROUP BY species, trade_date)
 SELECT a.species, count(*) AS days, round(PCT(a.cv, 0.5), 6) AS cv_all, round(PCT(w.cv, 0.5), 6) AS cv_within, round(PCT(a.cv, 0.5) / nullif(PCT(w.cv, 0.5), 0), 4) AS ratio FROM a JOIN w ON a.species = w.species AND a.trade_date = w.trade_date GROUP BY a.species""",
-    "agg_packaging_pairs": f"""WITH d AS (SELECT species, packaging, trade_date, avg(price_avg) AS p, sum(price_avg * quantity) / sum(quantity) AS w FROM lots GROUP BY species, packaging, trade_date),
-k AS (SELECT species, packaging, row_number() OVER (PARTITION BY species ORDER BY count(*) DESC, packaging) AS rn FROM d GROUP BY species, packaging HAVING count(*) >= 100)
-SELECT a.species, ka.packaging AS first, kb.packaging AS second, count(*) AS days, {_CORR.format(x="a.p", y="b.p")} AS corr_simple, {_CORR.format(x="a.w", y="b.w")} AS corr_weighted, round(avg(a.p) / avg(b.p), 4) AS ratio
-FROM d a JOIN k ka ON a.species = ka.species AND a.packaging = ka.packaging AND ka.rn = 1 JOIN k kb ON kb.species = a.species AND kb.rn = 2 JOIN d b ON b.species = a.species AND b.packaging = kb.packaging AND b.trade_date = a.trade_date GROUP BY a.species, ka.packaging, kb.packaging HAVING count(*) >= 30""",
     "agg_weighting_corr": f"SELECT species, count(*) AS days, {_CORR.format(x='p', y='w')} AS corr FROM ({_DAILY}) d GROUP BY species HAVING count(*) >= 30",
     "agg_lag1": f"SELECT species, count(*) AS days, {_CORR.format(x='p', y='prev')} AS lag1 FROM (SELECT species, p, lag(p) OVER (PARTITION BY species ORDER BY trade_date) AS prev FROM ({_DAILY}) d) x WHERE prev IS NOT NULL GROUP BY species HAVING count(*) >= 3",
     "agg_gate_volume": "SELECT species, count(DISTINCT trade_date) AS days FROM lots GROUP BY species HAVING count(DISTINCT trade_date) >= 200",
@@ -36,8 +32,6 @@ SELECT s.species, c.trade_date, coalesce(d.q, 0) AS qty, coalesce(d.n, 0) AS lot
     "agg_weekly": "SELECT species, WEEKOF(trade_date) AS week, round(avg(price_avg), 6) AS avg_price, min(price_low) AS low, max(price_high) AS high FROM lots GROUP BY species, WEEKOF(trade_date)",
     "agg_monthly": "SELECT species, MONTHOF(trade_date) AS month_start, round(avg(price_avg), 6) AS avg_price, min(price_low) AS low, max(price_high) AS high FROM lots GROUP BY species, MONTHOF(trade_date)",
     "agg_compare_season": "SELECT season, round(avg(price_avg), 6) AS avg_price, count(*) AS n, rank() OVER (ORDER BY avg(price_avg) DESC) AS rank_ FROM (SELECT price_avg, CASE WHEN month(trade_date) IN (3, 4, 5) THEN 'spring' WHEN month(trade_date) IN (6, 7, 8) THEN 'summer' WHEN month(trade_date) IN (9, 10, 11) THEN 'autumn' ELSE 'winter' END AS season FROM lots) x GROUP BY season",
-    "agg_config_viability": """WITH g AS (SELECT species, state, packaging, spec, count(DISTINCT trade_date) AS days, count(*) AS n FROM lots GROUP BY species, state, packaging, spec)
-SELECT species, state, packaging, spec, days, n, round(CAST(n AS DOUBLE) / days, 4) AS lots_per_day, days >= 300 AND n >= 500 AND CAST(n AS DOUBLE) / days >= 1 AS viable, CASE WHEN days >= 1000 THEN 'A' WHEN days >= 500 THEN 'B' WHEN days >= 300 THEN 'C' ELSE 'D' END AS grade FROM g""",
     "agg_daily_view": "SELECT trade_date, species, sum(quantity) AS qty, max(price_high) AS high, min(price_low) AS low, CAST(BROUND(avg(price_avg), 0) AS INT) AS avg_price, count(*) AS n FROM lots WHERE state IS NOT NULL AND packaging IS NOT NULL GROUP BY trade_date, species",
     "agg_cube": "SELECT grouping(species) AS all_species, grouping(state) AS all_states, species, state, count(*) AS n FROM lots GROUP BY CUBE (species, state)",
     "agg_rollup": "SELECT year(trade_date) AS year, month(trade_date) AS month, count(*) AS n, sum(quantity) AS qty FROM lots GROUP BY ROLLUP (year(trade_date), month(trade_date))",

@@ -35,19 +35,28 @@ def case_of(day, page):
     return F.pmod(F.datediff(day, F.lit("1990-01-01")) * 31 + page * 7, F.lit(97))
 
 
-def store_pages(lots: DataFrame, path: str) -> None:
-    """Every day from FIRST to LAST as the source would show it, with its answers."""
+def shown_pages(lots: DataFrame, first: str = FIRST, last: str = LAST) -> DataFrame:
+    """date, page and html of every day from first to last as the source would show it."""
     line = F.row_number().over(W.partitionBy("trade_date").orderBy(*[c for c in sorted(lots.columns) if c != "trade_date"])) - 1
     shown = pages_html.render_pages(lots.withColumns({"date": F.date_format("trade_date", "yyyy.MM.dd"), "line": line}))
     count = F.max("page").over(W.partitionBy("date"))
     shown = shown.withColumn("html", F.concat(F.col("html"), F.lit('<a class="arr last" href="#" onclick="fnList('), count.cast("string"), F.lit(')">last</a>')))
-    days = lots.sparkSession.range(1).select(F.explode(F.sequence(F.lit(FIRST).cast("date"), F.lit(LAST).cast("date"), F.expr("interval 1 day"))).alias("day"))
+    days = lots.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 day"))).alias("day"))
     empty = days.withColumn("date", F.date_format("day", "yyyy.MM.dd")).join(shown.select("date").distinct(), "date", "left_anti")
-    rows = shown.select("date", "page", "html").unionByName(empty.select("date", F.lit(1).alias("page"), F.lit(EMPTY).alias("html")))
+    return shown.select("date", "page", "html").unionByName(empty.select("date", F.lit(1).alias("page"), F.lit(EMPTY).alias("html")))
+
+
+def answers_of(rows: DataFrame) -> DataFrame:
+    """The responses to each page in order: month, date, page, attempt, status, html."""
     case = case_of(F.to_date("date", "yyyy.MM.dd"), F.col("page"))
     status = F.when(case < 5, F.array(F.lit(429), F.lit(200))).when(case < 8, F.array(F.lit(BROKEN), F.lit(BROKEN), F.lit(200))).when(case < 10, F.array(F.lit(500), F.lit(429), F.lit(BROKEN))).when(case == 10, F.array(F.lit(UNEXPECTED), F.lit(200))).otherwise(F.array(F.lit(200)))
-    answers = rows.select("date", "page", "html", F.posexplode(status).alias("attempt", "status")).withColumns({"html": F.when(F.col("status") == 200, F.col("html")).otherwise(""), "month": F.substring("date", 1, 7)})
-    answers.repartition("month").write.mode("overwrite").partitionBy("month").parquet(path)
+    answers = rows.select("date", "page", "html", F.posexplode(status).alias("attempt", "status"))
+    return answers.withColumns({"html": F.when(F.col("status") == 200, F.col("html")).otherwise(""), "month": F.substring("date", 1, 7)})
+
+
+def store_pages(lots: DataFrame, path: str) -> None:
+    """Every day's pages with their answers, as the page readers expect them."""
+    answers_of(shown_pages(lots)).repartition("month").sortWithinPartitions("month", "date", "page", "attempt").write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def crawled(spark: SparkSession, sf_dir: str, start: str = FIRST, end: str = LAST) -> DataFrame:
@@ -102,15 +111,20 @@ def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "started string, last_completed string, total_records long, failed_days int")
 
 
-_LINES = """ln AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY origin NULLS FIRST, packaging NULLS FIRST, price_avg, price_high, price_low, quantity, spec, species, state NULLS FIRST) - 1 AS line FROM lots),
+def lines_sql(first: str, last: str) -> str:
+    """CTEs that end in `days` and `res`: how each day of the calendar goes, from the lots and the rule of case_of."""
+    return f"""ln AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY origin NULLS FIRST, packaging NULLS FIRST, price_avg, price_high, price_low, quantity, spec, species, state NULLS FIRST) - 1 AS line FROM lots),
 pg AS (SELECT trade_date, line // 10 + 1 AS page, count(*) AS n FROM ln GROUP BY ALL),
-cal AS (SELECT CAST(unnest(generate_series(DATE '1992-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS trade_date), allp AS (SELECT c.trade_date, coalesce(page, 1) AS page, coalesce(n, 0) AS n FROM cal c LEFT JOIN pg USING (trade_date)),
+cal AS (SELECT CAST(unnest(generate_series(DATE '{first}', DATE '{last}', INTERVAL 1 DAY)) AS DATE) AS trade_date), allp AS (SELECT c.trade_date, coalesce(page, 1) AS page, coalesce(n, 0) AS n FROM cal c LEFT JOIN pg USING (trade_date)),
 k AS (SELECT *, (date_diff('day', DATE '1990-01-01', trade_date) * 31 + page * 7) % 97 AS c FROM allp), r AS (SELECT *, c NOT BETWEEN 8 AND 10 AS ok, CASE WHEN c < 5 THEN 63.0 WHEN c < 8 THEN 7.5 WHEN c < 10 THEN 124.5 ELSE 1.5 END AS waited FROM k),
 f AS (SELECT trade_date, bool_or(page = 1 AND ok) AS first FROM r GROUP BY trade_date), asked AS (SELECT r.* FROM r JOIN f USING (trade_date) WHERE first OR page = 1),
 days AS (SELECT strftime(trade_date, '%Y.%m.%d') AS date, count(*) FILTER (ok) AS pages_ok, count(*) FILTER (NOT ok) AS pages_failed, round(sum(waited), 1) AS waited, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS records, bool_or(page = 1 AND ok) AS first FROM asked GROUP BY trade_date),
 res AS (SELECT date, CASE WHEN NOT first THEN 'failed' WHEN records = 0 THEN 'empty' ELSE 'ok' END AS status, pages_ok, pages_failed, waited, records FROM days)"""
 
 
+_LINES = lines_sql(FIRST, LAST)
+
+
 # Sinks
 
 

@@ -114,14 +114,21 @@ def regression_lines(lots: DataFrame) -> DataFrame:
 
 
 def insight(lots: DataFrame) -> DataFrame:
-    """Advice of each species from season (index below 0.9 or above 1.1), trend (slope of 30 days against a tenth of their deviation) and volatility."""
+    """Advice of each species from the season of its last month (index below 0.9 or above 1.1), the trend and the volatility.
+
+    The trend is the slope of the last 30 days against a tenth of their deviation. Volatility is high where the deviation
+    of the last 30 days is at least 0.66 of the largest that any 30 days had.
+    """
     day = daily(lots).withColumn("back", F.row_number().over(W.partitionBy("species").orderBy(F.desc("trade_date"))))
     last = day.where("back = 1").select("species", F.month("trade_date").alias("m"))
-    season = day.join(last, "species").groupBy("species").agg((F.avg(F.when(F.month("trade_date") == F.col("m"), F.col("p"))) / F.avg("p")).alias("index"), (F.stddev_samp("p") / F.avg("p")).alias("vol"))
+    season = day.join(last, "species").groupBy("species").agg((F.avg(F.when(F.month("trade_date") == F.col("m"), F.col("p"))) / F.avg("p")).alias("index"))
     trend = day.where("back <= 30").groupBy("species").agg(F.regr_slope("p", -F.col("back")).alias("slope"), F.stddev_pop("p").alias("sd"))
-    rows = season.join(trend, "species")
-    direction = F.when(F.col("slope") > 0.01 * F.col("sd"), "rising").when(F.col("slope") < -0.01 * F.col("sd"), "falling").otherwise("stable")
-    rows = rows.withColumn("direction", direction).withColumn("high", F.col("vol") > 0.1)
+    month = by_day().rowsBetween(-29, 0)
+    rolling = day.withColumn("s", F.when(F.count("p").over(month) == 30, F.stddev_samp("p").over(month)))
+    volatility = rolling.groupBy("species").agg((F.max(F.when(F.col("back") == 1, F.col("s"))) / F.nullif(F.max("s"), F.lit(0.0))).alias("vol"))
+    rows = season.join(trend, "species").join(volatility, "species")
+    direction = F.when(F.col("slope") > 0.1 * F.col("sd"), "rising").when(F.col("slope") < -0.1 * F.col("sd"), "falling").otherwise("stable")
+    rows = rows.withColumn("direction", direction).withColumn("high", F.coalesce(F.col("vol") >= 0.66, F.lit(False)))
     score = F.when(F.col("index") < 0.9, 2).when(F.col("index") > 1.1, -2).otherwise(0) + F.when(F.col("direction") == "falling", 1).when(F.col("direction") == "rising", -1).otherwise(0) - F.col("high").cast("int")
     reasons = F.array_compact(F.array(F.when(F.col("index") < 0.9, "low season").when(F.col("index") > 1.1, "high season"), F.when(F.col("direction") != "stable", F.concat(F.lit("prices "), "direction")), F.when(F.col("high"), "volatile")))
     action = F.when(F.col("score") >= 2, "buy").when(F.col("score") <= -2, "wait").otherwise("hold")
@@ -167,9 +174,10 @@ SELECT species, round(avg(d * d), 6) AS mse, round(avg(d), 6) AS mae, round(avg(
     "ev_top_models": f"""WITH {_F}, m AS ({" UNION ALL ".join(f"SELECT species, '{c}' AS model, avg(abs({c} - a) / a) FILTER (a > 0) * 100 AS m FROM f WHERE a IS NOT NULL AND i >= 30 GROUP BY species" for c in _NAMES)}), r AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY m, model) AS place FROM m)
 SELECT species, model, place, round(m, 6) AS mape, round(avg(m) OVER (PARTITION BY species), 6) AS ensemble_metric FROM r WHERE place <= 3""",
     "ev_regression_line": f"WITH {_F} SELECT species, round(covar_pop(a, p) / var_pop(p), 4) AS slope, round(avg(a) - covar_pop(a, p) / var_pop(p) * avg(p), 3) AS intercept, round(power(corr(a, p), 2), 4) AS r2 FROM f WHERE a IS NOT NULL GROUP BY species",
-    "ml_insight": f"""WITH {_F}, l AS (SELECT species, month(max(trade_date)) AS m FROM d GROUP BY species), s AS (SELECT species, avg(p) FILTER (month(trade_date) = m) / avg(p) AS ix, stddev_samp(p) / avg(p) AS vol FROM d JOIN l USING (species) GROUP BY species),
+    "ml_insight": f"""WITH {_F}, l AS (SELECT species, month(max(trade_date)) AS m FROM d GROUP BY species), s AS (SELECT species, avg(p) FILTER (month(trade_date) = m) / avg(p) AS ix FROM d JOIN l USING (species) GROUP BY species),
 t AS (SELECT species, covar_pop(p, i) / var_pop(i) AS slope, stddev_pop(p) AS sd FROM f WHERE i >= days - 30 GROUP BY species),
-x AS (SELECT species, ix, CASE WHEN slope > 0.01 * sd THEN 'rising' WHEN slope < -0.01 * sd THEN 'falling' ELSE 'stable' END AS dir, vol > 0.1 AS high FROM s JOIN t USING (species)),
+v AS (SELECT species, i, CASE WHEN i >= 29 THEN stddev_samp(p) OVER (PARTITION BY species ORDER BY i ROWS 29 PRECEDING) END AS roll FROM f), vol AS (SELECT species, arg_max(roll, i) / nullif(max(roll), 0) AS ratio FROM v GROUP BY species),
+x AS (SELECT species, ix, CASE WHEN abs(slope) <= sd / 10 THEN 'stable' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS dir, coalesce(ratio >= 0.66, FALSE) AS high FROM s JOIN t USING (species) JOIN vol USING (species)),
 y AS (SELECT *, CASE WHEN ix < 0.9 THEN 2 WHEN ix > 1.1 THEN -2 ELSE 0 END + CASE dir WHEN 'falling' THEN 1 WHEN 'rising' THEN -1 ELSE 0 END - CASE WHEN high THEN 1 ELSE 0 END AS score FROM x)
 SELECT species, score, CASE WHEN score >= 2 THEN 'buy' WHEN score <= -2 THEN 'wait' ELSE 'hold' END AS action, round(CASE WHEN abs(score) >= 2 THEN least(0.9, 0.5 + 0.1 * abs(score)) ELSE 0.5 END, 2) AS confidence,
 concat_ws('; ', CASE WHEN ix < 0.9 THEN 'low season' WHEN ix > 1.1 THEN 'high season' END, CASE WHEN dir <> 'stable' THEN 'prices ' || dir END, CASE WHEN high THEN 'volatile' END) AS reasons FROM y""",

@@ -95,7 +95,7 @@ def packaging_ratio(lots: DataFrame) -> DataFrame:
 
 def threshold_sweep(lots: DataFrame) -> DataFrame:
     limits = F.explode(F.array(F.lit(1.5), F.lit(2.0), F.lit(2.5))).alias("threshold")
-    rows = packaging_ratio(fine(quarters(lots)).withColumn("packaging", F.col("state"))).select(limits, F.round("ratio", 2).alias("ratio"))
+    rows = packaging_ratio(quarters(lots)).select(limits, F.round("ratio", 2).alias("ratio"))
     return rows.groupBy("threshold").agg(F.count_if(F.col("ratio") > F.col("threshold")).alias("n"), F.count("*").alias("species"))
 
 

@@ -53,7 +53,7 @@ SQL = {
     "agg_spec_classes": f"WITH {_SRC} SELECT class, count(*) AS n, count(DISTINCT species) AS n_species FROM cls GROUP BY class",
     "agg_spec_class_kinds": f"WITH {_SRC} SELECT kinds, count(*) AS n_species FROM (SELECT species, packaging, count(DISTINCT class) AS kinds FROM cls GROUP BY species, packaging) GROUP BY kinds",
     "agg_spec_cv": f"WITH {_QUARTERS}, {_cv_ratio('qtr', 'species, trade_date, state, packaging', 'spec')} SELECT species, round(within, 4) AS within_cv, round(across, 4) AS across_cv, round(ratio, 2) AS ratio, CASE WHEN ratio > 1.5 THEN 'segments' ELSE 'ok' END AS verdict FROM ratio",
-    "agg_threshold_sweep": f"""WITH fq AS (SELECT species || ' ' || packaging AS species, CAST(date_trunc('quarter', trade_date) AS DATE) AS trade_date, state, price_avg FROM lots WHERE state <> ''), {_cv_ratio("fq", "species, trade_date", "state")}
+    "agg_threshold_sweep": f"""WITH {_QUARTERS}, {_cv_ratio("qtr", "species, trade_date", "packaging")}
 SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (round(ratio, 2) > t) AS n, count(*) AS species FROM ratio CROSS JOIN (VALUES (1.5), (2.0), (2.5)) v(t) GROUP BY t""",
     "agg_origin_spread": f"""WITH {_QUARTERS}, g AS (SELECT (max(price_avg) - min(price_avg)) / avg(price_avg) AS s FROM qtr GROUP BY species, trade_date, state, packaging, spec HAVING count(*) >= 2 AND avg(price_avg) <> 0)
 SELECT count(*) AS n, round(100 * median(s), 4) AS median_pct, round(100 * avg(s), 4) AS mean_pct, round(100 * quantile_cont(s, 0.95), 4) AS p95_pct FROM g""",

@@ -63,6 +63,5 @@ SELECT f.species, f.fold, count(CASE WHEN d.i < f.base + f.fold * f.step THEN 1
     "ev_losses": f"WITH {_D}, {_NAIVE} SELECT species, round(avg(2 * abs(p - a) / (abs(p) + abs(a))) * 100, 6) AS smape, round(avg(CASE WHEN abs(p - a) <= 1 THEN 0.5 * (p - a) * (p - a) ELSE abs(p - a) - 0.5 END), 4) AS huber FROM f WHERE a IS NOT NULL GROUP BY species",
     "ev_best_variant": f"WITH {_D}, {_NAIVE}, m AS (SELECT species, avg(abs(p - a) / a) AS naive, avg(abs(s7 - a) / a) AS sma FROM f WHERE a > 0 AND s7 IS NOT NULL GROUP BY species) SELECT species, CASE WHEN naive <= sma THEN 'naive' ELSE 'sma' END AS best, CASE WHEN least(naive, sma) < 0.1 THEN 'A' WHEN least(naive, sma) < 0.2 THEN 'B' WHEN least(naive, sma) < 0.3 THEN 'C' ELSE 'D' END AS tier, round((naive + sma) / 2 * 100, 6) AS ensemble_metric FROM m",
     "ev_direction_previous": f"WITH {_D}, {_NAIVE}, g AS (SELECT species, a > lag(a) OVER (PARTITION BY species ORDER BY i) AS up, s7 > lag(s7) OVER (PARTITION BY species ORDER BY i) AS guess FROM f WHERE a IS NOT NULL AND s7 IS NOT NULL) SELECT species, round(avg(CASE WHEN up = guess THEN 1.0 ELSE 0.0 END), 6) AS direction FROM g WHERE up IS NOT NULL AND guess IS NOT NULL GROUP BY species",
-    "ev_cqr_first": f"WITH {_D}, {_NAIVE}, b AS (SELECT species, i, a, s7 - sd AS lo, s7 + sd AS hi, greatest(s7 - sd - a, a - s7 - sd) AS score, row_number() OVER (PARTITION BY species ORDER BY i) AS rn, count(*) OVER (PARTITION BY species) AS m FROM f WHERE a IS NOT NULL AND i >= 30), q AS (SELECT species, PCT(score, 0.9) AS qhat FROM b WHERE rn <= BUCKET(0.8 * m) GROUP BY species) SELECT b.species, round(max(q.qhat), 4) AS qhat, round(avg(CASE WHEN a BETWEEN lo - q.qhat AND hi + q.qhat THEN 1.0 ELSE 0.0 END), 6) AS held_out_coverage FROM b JOIN q ON q.species = b.species WHERE rn > BUCKET(0.8 * m) GROUP BY b.species",
     "ev_split_conformal": f"WITH {_D}, {_NAIVE}, b AS (SELECT species, i, a, s7, abs(a - s7) AS r, row_number() OVER (PARTITION BY species ORDER BY i) AS rn, count(*) OVER (PARTITION BY species) AS m FROM f WHERE a IS NOT NULL AND i >= 30), q AS (SELECT species, PCT(r, 0.8) AS q FROM b WHERE rn <= BUCKET(0.8 * m) GROUP BY species) SELECT b.species, round(max(q.q), 4) AS half_width, round(avg(CASE WHEN b.r <= q.q THEN 1.0 ELSE 0.0 END), 6) AS held_out_coverage FROM b JOIN q ON q.species = b.species WHERE rn > BUCKET(0.8 * m) GROUP BY b.species",
 }

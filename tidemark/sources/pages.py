@@ -1,15 +1,17 @@
 """Pages from a store of responses, as a Python data source: paging, retries and limits of the daily fetch, without a network.
 
 A store is a folder of Parquet files below month=yyyy.MM with the responses of each date and page in the order in which
-they came: date, page, attempt, status, html. Status 200 is a page, 429 asks to wait, other numbers fail; a status of
+they came: date, page, attempt, status, html; a file is sorted by the first three. Status 200 is a page, 429 asks to wait, other numbers fail; a status of
 BROKEN stands for a lost connection, one of UNEXPECTED for an error that isn't tried again.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from itertools import groupby
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -48,6 +50,30 @@ def fetched(answer: Callable[[int], tuple[int, str]], tries: int) -> tuple[str,
     return "", False, tries, waited
 
 
+def stored_rows(folder: str, first: str, last: str, asked: int | None = None) -> Iterator[dict]:
+    """Stored responses from first to last day, in the order of date, page and attempt, of one time of asking where that is told.
+
+    Files hold their rows in this order, so they are merged as they are read and a batch of each is held.
+    """
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return
+    store = ds.dataset(path, filesystem=system, format="parquet")
+    where = (ds.field("date") >= first) & (ds.field("date") <= last)
+    if asked is not None and "asked" in store.schema.names:
+        where &= ds.field("asked") == asked
+    columns = ["date", "page", "attempt", "status", "html"]
+
+    def rows(file) -> Iterator[dict]:
+        for batch in file.to_batches(columns=columns, filter=where, batch_size=256):
+            yield from batch.to_pylist()
+
+    yield from heapq.merge(*map(rows, store.get_fragments()), key=lambda r: (r["date"], r["page"], r["attempt"]))
+
+
 class Month(InputPartition):
     def __init__(self, start: date, end: date):
         self.start, self.end = start, end
@@ -67,32 +93,25 @@ class PageReader(DataSourceReader):
         return out
 
     def read(self, partition: Month) -> Iterator[tuple]:
-        stored = self.responses(f"{self.path}/month={partition.start:%Y.%m}")
+        stored = stored_rows(f"{self.path}/month={partition.start:%Y.%m}", f"{partition.start:%Y.%m.%d}", f"{partition.end:%Y.%m.%d}")
+        days = groupby(stored, key=lambda r: r["date"])
+        name, rows = next(days, (None, ()))
         day = partition.start
         while day <= partition.end:
-            name = f"{day:%Y.%m.%d}"
-            html, ok, attempts, waited = self.page(stored, name, 1)
-            yield name, 1, html, ok, attempts, waited
+            wanted, answers = f"{day:%Y.%m.%d}", {}
+            if name == wanted:
+                for r in rows:
+                    answers.setdefault(r["page"], []).append((r["status"], r["html"]))
+                name, rows = next(days, (None, ()))
+            html, ok, attempts, waited = self.page(answers, 1)
+            yield wanted, 1, html, ok, attempts, waited
             for page in range(2, pages_of(html) + 1 if ok else 2):
-                yield name, page, *self.page(stored, name, page)
+                yield wanted, page, *self.page(answers, page)
             day += timedelta(days=1)
 
-    def page(self, stored: dict, name: str, page: int) -> tuple[str, bool, int, float]:
-        answers = stored.get((name, page), [])
-        return fetched(lambda attempt: answers[attempt] if attempt < len(answers) else (404, ""), self.tries)
-
-    def responses(self, folder: str) -> dict:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        if system.get_file_info(path).type == fs.FileType.NotFound:
-            return {}
-        out: dict = {}
-        table = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["date", "page", "attempt", "status", "html"])
-        for r in sorted(table.to_pylist(), key=lambda r: (r["date"], r["page"], r["attempt"])):
-            out.setdefault((r["date"], r["page"]), []).append((r["status"], r["html"]))
-        return out
+    def page(self, answers: dict, page: int) -> tuple[str, bool, int, float]:
+        stored = answers.get(page, [])
+        return fetched(lambda attempt: stored[attempt] if attempt < len(stored) else (404, ""), self.tries)
 
 
 class PageSource(DataSource):
