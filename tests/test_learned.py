@@ -125,21 +125,21 @@ def test_a_batch_that_breaks_runs_again(spark, monkeypatch):
     store, folder = daily_run.ingest.scratch(spark, "store"), daily_run.ingest.scratch(spark, "run")
     daily_run.store_twice(lots, store)
     daily_run.run_once(spark, store, folder, daily_run.FIRST, "1995-01-31")
-    whole = daily_run.sinks.write_days
+    whole = daily_run.written
 
-    def broken(frame, path):
-        whole(frame, path)
+    def broken(*args):
+        whole(*args)
         raise RuntimeError("lost")
 
-    monkeypatch.setattr(daily_run.sinks, "write_days", broken)
+    monkeypatch.setattr(daily_run, "written", broken)
     with pytest.raises(Exception, match="lost"):
         daily_run.run_once(spark, store, folder, daily_run.FIRST, "1995-02-28")
-    monkeypatch.setattr(daily_run.sinks, "write_days", whole)
+    monkeypatch.setattr(daily_run, "written", whole)
     daily_run.run_once(spark, store, folder, daily_run.FIRST, "1995-02-28")
     daily_run.run_once(spark, store, folder, daily_run.FIRST, "1995-02-28")
     state = daily_run.state_of(spark, folder)
     assert state["statistics"]["failed_dates"] == [] and state["statistics"]["total_days_crawled"] == 59
-    kept = spark.read.parquet(f"{folder}/lots")
+    kept = daily_run.kept_lots(spark, folder)
     assert kept.count() == lots.count() == state["statistics"]["total_records"]
     assert kept.agg(F.sum("price_avg")).first() == lots.agg(F.sum("price_avg")).first()
 

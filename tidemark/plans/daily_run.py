@@ -11,7 +11,6 @@ from tidemark.operators import cleaning
 from tidemark.plans import ingest
 from tidemark.plans.dialect import oracle
 from tidemark.sources import html as pages_html
-from tidemark.sources import sinks
 from tidemark.sources.day_stream import DayStream
 from tidemark.sources.lots import star_lots
 from tidemark.streaming import stateful, streams
@@ -42,10 +41,22 @@ def saved(spark: SparkSession, folder: str, run: int, until: str) -> None:
     spark.createDataFrame([(run, json.dumps(state))], "run int, value string").coalesce(1).write.mode("overwrite").json(f"{folder}/state/of={run}")
 
 
+def written(lots: DataFrame, folder: str, number: int) -> None:
+    """A batch's lots in its own folder, in order of days, so that a day's row groups are found by its date."""
+    lots.sortWithinPartitions("trade_date").write.mode("overwrite").parquet(f"{folder}/lots/batch={number}")
+
+
+def kept_lots(spark: SparkSession, folder: str) -> DataFrame:
+    """The lots of all days, each from the last batch that had the day: a day fetched again replaces itself."""
+    results = spark.read.schema(f"{RESULTS}, batch long").parquet(f"{folder}/results").where("status <> 'failed'")
+    last = results.groupBy(F.to_date("date", "yyyy.MM.dd").alias("trade_date")).agg(F.max("batch").alias("batch"))  # days of the calendar
+    return spark.read.parquet(f"{folder}/lots").withColumn("batch", F.col("batch").cast("long")).join(F.broadcast(last), ["trade_date", "batch"]).drop("batch")
+
+
 def run_once(spark: SparkSession, store: str, folder: str, start: str, until: str) -> None:
     """Fetch the days that no run has fetched, up to `until`, and the failed ones again; days replace themselves in the table.
 
-    A batch writes its results under its number and its days over themselves, so it may be run again after a fault.
+    A batch writes its lots and results under its number, over what an earlier attempt left, so it may be run again after a fault.
     """
     state = state_of(spark, folder)
     run = state["runs"] + 1
@@ -57,7 +68,7 @@ def run_once(spark: SparkSession, store: str, folder: str, start: str, until: st
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         lots = pages_html.parse_pages(batch.where("ok")).withColumn("trade_date", F.to_date("trade_date", "yyyy.MM.dd"))
-        sinks.write_days(cleaning.normalised(lots.drop("page", "line")), f"{folder}/lots")
+        written(cleaning.normalised(lots.drop("page", "line")), folder, number)
         records = lots.groupBy(F.date_format("trade_date", "yyyy.MM.dd").alias("date")).agg(F.count("*").alias("records"))
         days = batch.groupBy("date").agg(F.max(F.when((F.col("page") == 1) & F.col("ok"), 1)).alias("first")).join(records, "date", "left").fillna(0, ["records"])
         status = F.when(F.col("first").isNull(), "failed").when(F.col("records") == 0, "empty").otherwise("ok")
@@ -91,7 +102,7 @@ def daily_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda status: F.count_if(F.col("status") == status)
     runs = spark.read.schema(RESULTS).parquet(f"{folder}/results").groupBy("run").agg(
         F.min("date").alias("first"), F.max("date").alias("last"), F.count_if(F.col("asked") == 0).alias("new_days"), F.count_if(F.col("asked") > 0).alias("again"), of("ok").alias("ok"), of("empty").alias("empty"), of("failed").alias("failed"), F.sum("records").alias("records"))
-    table = spark.read.parquet(f"{folder}/lots").agg(F.count("*").alias("table_rows"))
+    table = kept_lots(spark, folder).agg(F.count("*").alias("table_rows"))
     return runs.join(F.broadcast(after), "run").join(F.broadcast(table))  # a row a run, and one row
 
 
