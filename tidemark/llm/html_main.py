@@ -58,10 +58,11 @@ NEVER_WRAPS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|ad
 IN_MAIN, LINKS, IN_WRAPPED, ELSEWHERE, MAYBE, DROPPED = range(6)
 
 
-def boilerplate(attributes: str) -> bool:
+def boilerplate(attributes: str, words: bool = True) -> bool:
+    """Whether attributes hide an element or, with words, name it as boilerplate."""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id", "role") and MARKED.search(value):
+        if words and name in ("class", "id", "role") and MARKED.search(value):
             return True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -111,6 +112,7 @@ def lines(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     open_ = Open()
     place, held, at, plain = ELSEWHERE, [], 0, False
+    asides: list[tuple[int, list[str], bool]] = []  # dropped parts of a line: their depth, and the line so far
 
     def text(part: str) -> None:
         nonlocal plain
@@ -126,6 +128,14 @@ def lines(page: str) -> list[tuple[str, int]]:
                 out.append((whole, LINKS if place == IN_MAIN and not plain else place))
         plain = False
 
+    def resume(depth: int) -> None:
+        """End the dropped parts from this depth on, and go on with the lines that they interrupt."""
+        nonlocal place, plain
+        while asides and asides[-1][0] >= depth:
+            close()
+            at_, before_, plain = asides.pop()
+            held[:], place = before_, open_.stack[at_][1]
+
     size = len(page)
     lower = None
     for _ in range(size + 1):
@@ -141,6 +151,8 @@ def lines(page: str) -> list[tuple[str, int]]:
         name = m[2].lower()
         if m[1]:
             depth = open_.depth(name)
+            if depth is not None:
+                resume(depth)
             if name in BLOCK or depth is not None and open_.blocks and open_.blocks[-1] >= depth:
                 close()
             if depth is not None:
@@ -174,11 +186,13 @@ def lines(page: str) -> list[tuple[str, int]]:
                 # An open paragraph or item ends where the next begins.
                 own = open_.stack[open_.blocks[-1]][0]
                 if own == name or own == "p" and name in HEADINGS:
+                    resume(open_.blocks[-1])
+                    close()
                     place = open_.cut(open_.blocks[-1])
         if m[3].endswith("/") and name not in BLOCK:
             continue
         before = place
-        marked = name not in ("html", "body") and bool(m[3]) and boilerplate(m[3])
+        marked = name not in ("html", "body") and bool(m[3]) and boilerplate(m[3], name not in MAIN)
         if place == MAYBE and name in MAIN and not marked:
             place = IN_WRAPPED
         elif place != DROPPED:
@@ -189,11 +203,16 @@ def lines(page: str) -> list[tuple[str, int]]:
             elif name in BOILERPLATE or marked:
                 wraps = place in (ELSEWHERE, MAYBE) and (name in MAY_WRAP or name not in BOILERPLATE) and not (marked and hides(m[3]))
                 place = MAYBE if wraps else DROPPED
-        if place != before:
+        if place != before and name not in BLOCK and before not in (MAYBE, DROPPED):
+            asides.append((len(open_.stack), held[:], plain))
+            held.clear()
+            plain = False
+        elif place != before:
             now, place = place, before
             close()
             place = now
         open_.push(name, before)
+    resume(0)
     close()
     return out
 
