@@ -11,7 +11,7 @@ import duckdb
 import pytest
 
 from tests.compare import spark_rows
-from tidemark.llm import alignment, packing, registry, repair, word_tokens
+from tidemark.llm import alignment, html_main, packing, registry, repair, word_tokens
 
 FOLDER = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, task string, length string, ids string, rank string, row string"
@@ -310,3 +310,19 @@ def test_repaired_rows(spark):
 def test_every_new_query_has_its_columns(spark):
     names, rows = spark_rows(registry.QUERIES["op13_conversation_repair"](spark, FOLDER))
     assert names == ["audit", "blank", "conv_id", "cost", "duplicate", "gaps", "illegal", "repaired_sha256", "truncated"] and rows
+
+
+# 4
+@pytest.mark.parametrize("page", [
+    "<main class='content with-sidebar'><p>Real text</p></main>", "<article class='post social-policy'><p>Real text</p></article>", "<article id='search'>Real text</article>",
+    "<article><p>Real <button>x</button>text</p></article>", "<article><p>Real <label>y<select><option>z</select></label>text", "<main role='main' id='comments'><p>Real <span class='ad'>Buy</span>text</p><p hidden>no</p></main>",
+])
+def test_articles_stay_whatever_they_are_called(spark, page):
+    rows = [(1, "http://a.b/1", page), (2, "http://a.b/2", "<article hidden><p>Gone</p></article><p>Other</p>")]
+    got = {r.page_id: r.text for r in html_main.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Real text", 2: "Other"}
+
+
+def test_a_dropped_part_does_not_end_its_line():
+    kept = [x for x, p in html_main.lines("<p>Real <button>x</button> text <label>lab <i>el</i></label> end</p><p>Next <button>open<p>Third</p>") if p != html_main.DROPPED]
+    assert kept[0] == "Real text end" and "Next" in kept

@@ -120,6 +120,8 @@ class TwoCoders(_Coder):
 
     CUT = re.compile(r"(?<=\S) ")
     UNEVEN = re.compile(r"\s ")
+    #: White space at an end of a word, where words stand behind single blanks.
+    SPACED = re.compile(r" \s|\s |\s\Z")
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -150,20 +152,23 @@ class TwoCoders(_Coder):
         return found
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), JOINED):
-            some = new[at : at + JOINED]
+        # Words with white space at their ends wouldn't be cut off again when they are joined.
+        odd = [w for w in new if not w or self.SPACED.search(" " + w)] if self.SPACED.search(" " + " ".join(new)) else []
+        self.known.update((w, self._alone(w)) for w in odd)
+        plain = list(filterfalse(set(odd).__contains__, new)) if odd else new
+        for at in range(0, len(plain), 4 * JOINED):
+            some = plain[at : at + 4 * JOINED]
             whole = " " + " ".join(some)
             stops = np.cumsum([len(w.encode()) + 1 for w in some])
             parts = []
-            if all(w and not w[-1].isspace() and not w[0].isspace() for w in some):
-                for ids, table in ((self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.bytes_a), (self.b.encode(whole[1:]), self.bytes_b)):
-                    if b"".join([table[i] for i in ids]) == whole.encode():
-                        ids, sizes = np.asarray(ids, "<u4"), self.sizes_a if table is self.bytes_a else self.sizes_b
-                        ends = np.cumsum(sizes[ids])
-                        last = np.searchsorted(ends, stops)
-                        if (ends[np.minimum(last, len(ends) - 1)] == stops).all():
-                            packed, starts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
-                            parts.append([packed[starts[k] : starts[k + 1]] for k in range(len(some))])
+            for ids, table, of in ((self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.bytes_a, self.sizes_a), (self.b.encode(whole[1:]), self.bytes_b, self.sizes_b)):
+                if b"".join(map(table.__getitem__, ids)) == whole.encode():
+                    ids = np.asarray(ids, "<u4")
+                    ends = np.cumsum(of[ids])
+                    last = np.searchsorted(ends, stops)
+                    if (ends[np.minimum(last, len(ends) - 1)] == stops).all():
+                        packed, starts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+                        parts.append([packed[starts[k] : starts[k + 1]] for k in range(len(some))])
             if len(parts) == 2:
                 self.known.update(zip(some, zip(*parts, strict=True), strict=True))
             else:
