@@ -16,7 +16,7 @@ from itertools import filterfalse
 
 import numpy as np
 
-CACHE = 200_000
+CACHE = 300_000
 LONG = 256
 #: Cuts encoded in one call.
 JOINED = 1000
@@ -36,6 +36,9 @@ def _tokenizer(path: str, plain: bool):
 
 
 class _Coder:
+    #: What an entry of the cache counts.
+    weight = 1.0
+
     def __init__(self):
         self.known: dict = {}
         self.older: dict = {}
@@ -53,7 +56,7 @@ class _Coder:
         for w in words:
             if len(w) > LONG:
                 self.known.pop(w, None)
-        if len(self.known) > CACHE:
+        if len(self.known) * self.weight > CACHE:
             self.known, self.older = {}, self.known
 
 
@@ -118,6 +121,7 @@ class TwoCoders(_Coder):
     the piece model's own sign for a blank, or else don't come back byte by byte, give None.
     """
 
+    weight = 1.5
     CUT = re.compile(r"(?<=\S) ")
     UNEVEN = re.compile(r"\s ")
     #: White space at an end of a word, where words stand behind single blanks.
