@@ -91,4 +91,6 @@ def oracle(sql: str) -> str:
     text = expanded(sql, 1)
     if not re.search(r"\blots\b", text):
         return text
+    if text.lstrip().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {LOTS_SQL}, {text.lstrip()[15:]}"
     return f"WITH {LOTS_SQL}, {text.lstrip()[5:]}" if text.lstrip().startswith("WITH ") else f"WITH {LOTS_SQL} {text}"

@@ -124,7 +124,7 @@ UNION ALL SELECT d.species, d.i, d.trade_date, d.p, CAST(d.p AS DOUBLE) / 4 + e.
 (d.p * 2 / 13 + e.e12 * 11 / 13 - d.p * 2 / 27 - e.e26 * 25 / 27) / 5 + e.sig * 4 / 5,
 CASE WHEN d.i <= 15 THEN e.up + greatest(d.p - e.p, 0) / 14 ELSE (e.up * 13 + greatest(d.p - e.p, 0)) / 14 END, CASE WHEN d.i <= 15 THEN e.down + greatest(e.p - d.p, 0) / 14 ELSE (e.down * 13 + greatest(e.p - d.p, 0)) / 14 END
 FROM e JOIN d ON d.species = e.species AND d.i = e.i + 1)
-SELECT species, trade_date, round(e7, 4) AS ema7, round(e30, 4) AS ema30, round(e12 - e26, 4) AS macd, round(sig, 4) AS signal, round(e12 - e26 - sig, 4) AS hist, round(CASE WHEN i <= 15 THEN 50 WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 4) AS rsi14 FROM e""").replace("WITH lots AS", "WITH RECURSIVE lots AS").replace(", RECURSIVE m AS", ", m AS"),
+SELECT species, trade_date, round(e7, 4) AS ema7, round(e30, 4) AS ema30, round(e12 - e26, 4) AS macd, round(sig, 4) AS signal, round(e12 - e26 - sig, 4) AS hist, round(CASE WHEN i <= 15 THEN 50 WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 4) AS rsi14 FROM e"""),
     "src_calendar": "SELECT CAST(d AS DATE) AS day, strftime(d, '%Y.%m.%d') AS trade_date FROM generate_series(DATE '2004-01-02', DATE '2004-03-15', INTERVAL 1 DAY) t(d)",
     "str_tumbling": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "str_sliding": "SELECT start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) x GROUP BY start",
