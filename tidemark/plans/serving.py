@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.operators import cleaning
 from tidemark.plans.dialect import oracle
 from tidemark.plans.studies import daily, mode_of, scored_configs
+from tidemark.sources import html, page_rows
 from tidemark.sources.lots import star_lots
 
 # What a request may ask for at most.
@@ -232,29 +232,17 @@ def vocabulary_changes(lots: DataFrame) -> DataFrame:
 # Extensions
 
 
-def parse_rows(html: str) -> Iterator[tuple[int, str]]:
-    """Row numbers and first cells of a page's first table body."""
-    import re
-
-    body = re.search(r"(?is)<tbody[^>]*>(.*?)</tbody>", html or "")
-    for i, row in enumerate(re.findall(r"(?is)<tr[^>]*>(.*?)</tr>", body[1] if body else "")):
-        cells = re.findall(r"(?is)<td[^>]*>(.*?)</td>", row)
-        if cells:
-            yield i, re.sub("<[^>]+>", "", cells[0]).strip()
-
-
 def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of lots through the parser in its extensible form, a table function."""
-    from pyspark.sql.functions import udtf
-
-    class PageRows:
-        def eval(self, html: str):
-            yield from parse_rows(html)
-
-    spark.udtf.register("page_rows", udtf(PageRows, returnType=T.StructType([T.StructField("line", T.IntegerType()), T.StructField("species", T.StringType())])))
-    day = star_lots(spark, sf_dir).groupBy(F.date_format("trade_date", "yyyy.MM").alias("month")).agg(F.concat(F.lit("<tbody>"), F.array_join(F.transform(F.array_sort(F.collect_list("species")), lambda s: F.concat(F.lit("<tr><td><b>"), s, F.lit("</b></td></tr>"))), ""), F.lit("</tbody>")).alias("html"))
-    day.createOrReplaceTempView("month_pages")
-    return spark.sql("SELECT species, count(*) AS n, max(line) > 0 AS numbered FROM month_pages, LATERAL page_rows(html) GROUP BY species")
+    """All lots written as pages and read back by the table function: the ten columns of a lot, page after page of each day."""
+    lots = star_lots(spark, sf_dir)
+    shown = html.render_pages(lots.withColumns({"date": F.date_format("trade_date", "yyyy.MM.dd"), "line": F.pmod(F.xxhash64(*lots.columns), F.lit(1000))}))
+    page_rows.register(spark)
+    back = spark.sql("SELECT * FROM page_lots(TABLE({pages}) PARTITION BY date ORDER BY page)", pages=shown)
+    few = spark.sql("SELECT species, price_avg FROM page_lots(TABLE({pages}) PARTITION BY date ORDER BY page, columns => 'price_avg,species')", pages=shown)
+    of = few.groupBy("species").agg(F.sum("price_avg").alias("price_again"))
+    return back.groupBy("species").agg(
+        F.count("*").alias("n"), F.count("state").alias("stated"), F.count_distinct("origin").alias("origins"), F.count_distinct("spec").alias("specs"), F.count_distinct("packaging").alias("packagings"), F.round(F.sum("quantity"), 2).alias("quantity"),
+        F.sum("price_high").alias("high"), F.sum("price_low").alias("low"), F.sum("price_avg").alias("price"), F.min("trade_date").alias("first")).join(of, "species")
 
 
 #: Losses and models by name; more can be added under new names.
@@ -331,7 +319,7 @@ SELECT 'last' AS model, 'mae' AS loss_name, species, round(avg(abs(l - y)), 6) A
 UNION ALL SELECT 'half', 'mse', species, round(avg(power((l + m) / 2 - y, 2)), 6) FROM f WHERE l IS NOT NULL GROUP BY species""",
     "tl_errors": """SELECT * FROM (SELECT 0 AS request, 'current' AS tool, 'OK' AS code, least(100, count(*)) AS n, '' AS suggestions FROM lots WHERE trade_date = (SELECT max(trade_date) FROM lots)) UNION ALL SELECT 1, 'current', 'SPECIES_NOT_FOUND', 0, (SELECT string_agg(species, ',' ORDER BY dist, species) FROM (SELECT species, levenshtein(species, 'Brnd#11') AS dist FROM (SELECT DISTINCT species FROM lots) ORDER BY dist, species LIMIT 3))
 UNION ALL SELECT 2, 'history', 'INVALID_RANGE', 0, '' UNION ALL SELECT 3, 'list', 'SEARCH_TOO_SHORT', 0, '' UNION ALL SELECT 4, 'list', 'OK', count(DISTINCT species), '' FROM lots WHERE species LIKE '%Brand#2%'""",
-    "udf_table_function": "SELECT species, count(*) AS n, TRUE AS numbered FROM lots GROUP BY species",
+    "udf_table_function": "SELECT species, count(*) AS n, count(state) AS stated, count(DISTINCT origin) AS origins, count(DISTINCT spec) AS specs, count(DISTINCT packaging) AS packagings, round(sum(quantity), 2) AS quantity, CAST(sum(price_high) AS BIGINT) AS high, CAST(sum(price_low) AS BIGINT) AS low, CAST(sum(price_avg) AS BIGINT) AS price, strftime(min(trade_date), '%Y.%m.%d') AS first, CAST(sum(price_avg) AS BIGINT) AS price_again FROM lots GROUP BY species",
     "udf_observed": "SELECT count(*) AS rows_, count(*) FILTER (state IS NULL) AS stateless, count(DISTINCT trade_date) AS days FROM lots",
 }
 ORACLES = {name: oracle(text) for name, text in SQL.items()}
