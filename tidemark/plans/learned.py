@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from multiprocessing.pool import ThreadPool
 
 import pandas as pd
@@ -15,7 +14,7 @@ from tidemark.plans.dialect import oracle
 from tidemark.plans.series import by_day, prior
 from tidemark.plans.studies import daily
 from tidemark.sources.lots import star_lots
-from tidemark.streaming.streams import shared_dir
+from tidemark.sources.staging import staged
 
 #: An isolation forest: trees, values a tree is grown from, share of values that are odd.
 TREES, SAMPLE, ODD = 100, 256, 0.05
@@ -74,7 +73,7 @@ def isolation(values: DataFrame, leaves: DataFrame) -> DataFrame:
 
 def anomalies(lots: DataFrame) -> DataFrame:
     """The last 30 days of a species that are odd by deviation, by quartiles or by the forest (its scores' upper 5 %)."""
-    day = daily(lots).select("species", F.col("trade_date").alias("id"), "p")
+    day = staged(daily(lots).select("species", F.col("trade_date").alias("id"), "p"), "days")
     score = isolation(day, forest(day))
     limit = score.groupBy("species").agg(F.percentile("score", 1 - ODD).alias("limit"))
     own = day.groupBy("species").agg(F.avg("p").alias("m"), F.stddev_pop("p").alias("sd"), F.percentile("p", 0.25).alias("q1"), F.percentile("p", 0.75).alias("q3"))
@@ -210,10 +209,7 @@ def tree_search(lots: DataFrame) -> DataFrame:
 
     Trials are Spark ML fits over all species, four at a time. The error of the naive forecast on the same days stands beside.
     """
-    spark = lots.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-search-{uuid.uuid4().hex}"
-    _vectors(lots).write.mode("overwrite").parquet(path)
-    rows = spark.read.parquet(path)
+    spark, rows = lots.sparkSession, staged(_vectors(lots), "search")
     fit, tune, test = rows.where("place < 0.6"), rows.where("place >= 0.6 and place < 0.8"), rows.where("place >= 0.8")
     guess = F.exp("prediction")
     with ThreadPool(4) as pool:
@@ -233,7 +229,7 @@ def permutation_importance(lots: DataFrame) -> DataFrame:
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = _vectors(lots)
+    rows = staged(_vectors(lots), "importance")
     train, test = rows.where("place < 0.8"), rows.where("place >= 0.8").withColumn("v", vector_to_array("x"))
     names = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("feature")) for i, n in enumerate(FEATURES)])).alias("f")
     wide = test.select("species", "trade_date", "v", "a", names).select("species", "trade_date", "v", "a", "f.at", "f.feature")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import cleaning
 from tidemark.sources.lots import star_lots
+from tidemark.sources.staging import staged
 
 #: Specs and origins of the lots as the source writes them, in place of some of the star schema's.
 SPECS = {"1미": "특대", "2미": "10/11미", "3미": "300/400", "4미": "바라"}
@@ -204,7 +205,8 @@ def packaging_pairs(lots: DataFrame) -> DataFrame:
 
 
 def decision_tree(lots: DataFrame) -> DataFrame:
-    """How each species is best grouped: by state, packaging and spec class, weighted or not."""
+    """How each species is best grouped: by state, packaging and spec class, weighted or not. Its six branches read the lots written once."""
+    lots = staged(lots, "lots")
     within = lambda r: r.select("species", F.round("ratio", 2).alias("ratio"))
     packs = within(packaging_ratio(quarters(lots))).withColumnRenamed("ratio", "pack_ratio")
     specs = within(cv_ratio(quarters(lots).where("packaging <> '' and spec <> ''"), ["species", "trade_date", "state", "packaging"], "spec")).withColumnRenamed("ratio", "spec_ratio")
