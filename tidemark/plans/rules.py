@@ -50,6 +50,20 @@ def config_viability(lots: DataFrame) -> DataFrame:
     return g.select("species", "state", "packaging", "spec", "days", "n", F.round(each, 4).alias("lots_per_day"), ((F.col("days") >= 300) & (F.col("n") >= 500) & (each >= 1)).alias("viable"), grade.alias("grade"), F.round(share, 4).alias("domestic_share"), band.alias("band"))
 
 
+def config_series(lots: DataFrame) -> DataFrame:
+    """The dashboard's daily series: of each species its commonest configuration (state, packaging, spec), once with its packaging and all
+    origins, once with any packaging ("S/P") and domestic origins only: mean price, highest and lowest, quantity and lots."""
+    known = sourced(lots).where("state is not null and spec is not null and packaging <> ''")
+    rank = F.row_number().over(W.partitionBy("species").orderBy(F.desc("n"), "state", "packaging", "spec"))
+    top = known.groupBy("species", "state", "packaging", "spec").agg(F.count("*").alias("n")).withColumn("r", rank).where("r = 1")
+    ways = F.array(F.struct(F.lit("own").alias("way"), F.lit(False).alias("domestic")), F.struct(F.lit("shared").alias("way"), F.lit(True).alias("domestic")))
+    configs = top.select("species", "state", "spec", "packaging", F.inline(ways)).select(
+        F.concat_ws("/", "species", "way").alias("config_id"), "species", "state", F.when(F.col("domestic"), "S/P").otherwise(F.col("packaging")).alias("packaging"), "spec", "domestic")
+    rows = cleaning.for_configs(known, configs, shared_packaging=True)
+    return rows.groupBy("config_id", "trade_date").agg(
+        F.round(F.avg("price_avg"), 6).alias("price"), F.max("price_high").alias("high"), F.min("price_low").alias("low"), F.sum("quantity").alias("quantity"), F.count("price_avg").alias("lots"))
+
+
 def conformal_first(lots: DataFrame) -> DataFrame:
     """Bands widened by the scores of the first 80 % of the days, judged on the rest; with fewer than ten days to learn from there is no widening and no coverage."""
     rows = forecasts(lots).where("a is not null and i >= 30").withColumns({"lo": F.col("prior7") - F.col("sd"), "hi": F.col("prior7") + F.col("sd")})
@@ -104,7 +118,7 @@ def from_row_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("species", F.year("trade_date").alias("year")).agg(F.count("*").alias("n"), F.sum("price_avg").alias("price"), F.count_distinct("origin").alias("origins"))
 
 
-FRAMES = {"agg_packaging_pairs": packaging_pairs, "agg_config_viability": config_viability, "ev_cqr_first": conformal_first}
+FRAMES = {"agg_packaging_pairs": packaging_pairs, "agg_config_viability": config_viability, "agg_config_series": config_series, "ev_cqr_first": conformal_first}
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(star_lots(spark, sf_dir))) for name, f in FRAMES.items()} | {"jn_weather_fill": weather_filled, "agg_stored_sketches": stored_sketches, "src_row_store": from_row_store}
 
 _FOREIGN = ", ".join(f"'{nation}'" for nation in ORIGINS)
@@ -120,6 +134,10 @@ SELECT species, first, second, days, round(cw, 6) AS corr_weighted, round(cs, 6)
 g AS (SELECT species, state, packaging, spec, count(DISTINCT trade_date) AS days, count(*) AS n, count(*) FILTER (NOT abroad) AS own FROM s GROUP BY ALL)
 SELECT species, state, packaging, spec, days, n, round(n / days, 4) AS lots_per_day, days >= 300 AND n >= 500 AND n >= days AS viable, CASE WHEN days >= 1000 AND n >= 2 * days THEN 'A' WHEN days >= 500 AND 2 * n >= 3 * days THEN 'B' WHEN days >= 300 AND n >= days THEN 'C' ELSE 'D' END AS grade,
   round(own / n, 4) AS domestic_share, CASE WHEN own = n THEN 'no filter' WHEN 10 * own >= 8 * n THEN 'whole' WHEN 2 * own >= n THEN 'split' ELSE 'own model' END AS band FROM g""",
+    "agg_config_series": f"""WITH s AS (SELECT species, state, packaging, nullif(CASE spec WHEN '1미' THEN '특대' WHEN '2미' THEN '10/11미' WHEN '3미' THEN '300/400' WHEN '4미' THEN '바라' ELSE spec END, '5미') AS spec, trade_date, origin IN ({_FOREIGN}) AS abroad, price_avg, price_high, price_low, quantity FROM lots),
+k AS (SELECT * FROM s WHERE state IS NOT NULL AND spec IS NOT NULL AND packaging <> ''), t AS (SELECT species, state, packaging, spec FROM k GROUP BY species, state, packaging, spec QUALIFY row_number() OVER (PARTITION BY species ORDER BY count(*) DESC, state, packaging, spec) = 1)
+SELECT k.species || '/' || w AS config_id, trade_date, round(avg(price_avg), 6) AS price, max(price_high) AS high, min(price_low) AS low, sum(quantity) AS quantity, count(*) AS lots
+FROM k JOIN t ON k.species = t.species AND k.state = t.state AND k.spec = t.spec JOIN (VALUES ('own'), ('shared')) v(w) ON CASE w WHEN 'own' THEN k.packaging = t.packaging ELSE NOT abroad END GROUP BY ALL""",
     "ev_cqr_first": """WITH d AS (SELECT species, trade_date, avg(price_avg) AS p FROM lots GROUP BY ALL), f AS (SELECT species, row_number() OVER w - 1 AS i, lead(p, 7) OVER w AS a, avg(p) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS m, stddev_pop(p) OVER (w ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS sd FROM d WINDOW w AS (PARTITION BY species ORDER BY trade_date)),
 b AS (SELECT species, a, m - sd AS lo, m + sd AS hi, row_number() OVER (PARTITION BY species ORDER BY i) AS k, CAST(floor(0.8 * count(*) OVER (PARTITION BY species)) AS BIGINT) AS cal FROM f WHERE a IS NOT NULL AND i >= 30),
 q AS (SELECT species, quantile_cont(greatest(lo - a, a - hi), 0.9) AS q FROM b WHERE k <= cal AND cal >= 10 GROUP BY species)
