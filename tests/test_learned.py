@@ -160,3 +160,27 @@ def test_the_row_store_reads_in_parts_with_filters(spark):
     empty = spark.createDataFrame([], "k long, name string")
     row_store.write_table(empty, url, "few")
     assert row_store.read_table(spark, url, "few", "k").count() == 0
+
+
+# Smoothing and the table function
+def test_fitted_constants_are_no_worse_than_given_ones(spark):
+    from tidemark.plans import smoothing
+
+    rows = smoothing.holt(star_lots(spark, FOLDER)).collect()
+    assert rows and all(r.rmse <= r.rmse_given for r in rows)
+
+
+def test_page_lots_gives_the_columns_asked_for(spark):
+    from tidemark.sources import page_rows
+
+    cell = "<td>{}</td>".format
+    row = "<tr>" + "".join(map(cell, ["(활)<b>넙치</b>", "동해", "1미", "S/P", "1.5", "1,200", "900", "-1,000"])) + "</tr>"
+    html = "<table><tbody>" + row + "<tr><td class='no-data'>x</td>" + "<td>1</td>" * 8 + "</tr><tr><td>few</td></tr></tbody></table><tbody>" + row + "</tbody>"
+    pages = spark.createDataFrame([("2020.01.02", 1, html), ("2020.01.03", 1, None), ("2020.01.04", 1, "<tbody></tbody>")], "date string, page int, html string")
+    page_rows.register(spark)
+    (got,) = spark.sql("SELECT * FROM page_lots(TABLE({p}) PARTITION BY date ORDER BY page)", p=pages).collect()
+    assert tuple(got) == ("2020.01.02", "(활)넙치", "넙치", "활", "동해", "1미", "S/P", 1.5, 1200, 900, 1000)
+    few = spark.sql("SELECT * FROM page_lots(TABLE({p}) PARTITION BY date, columns => 'price_low, species')", p=pages)
+    assert few.columns == ["trade_date", "price_low", "species"] and tuple(few.first()) == ("2020.01.02", 900, "넙치")
+    with pytest.raises(Exception, match="no such columns: colour"):
+        spark.sql("SELECT * FROM page_lots(TABLE({p}) PARTITION BY date, columns => 'colour')", p=pages)
