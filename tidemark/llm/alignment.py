@@ -204,5 +204,5 @@ def scored(documents: DataFrame, counts: DataFrame) -> DataFrame:
 
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:
     made = document_links(tokenised(table(spark, sf_dir, "documents")))
-    documents = staged(made.withColumn("row", F.monotonically_increasing_id()), "alignment-documents")
+    documents = staged(made.withColumn("row", F.monotonically_increasing_id()), "alignment-documents", "snappy")  # links hardly shrink further
     return scored(documents, link_counts(documents))
