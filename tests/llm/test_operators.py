@@ -592,6 +592,15 @@ def test_toxic_words_are_evidence(spark):
     assert not any(got[i] for i in range(400, 500)) and sum(got[i] for i in range(400)) >= 390
 
 
+def test_all_trusted_documents_train_the_classifier(spark):
+    """Half of the trusted documents, however many, teach the model: their words, which no other document has, are known to it."""
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "xx") for i in range(1200)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    got = sorted(r.perplexity for r in kneser_ney.scored(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels).collect())
+    low = sum(p < got[-1] / 10 for p in got)
+    assert 500 < low < 700
+
+
 def test_classifier(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(50)]
