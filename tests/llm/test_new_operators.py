@@ -326,3 +326,16 @@ def test_articles_stay_whatever_they_are_called(spark, page):
 def test_a_dropped_part_does_not_end_its_line():
     kept = [x for x, p in html_main.lines("<p>Real <button>x</button> text <label>lab <i>el</i></label> end</p><p>Next <button>open<p>Third</p>") if p != html_main.DROPPED]
     assert kept[0] == "Real text end" and "Next" in kept
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    """Once a table is written, the shuffle files that it came from are gone, and the session's setting is as before."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import common
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    before = {x for x in files() if x.startswith("shuffle_")}
+    out = common.staged(spark.range(10_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    assert {x for x in files() if x.startswith("shuffle_")} <= before
+    assert spark.conf.get(common.CLEANUP, "false") == "false" and out.count() == 7
