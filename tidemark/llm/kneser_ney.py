@@ -314,12 +314,12 @@ def _interpolated(counts: DataFrame, known: DataFrame) -> DataFrame:
     return counts.groupBy("salt", "shard").cogroup(known.groupBy("salt", "shard")).applyInArrow(work, schema)
 
 
-def train(sample: DataFrame, shards: int | None = None, spent: DataFrame | None = None) -> DataFrame:
-    """The model: model, kind, shards, shard, key, value and tables. Kinds are unk (value: log-probability of an unknown word), p1 (key and value of a word) and shard (the tables). The staged table `spent`, which the sample reads, is removed once all is counted."""
-    shards = shards or partitions(sample.sparkSession)
-    taught = sample.where("not held_out").select(F.lit(0).cast("long").alias("key"), salt_of(F.col("model")).alias("salt"), "text")
+def train(trusted: DataFrame, shards: int | None = None, spent: DataFrame | None = None) -> DataFrame:
+    """The model of the trusted documents that aren't held out: model, kind, shards, shard, key, value and tables. Kinds are unk (value: log-probability of an unknown word), p1 (key and value of a word) and shard (the tables). The staged table `spent`, which `trusted` reads, is removed once all is counted."""
+    shards = shards or partitions(trusted.sparkSession)
+    taught = trusted.where("not held_out").select(F.lit(0).cast("long").alias("key"), salt_of(F.col("model")).alias("salt"), "text")
     counts = staged(_counts(blocks(taught, shards).where("shard >= 0")), "counts")
-    names = staged(sample.select("model", salt_of(F.col("model")).alias("salt")).distinct(), "model")
+    names = staged(trusted.select("model", salt_of(F.col("model")).alias("salt")).distinct(), "model")
     forgotten(*([spent] if spent is not None else []))
     words = staged(_exploded(counts), "words")
     c1 = words.groupBy("salt", "c").agg(F.sum("n").alias("n"))
