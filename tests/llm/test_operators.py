@@ -601,6 +601,13 @@ def test_all_trusted_documents_train_the_classifier(spark):
     assert 500 < low < 700
 
 
+def test_rounds_do_not_shuffle_the_model(spark):
+    rows = [("*", i, "a b c d", i % 2 == 0) for i in range(4)]
+    model = kneser_ney.train(spark.createDataFrame(rows, "model string, doc_id long, text string, held_out boolean"))
+    same = model.where("kind = 'shard'").select("shard", "tables").groupBy("shard").applyInArrow(lambda x: x, "shard long, " + kneser_ney.TABLES_FIELD)
+    assert same.count() and "Exchange" not in same._jdf.queryExecution().executedPlan().toString()
+
+
 def test_classifier(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(50)]

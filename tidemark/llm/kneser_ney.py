@@ -7,7 +7,7 @@ The pooled model, of all trusted documents, is trained if a document needs it.
 Positions (a, b, c) are dealt by the hash of their middle word b into shards of some SHARD_BYTES of text, packed, a
 block for each pack of documents and shard. All counts, contexts and interpolated probabilities of a position are in its
 shard; what crosses shards, a word's own probability p1(c), is joined. A model is a table with a row of arrays for each
-shard, so neither the driver nor a broadcast holds it.
+shard, in buckets of shards, so neither the driver nor a broadcast holds it and no round shuffles it.
 
 All documents are scored the same way: a shard joins its blocks to its model and gives sums for each document and
 the words c that no bigram knew, which meet p1 in a second join; the answers come together by pack. This goes in
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import forgotten, packed, partitions, python_batches, staged, table, unpacked
+from tidemark.llm.common import bucketed, forgotten, packed, partitions, python_batches, staged, table, unpacked
 
 #: Trusted documents that a language needs in each half for a model of its own.
 MIN_TRUSTED = 20
@@ -47,9 +47,11 @@ POOL = "*"
 PRIOR_WORDS = 20
 PACK_BYTES = 6 << 20
 SHARD_BYTES = 12 << 20
-#: Documents are scored in rounds of so many bytes of text, in ROUNDS at most, as a round's shuffle takes some four times its Parquet.
-ROUND_BYTES = 32 << 20
+#: Documents are scored in ROUNDS, as a round's shuffle takes some four times its Parquet; in fewer of so many bytes of text if there is little.
+ROUND_BYTES = 8 << 20
 ROUNDS = 8
+#: Parts of the shards in which probabilities follow the counts, so that the counts of a part go as its tables come.
+PARTS = 4
 #: Behind each document's last word stands a position that ends with this mark, so that each word is a middle once.
 END = 0
 _STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -57,6 +59,7 @@ BLOCKS = "pack long, salt long, shard long, a binary, b binary, c binary, docs b
 COUNTS = "salt long, shard long, a binary, b binary, c binary, n binary, n3 array<double>, n2 array<double>, words binary, kinds binary"
 #: One row for each shard of a model: sorted keys and log-values of trigrams, bigrams and contexts.
 TABLES = ("p3", "p2", "b2", "b1")
+TABLES_FIELD = "tables struct<" + ", ".join(f"{k}_keys: binary, {k}_values: binary" for k in TABLES) + ">"
 PART = "pack long, kind int, shard long, docs binary, sums binary, n binary, unknown binary, evidence binary, words binary, packs binary"
 
 
@@ -283,13 +286,15 @@ def _interpolated(counts: DataFrame, known: DataFrame) -> DataFrame:
     def work(left, right):
         import numpy as np
 
-        if not left.num_rows:
-            return _table(schema, [])
-        row = left.to_pylist()[0]
+        salts, all_words, all_p = right.column("salt").to_numpy(), right.column("c").to_numpy().view(np.uint64), right.column("p").to_numpy()
+        return _table(schema, [of_model(row, all_words[salts == row["salt"]], all_p[salts == row["salt"]]) for row in left.to_pylist()])
+
+    def of_model(row, words, p):
+        import numpy as np
+
         a, c = _unpress_words(row["a"]), _unpress_words(row["c"])
         b, n = _risen(row["b"]), _unpress(row["n"], np.int64)
         d3, d2 = np.array(row["d3"]), np.array(row["d2"])
-        words, p = right.column("c").to_numpy().view(np.uint64), right.column("p").to_numpy()
         order = np.argsort(words)
         words, p = words[order], p[order]
         new = _edges(b, c)
@@ -309,16 +314,18 @@ def _interpolated(counts: DataFrame, known: DataFrame) -> DataFrame:
         for keys, values in ((_gram(_gram(a, b), c, 1), p3), (_gram(b2, c2), p2), (ab, free3), (b2[_edges(b2)], free2)):
             order = np.argsort(keys)
             out += [_rises(keys[order]), _press(np.log(values[order]).astype(np.float32))]
-        return _table(schema, [out])
+        return out
 
-    return counts.groupBy("salt", "shard").cogroup(known.groupBy("salt", "shard")).applyInArrow(work, schema)
+    # By shard, as the model's buckets are: a task then writes few of them.
+    return counts.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(work, schema)
 
 
 def train(trusted: DataFrame, shards: int | None = None, spent: DataFrame | None = None) -> DataFrame:
     """The model of the trusted documents that aren't held out: model, kind, shards, shard, key, value and tables. Kinds are unk (value: log-probability of an unknown word), p1 (key and value of a word) and shard (the tables). The staged table `spent`, which `trusted` reads, is removed once all is counted."""
     shards = shards or partitions(trusted.sparkSession)
     taught = trusted.where("not held_out").select(F.lit(0).cast("long").alias("key"), salt_of(F.col("model")).alias("salt"), "text")
-    counts = staged(_counts(blocks(taught, shards).where("shard >= 0")), "counts")
+    part = F.pmod("shard", F.lit(PARTS)).cast("int")
+    counts = staged(_counts(blocks(taught, shards).where("shard >= 0")).withColumn("part", part), "counts", by="part")
     names = staged(trusted.select("model", salt_of(F.col("model")).alias("salt")).distinct(), "model")
     forgotten(*([spent] if spent is not None else []))
     words = staged(_exploded(counts), "words")
@@ -329,17 +336,25 @@ def train(trusted: DataFrame, shards: int | None = None, spent: DataFrame | None
     sums = staged(sums.select("salt", "total", "d", (free / (F.col("kinds") + 1)).alias("floor")), "model")
     p1 = c1.join(F.broadcast(sums), "salt")  # one row a model
     p1 = staged(p1.select("salt", "c", ((F.col("n") - F.col("d")[F.least("n", F.lit(3)).cast("int") - 1]) / F.col("total") + F.col("floor")).alias("p")), "model")
-    each = counts.groupBy("salt").agg(*[F.array(*_discounts([F.sum(F.col(f"n{k}")[i]) for i in range(4)])).alias(f"d{k}") for k in (3, 2)])
-    tables = _interpolated(counts.join(F.broadcast(each), "salt"), words.join(p1.hint("merge"), ["salt", "c"]).select("salt", "shard", "c", "p"))  # one row a model
-    columns = [c for c in tables.columns if c != "shard"]
-    none = F.lit(None)
-    unknown = sums.join(F.broadcast(names), "salt").select("model", F.lit("unk").alias("kind"), none.cast("long").alias("shard"), none.cast("long").alias("key"), F.ln("floor").cast("float").alias("value"))
-    single = p1.select(none.cast("string").alias("model"), F.lit("p1").alias("kind"), _shard_column(F.col("c"), shards).alias("shard"), F.col("c").alias("key"), F.ln("p").cast("float").alias("value"))
-    out = unknown.unionByName(single).withColumn("tables", none.cast(tables.select(F.struct(*columns).alias("t")).schema["t"].dataType))
-    rows = tables.select(none.cast("string").alias("model"), F.lit("shard").alias("kind"), "shard", none.cast("long").alias("key"), none.cast("float").alias("value"), F.struct(*columns).alias("tables"))
-    out = staged(out.unionByName(rows).withColumn("shards", F.lit(shards)), "model")
-    forgotten(counts, words, sums, p1)
-    return out
+    each = staged(counts.groupBy("salt").agg(*[F.array(*_discounts([F.sum(F.col(f"n{k}")[i]) for i in range(4)])).alias(f"d{k}") for k in (3, 2)]), "model")
+    unknown = sums.join(F.broadcast(names), "salt").select("model", F.lit("unk").alias("kind"), F.ln("floor").cast("float").alias("value"))  # one row a model
+    single = p1.select(F.lit("p1").alias("kind"), _shard_column(F.col("c"), shards).alias("shard"), F.col("c").alias("key"), F.ln("p").cast("float").alias("value"))
+    fields = "model string, kind string, shards int, shard long, key long, value float, " + TABLES_FIELD
+    whole = lambda rows: rows.withColumn("shards", F.lit(shards)).select(*[F.col(n) if n in [*rows.columns, "shards"] else F.lit(None).cast(kind).alias(n) for n, kind in (x.split(" ", 1) for x in fields.split(", ", 6))])
+
+    def parts():
+        yield whole(unknown)
+        yield whole(single.repartition(partitions(trusted.sparkSession), "shard"))
+        for k in range(PARTS):
+            some = counts.where(F.col("part") == k).join(F.broadcast(each), "salt")  # one row a model
+            known = words.where(part == k).join(p1.hint("merge"), ["salt", "c"]).select("salt", "shard", "c", "p")
+            tables = _interpolated(some, known)
+            yield whole(tables.select(F.lit("shard").alias("kind"), "shard", F.struct(*[c for c in tables.columns if c != "shard"]).alias("tables")))
+            forgotten(counts, folder=f"part={k}")
+
+    model = bucketed(parts(), "model", "shard")
+    forgotten(counts, words, sums, p1, each, names)
+    return model
 
 
 def words_held(rows: DataFrame) -> DataFrame:
@@ -399,24 +414,24 @@ def _sums(pack, doc, value, n, unknown, evidence) -> list:
 
 
 def _known_of_shards(asked: DataFrame, tables: DataFrame, shards: int) -> DataFrame:
-    """Rows of PART: sums of what the shard's model knows (kind 0), words that no bigram knew, by their shard (kind 1), and keys (kind 2)."""
+    """Rows of PART: sums of what the shard's model knows (kind 0), words that no bigram knew, by their shard (kind 1), and keys (kind 2). asked: blocks, and the key and value of the shard's toxic words."""
 
     def work(left, right):
         import numpy as np
+        import pyarrow.compute as pc
 
-        rows = left.to_pylist()
+        worst = left.filter(pc.is_valid(left.column("key"))).sort_by("key")
+        rows = left.filter(pc.is_null(left.column("key"))).to_pylist()
         out = [(r["pack"], 2, None, r["docs"], None, None, None, None, None, None) for r in rows if r["shard"] < 0]
         rows = [r for r in rows if r["shard"] >= 0]
         if not rows:
             return _table(PART, out)
-        models, value = right.to_pylist(), {}
+        held, value = right.column("tables").to_pylist(), {}
         for k in TABLES:
-            held = [r["tables"] for r in models if r["tables"]]
             keys = np.concatenate([np.zeros(0, np.uint64), *(_risen(t[f"{k}_keys"]) for t in held)])
             order = np.argsort(keys)
             value[k] = keys[order], np.concatenate([np.zeros(0, np.float32), *(_unpress(t[f"{k}_values"], np.float32) for t in held)])[order]
-        worst = sorted((r["key"], r["value"]) for r in models if not r["tables"])
-        worst = np.array([k for k, _ in worst], np.uint64), np.array([v for _, v in worst], np.float32)
+        worst = worst.column("key").to_numpy().view(np.uint64), worst.column("value").to_numpy()
         a, c = (np.concatenate([_unpress_words(r[k]) for r in rows]) for k in ("a", "c"))
         b, doc = np.concatenate([_risen(r["b"]) for r in rows]), [_unpress(r["docs"], np.uint32) for r in rows]
         pack, doc = np.repeat(np.array([r["pack"] for r in rows]), [len(x) for x in doc]), np.concatenate(doc)
@@ -484,13 +499,13 @@ def scores(rows: DataFrame, model: DataFrame, toxic: DataFrame, rounds: int = 1)
     spark = rows.sparkSession
     first = model.where("kind = 'unk'").select("shards").first()
     shards = first["shards"] if first else partitions(spark)
-    tables = model.where("kind = 'shard'").select("shard", "tables", "key", "value")
-    worst = toxic.select(_shard_column(F.col("key"), shards).alias("shard"), F.lit(None).cast(tables.schema["tables"].dataType).alias("tables"), "key", "value")
+    tables = model.where("kind = 'shard'").select("shard", "tables")
+    worst = toxic.select(_shard_column(F.col("key"), shards).alias("shard"), "key", "value")
     single = model.where("kind = 'p1'").select("shard", "key", "value")
     found = []
     for k in range(rounds):
         some = rows.where(F.pmod("key", F.lit(rounds)) == k)
-        parts = staged(_known_of_shards(blocks(some, shards, k << 52), tables.unionByName(worst), shards), "parts")
+        parts = staged(_known_of_shards(blocks(some, shards, k << 52).unionByName(worst, allowMissingColumns=True), tables, shards), "parts")
         rest = _known_of_words(parts.where("kind = 1").select("shard", "docs", "words", "packs"), single)
         # Rows that repeat have equal scores.
         each = _by_document(parts.where("kind != 1").unionByName(rest)).groupBy("key")
