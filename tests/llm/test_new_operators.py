@@ -177,6 +177,16 @@ def whole_ids(text):
     return Tokenizer.from_file(packing.vocabulary_path()).encode(text or "", add_special_tokens=False).ids + [packing.END]
 
 
+def test_words_with_any_mark_behind_them_share_their_stems():
+    coder = word_tokens.WordEndCoder(packing.vocabulary_path())
+    texts = [f"Stem9x{mark}{rest}" for mark in "$%&*#.!" for rest in ("", mark * 2, "'s", "<|endoftext|>", "\u0301a", "b\tc")]
+    asked, encode = [], coder.coder.encode_batch_fast
+    coder.coder = type("Counted", (), {"encode_batch_fast": staticmethod(lambda some, **kw: asked.extend(some) or encode(some, **kw))})
+    got = coder.encode(texts)
+    assert [[*array("I", g)] for g in got] == [encode([t], add_special_tokens=False)[0].ids for t in texts]
+    assert sum(x.startswith("Stem9x") for x in asked) == 1
+
+
 @pytest.mark.parametrize("capacity", [64, packing.CAPACITY])
 def test_packing(spark, capacity):
     docs = docs_of(60) + ODD
