@@ -601,6 +601,15 @@ def test_all_trusted_documents_train_the_classifier(spark):
     assert 500 < low < 700
 
 
+def test_blocks_follow_the_text_and_not_its_partitions(spark):
+    """Few texts in many partitions and under many shuffle partitions make few packs and shards, and so few blocks."""
+    rows = spark.range(400).selectExpr("id key", "0L salt", "concat('a b c d ', id) text").repartition(100)
+    shards = kneser_ney.shards_for(6 << 20, 211)
+    found = kneser_ney.blocks(rows, shards).groupBy("pack").agg(F.count("*").alias("n")).collect()
+    assert shards <= 6 and len(found) <= max(shards, kneser_ney.PACKERS * spark.sparkContext.defaultParallelism) < 100
+    assert kneser_ney.shards_for(0, 211) == 1 and kneser_ney.shards_for(1 << 40, 4) >= (1 << 40) / kneser_ney.SHARD_BYTES
+
+
 def test_rounds_do_not_shuffle_the_model(spark):
     rows = [("*", i, "a b c d", i % 2 == 0) for i in range(4)]
     model = kneser_ney.train(spark.createDataFrame(rows, "model string, doc_id long, text string, held_out boolean"))

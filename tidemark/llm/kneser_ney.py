@@ -47,6 +47,9 @@ POOL = "*"
 PRIOR_WORDS = 20
 PACK_BYTES = 6 << 20
 SHARD_BYTES = 12 << 20
+#: A shard has this much text at least, however many shuffle partitions there are, and a core some PACKERS partitions to pack at most while shards are few: blocks and words asked of other shards number packs by shards and shards by shards.
+LEAST_SHARD_BYTES = 1 << 20
+PACKERS = 8
 #: Documents are scored in ROUNDS, as a round's shuffle takes some four times its Parquet; in fewer of so many bytes of text if there is little.
 ROUND_BYTES = 8 << 20
 ROUNDS = 8
@@ -179,9 +182,20 @@ def _table(schema: str, rows: list) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(x), kinds[kind]) for x, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
 
+def _in_order(model, b, doc):
+    """The order of model, b (48 bits) and doc: one sort of single numbers where their bits fit, which is some four times faster."""
+    import numpy as np
+
+    bits = [int(x.max()).bit_length() if len(x) else 0 for x in (model, doc)]
+    if sum(bits) > 16:
+        return np.lexsort((doc, b, model))
+    return np.argsort(model << np.uint64(48 + bits[1]) | b << np.uint64(bits[1]) | doc)
+
+
 def blocks(rows: DataFrame, shards: int, first_pack: int = 0) -> DataFrame:
-    """rows (key, salt, text): the positions of each pack by model and shard, and a row with the pack's keys (in docs; its shard is below 0)."""
+    """rows (key, salt, text): the positions of each pack by model and shard, and a row with the pack's keys (in docs; its shard is below 0). Packs are a few for a shard however many partitions the rows have, so that there are no more blocks than the text needs."""
     python_batches(rows.sparkSession)
+    rows = rows.coalesce(max(shards, PACKERS * rows.sparkSession.sparkContext.defaultParallelism))
 
     def work(batches):
         import numpy as np
@@ -194,7 +208,7 @@ def blocks(rows: DataFrame, shards: int, first_pack: int = 0) -> DataFrame:
             a, b, c, doc = _positions(texts, salt)
             kinds, which = np.unique(salt, return_inverse=True)
             model = which.astype(np.uint64)[doc]
-            order = np.argsort(model << np.uint64(48) | b, kind="stable")
+            order = _in_order(model, b, doc)
             a, b, c, doc, model = a[order], b[order], c[order], doc[order], model[order]
             shard = shard_of(b, shards)
             at = np.append(np.flatnonzero(_edges(model, shard)), len(b)) if len(b) else np.zeros(1, np.int64)
@@ -328,7 +342,7 @@ def train(trusted: DataFrame, shards: int | None = None, spent: DataFrame | None
     counts = staged(_counts(blocks(taught, shards).where("shard >= 0")).withColumn("part", part), "counts", by="part")
     names = staged(trusted.select("model", salt_of(F.col("model")).alias("salt")).distinct(), "model")
     forgotten(*([spent] if spent is not None else []))
-    words = staged(_exploded(counts), "words")
+    words = staged(_exploded(counts).withColumn("part", part), "words")
     c1 = words.groupBy("salt", "c").agg(F.sum("n").alias("n"))
     sums = c1.groupBy("salt").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count_if(F.col("n") >= 3).alias("more"))
     sums = sums.withColumn("d", F.array(*_discounts([F.col(f"n{i}") for i in (1, 2, 3, 4)])))
@@ -336,6 +350,8 @@ def train(trusted: DataFrame, shards: int | None = None, spent: DataFrame | None
     sums = staged(sums.select("salt", "total", "d", (free / (F.col("kinds") + 1)).alias("floor")), "model")
     p1 = c1.join(F.broadcast(sums), "salt")  # one row a model
     p1 = staged(p1.select("salt", "c", ((F.col("n") - F.col("d")[F.least("n", F.lit(3)).cast("int") - 1]) / F.col("total") + F.col("floor")).alias("p")), "model")
+    known = staged(words.join(p1.hint("merge"), ["salt", "c"]).select("salt", "shard", "c", "p", "part"), "words", by="part")
+    forgotten(words)
     each = staged(counts.groupBy("salt").agg(*[F.array(*_discounts([F.sum(F.col(f"n{k}")[i]) for i in range(4)])).alias(f"d{k}") for k in (3, 2)]), "model")
     unknown = sums.join(F.broadcast(names), "salt").select("model", F.lit("unk").alias("kind"), F.ln("floor").cast("float").alias("value"))  # one row a model
     single = p1.select(F.lit("p1").alias("kind"), _shard_column(F.col("c"), shards).alias("shard"), F.col("c").alias("key"), F.ln("p").cast("float").alias("value"))
@@ -347,13 +363,13 @@ def train(trusted: DataFrame, shards: int | None = None, spent: DataFrame | None
         yield whole(single.repartition(partitions(trusted.sparkSession), "shard"))
         for k in range(PARTS):
             some = counts.where(F.col("part") == k).join(F.broadcast(each), "salt")  # one row a model
-            known = words.where(part == k).join(p1.hint("merge"), ["salt", "c"]).select("salt", "shard", "c", "p")
-            tables = _interpolated(some, known)
+            tables = _interpolated(some, known.where(F.col("part") == k).select("salt", "shard", "c", "p"))
             yield whole(tables.select(F.lit("shard").alias("kind"), "shard", F.struct(*[c for c in tables.columns if c != "shard"]).alias("tables")))
-            forgotten(counts, folder=f"part={k}")
+            for of_part in (counts, known):
+                forgotten(of_part, folder=f"part={k}")
 
     model = bucketed(parts(), "model", "shard")
-    forgotten(counts, words, sums, p1, each, names)
+    forgotten(counts, known, sums, p1, each, names)
     return model
 
 
@@ -390,11 +406,14 @@ def _found(keys, values, asked):
     """Values of the asked keys, and which are known; keys are sorted."""
     import numpy as np
 
-    if not len(keys):
-        return np.zeros(len(asked), np.float32), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    known = keys[at] == asked
-    return np.where(known, values[at], np.float32(0)), known
+    value, known = np.zeros(len(asked), np.float32), np.zeros(len(asked), bool)
+    if len(keys):
+        order = np.argsort(asked)  # searching in order stays in the processor's cache
+        asked = asked[order]
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        known[order] = hit = keys[at] == asked
+        value[order[hit]] = values[at[hit]]
+    return value, known
 
 
 def _sums(pack, doc, value, n, unknown, evidence) -> list:
@@ -403,7 +422,9 @@ def _sums(pack, doc, value, n, unknown, evidence) -> list:
 
     if not len(pack):
         return []
-    order = np.lexsort((doc, pack))
+    run = np.flatnonzero(_edges(pack))
+    which = np.unique(pack[run], return_inverse=True)[1].astype(np.uint64)
+    order = np.argsort(np.repeat(which, np.diff(np.append(run, len(pack)))) << np.uint64(32) | doc)
     pack, doc = pack[order], doc[order]
     at = np.flatnonzero(_edges(pack, doc))
     add = lambda x: np.add.reduceat(x[order], at)
@@ -435,13 +456,18 @@ def _known_of_shards(asked: DataFrame, tables: DataFrame, shards: int) -> DataFr
         a, c = (np.concatenate([_unpress_words(r[k]) for r in rows]) for k in ("a", "c"))
         b, doc = np.concatenate([_risen(r["b"]) for r in rows]), [_unpress(r["docs"], np.uint32) for r in rows]
         pack, doc = np.repeat(np.array([r["pack"] for r in rows]), [len(x) for x in doc]), np.concatenate(doc)
-        words, ab = c != END, _gram(a, b)
-        p3, has3 = _found(*value["p3"], _gram(ab, c, 1))
-        p2, has2 = _found(*value["p2"], _gram(b, c))
-        low = np.where(has2, p2, _found(*value["b1"], b)[0])
-        s = np.where(words, np.where(has3, p3, _found(*value["b2"], ab)[0] + low), 0)
-        out += _sums(pack, doc, s, words, np.zeros(len(s), bool), _found(*worst, b)[0])
-        rest = np.flatnonzero(words & ~has3 & ~has2)
+        words, s = c != END, np.zeros(len(c), np.float32)
+        rest = np.flatnonzero(words)
+        ab = _gram(a[rest], b[rest])
+        s[rest], known = _found(*value["p3"], _gram(ab, c[rest], 1))
+        rest, ab = rest[~known], ab[~known]  # shorter n-grams are asked where no longer one is known
+        low, known = _found(*value["p2"], _gram(b[rest], c[rest]))
+        low[~known] = _found(*value["b1"], b[rest[~known]])[0]
+        s[rest] = _found(*value["b2"], ab)[0] + low
+        run = _edges(b)
+        evidence = _found(*worst, b[run])[0][np.cumsum(run) - 1]
+        out += _sums(pack, doc, s, words, np.zeros(len(s), bool), evidence)
+        rest = rest[~known]
         rest = rest[np.argsort(c[rest])]
         if len(rest):
             at = shard_of(c[rest], shards)
@@ -528,6 +554,11 @@ def thresholds(found: DataFrame, held: DataFrame, model: DataFrame) -> DataFrame
     return drawn.groupBy("model").agg(F.first("floor").alias("floor"), F.first("median").alias("median"), F.percentile("mean", QUANTILE).alias("limit"), F.percentile("evidence", QUANTILE).alias("most_evidence"))
 
 
+def shards_for(size: int, most: int) -> int:
+    """Shards for so many bytes of text: as many as there are shuffle partitions, unless the text is too little or too much for that."""
+    return max(1, min(most, size // LEAST_SHARD_BYTES), -(-size // SHARD_BYTES))
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """key (of a document: the hash of doc_id, lang and text), n_words, perplexity, evidence and kept; a row for each different document with words."""
     spark = docs.sparkSession
@@ -538,7 +569,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = trusted.where(F.col("held_out") & (F.col("model") != POOL)).select("key", "model").unionByName(pooled.select("key", "model"))
     held, pooled = staged(held, "held-out"), staged(pooled, "held-out")
     toxic = toxic_words(trusted, toxic_docs)
-    model = train(trusted, max(partitions(spark), -(-size // SHARD_BYTES)), spent=labelled)
+    model = train(trusted, shards_for(size, partitions(spark)), spent=labelled)
     names = model.where("kind = 'unk'").select("model")
     of_lang = F.broadcast(names.where(F.col("model") != POOL).withColumn("lang", F.col("model")))  # one row a language
     rows = docs.select(document_key().alias("key"), "lang", "text").join(of_lang, "lang", "left").select("key", F.coalesce("model", F.lit(POOL)).alias("model"), "text")
