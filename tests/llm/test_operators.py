@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
+import subprocess
+import sys
 import time
 from collections import Counter, defaultdict
 
@@ -601,6 +604,21 @@ def test_all_trusted_documents_train_the_classifier(spark):
     assert 500 < low < 700
 
 
+def test_words_are_hashed_in_pieces_of_bounded_memory():
+    """A worker keeps tables as long as what it hashes at a time; pieces give the hashes that each text gives alone."""
+    code = """
+import random
+from tidemark.llm import shingles
+texts = [(b"%d word " % i) * random.Random(i).randint(0, 900) for i in range(900)]
+words, counts = shingles.word_hashes(texts, cased=True)
+alone = [shingles.word_hashes([t], cased=True) for t in texts]
+assert words.tolist() == [w for x, _ in alone for w in x.tolist()] and counts.tolist() == [int(n[0]) for _, n in alone]
+assert sum(map(len, texts)) > 3 * shingles.PIECE and len(shingles._powers) <= shingles.PIECE + len(texts) + 1
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env=os.environ | {"PYTHONPATH": root})
+
+
 def test_blocks_follow_the_text_and_not_its_partitions(spark):
     """Few texts in many partitions and under many shuffle partitions make few packs and shards, and so few blocks."""
     rows = spark.range(400).selectExpr("id key", "0L salt", "concat('a b c d ', id) text").repartition(100)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 WIDTH = 5
+#: Bytes of text whose words are hashed at a time; a longer text is hashed by itself.
+PIECE = 1 << 20
 _rng = np.random.default_rng(20240229)
 _CASED = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE = _CASED.copy()
@@ -42,7 +44,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[bytes], cased: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and how many words each text has."""
+    """Hashes of all words of the texts, and how many words each text has; PIECE bytes at a time, as each takes some 50 bytes of memory, a third of which the worker keeps."""
+    cut, size = [0], 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > PIECE:
+            cut.append(i)
+            size = 0
+        size += len(text)
+    found = [_word_hashes(texts[i:j], cased) for i, j in zip(cut, [*cut[1:], len(texts)], strict=True)]
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _word_hashes(texts: list[bytes], cased: bool) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends_of = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)  # behind each text and its space
     space = _SPACE[data]
