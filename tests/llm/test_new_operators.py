@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import random
+import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -116,6 +117,35 @@ def test_alignment_groups_of_documents(spark):
     assert got == {1: groups, 2: None} and sum((g[0] for g in groups), []) == ia and sum((g[1] for g in groups), []) == ib
 
 
+def test_words_of_parts_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(word_tokens, "CACHE", 60)
+    coder = word_tokens.TwoCoders(*alignment.vocabulary_paths())
+    a, b, *_ = bytes_of_tokens()
+    rng, asked = random.Random(3), []
+    stems, marks = ["Eau", "eleôr", "onesbleing", "the", "x", "d", "Anß", "Kn"], [".", ",", "!!", "###", "$%&*", "...", ";:", "?"]
+    encode = coder._encode
+    monkeypatch.setattr(coder, "_encode", lambda words: (asked.extend(words), encode(words)))
+    for _ in range(30):
+        words = list({"".join(rng.choice([s, s, m, "\n" + s]) for s, m in zip(rng.choices(stems, k=4), rng.choices(marks, k=4), strict=True)) for _ in range(20)} | {"x.", "d'll.", "3.5,", "x.\nx", "The\n\nend.", "ª.", "e\u0301."})
+        for word, got in zip(words, coder.tokens(words), strict=True):
+            of_a, of_b = a.encode(" " + word, add_special_tokens=False).ids, b.encode(word)
+            # What doesn't come back byte by byte has no entry.
+            assert array("I", got).tolist() == [len(of_a), *of_a, *of_b] if got else coder._alone(word) == b""
+    made = word_tokens.TwoCoders(*alignment.vocabulary_paths())
+    encode, asked = made._encode, []
+    monkeypatch.setattr(made, "_encode", lambda words: (asked.extend(words), encode(words)))
+    made.tokens([s + m for s in stems for m in marks])
+    assert sorted(asked) == sorted({*stems, *("x" + m for m in marks)})
+    assert not [x for x in map(b.id_to_piece, range(b.get_piece_size())) if re.search(f"[{word_tokens.LETTERS}][{word_tokens.MARKS}\n]|[{word_tokens.MARKS}\n][{word_tokens.LETTERS}]|[{word_tokens.MARKS}]\n", x)]
+
+
+def test_alignment_of_a_shape_is_done_once(spark):
+    """Words of equal ends share a shape; the links of each are those of its own ids."""
+    words = duckdb.sql(f"SELECT DISTINCT unnest(string_split(text, ' ')) w FROM '{FOLDER}/documents.parquet' ORDER BY w LIMIT 3000").fetchall()
+    slices = alignment.tokenised(spark.createDataFrame([(1, " ".join(w for (w,) in words if w))], "doc_id long, text string").coalesce(1)).collect()
+    assert [len(set(map(str, r.shapes))) for r in slices] == [len(r.shapes) for r in slices] and sum(len(r.shapes) for r in slices) < sum(len(r.words) for r in slices) / 2
+
+
 def aligned_groups(text):
     a, b, of_a, of_b = bytes_of_tokens()
     ia, ib = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)

@@ -1,10 +1,12 @@
 """Alignment of two tokenizers' tokens over the same bytes, by Spark's higher-order functions.
 
-Python only tokenises: documents go in slices, and a slice gives its distinct words, each with the ids and byte ends of
-its tokens by A and by B, and its documents as lists of word numbers. No token of either tokenizer crosses a word, so
-groups lie within words. All else is higher-order functions: `array_intersect` of the end arrays gives the cuts of a
-word, their places in both arrays cut its tokens into groups, and the links of a group are all pairs of its A and B ids.
-A document's groups and links are those of its words in order. Words are aligned once in a slice however often they occur.
+Python only tokenises: documents go in slices, and a slice gives its distinct words, each with its ids by A and by B
+and the number of its shape, its distinct shapes (the byte ends of tokens by A and by B), and its documents as lists of
+word numbers. No token of either tokenizer crosses a word, so groups lie within words. All else is higher-order
+functions: `array_intersect` of the end arrays gives the cuts of a shape, and their places in both arrays cut its tokens
+into groups, as numbers of tokens; the groups of a word take its ids at these, and the links of a group are all pairs of
+its A and B ids. A document's groups and links are those of its words in order. Shapes are aligned and words get their
+links once in a slice however often they occur.
 
 How many documents hold a pair linked is counted over all documents; the counts go back to the documents' links
 by a broadcast while they are at most BROADCAST pairs, and by a shuffled join beyond.
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import staged, table
 
 #: Characters and documents of a slice; a longer text is a slice of its own.
-SLICE_CHARS, SLICE_DOCS = 1 << 20, 1024
+SLICE_CHARS, SLICE_DOCS = 1 << 21, 1024
 LONG_WORD = 64
 #: Distinct pairs of ids whose counts are broadcast.
 BROADCAST = 1_000_000
-TOKENS = "docs array<struct<doc_id:long,n_a:long,n_b:long,words:array<int>>>, words array<struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>>"
+TOKENS = "docs array<struct<doc_id:long,n_a:long,n_b:long,words:array<int>>>, words array<struct<a:array<int>,b:array<int>,shape:int>>, shapes array<struct<a_ends:array<int>,b_ends:array<int>>>"
 
 
 def vocabulary_paths() -> tuple[str, str]:
@@ -39,7 +41,7 @@ def vocabulary_paths() -> tuple[str, str]:
 
 
 def tokenised(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """Slices of documents: their word numbers, and the tokens of the words. A document without tokens has null words."""
+    """Slices of documents: their word numbers, the tokens of the words, and the shapes of these. A document without tokens has null words."""
     path_a, path_b = paths or vocabulary_paths()
 
     def slices(batches):
@@ -57,39 +59,63 @@ def tokenised(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFram
             yield some
 
     def work(batches):
+        from itertools import chain
+
         import numpy as np
         import pyarrow as pa
 
-        from tidemark.llm.word_tokens import two_coders
+        from tidemark.llm.word_tokens import spread, two_coders
 
         coder = two_coders(path_a, path_b)
 
         def lists(values, lengths) -> pa.ListArray:
             return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values.astype(np.int32)))
 
+        def sides(packed):
+            """All numbers of what the coder gives, the bounds of each, and for A and B the places and counts of ids."""
+            flat = np.frombuffer(b"".join(packed), "<u4")
+            bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)))
+            starts = bounds[:-1]
+            in_a = flat[starts].astype(np.int64)
+            in_b = np.diff(bounds) - 1 - in_a
+            return flat, bounds, ((spread(starts + 1, in_a), in_a), (spread(starts + 1 + in_a, in_b), in_b))
+
         for some in slices(batches):
             words = [coder.words(text) for _, text in some]
-            ids = coder.ids(set().union(*words))
-            bad = {w for w, found in ids.items() if found is None}
-            number = {w: k for k, w in enumerate(w for w, found in ids.items() if found is not None)}
-            whole = [bool(w) and (not bad or bad.isdisjoint(w)) for w in words]
-            chosen = np.fromiter((number[x] for w, ok in zip(words, whole, strict=True) if ok for x in w), np.int32)
-            sizes = np.array([len(w) if ok else 0 for w, ok in zip(words, whole, strict=True)], np.int64)
-            numbers = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(chosen), mask=pa.array([not ok for ok in whole]))
-            columns, totals = [], []
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            number = dict.fromkeys(chain.from_iterable(words))
+            number.update(zip(number, range(len(number)), strict=True))
+            chosen = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int32, int(sizes.sum()))
             of_doc = np.repeat(np.arange(len(some)), sizes)
-            for side, bytes_of in ((0, coder.sizes_a), (1, coder.sizes_b)):
-                each = [ids[x][side] for x in number]
-                flat = np.frombuffer(b"".join(each), "<u4")
-                lengths = np.array([len(x) // 4 for x in each], np.int64)
-                ends = np.cumsum(bytes_of[flat])
-                starts = np.cumsum(lengths) - lengths
-                before = np.repeat(ends[starts] - bytes_of[flat[starts]], lengths) if len(flat) else ends
-                totals.append(pa.array(np.bincount(of_doc, lengths[chosen] if len(chosen) else None, len(some)).astype(np.int64)))
-                columns += [lists(flat, lengths), lists(ends - before, lengths)]
+            tokens, whole = coder.tokens(list(number)), sizes > 0
+            if b"" in tokens:  # documents with such words have no tokens
+                good = np.fromiter(map(bool, tokens), bool, len(tokens))
+                whole[of_doc[~good[chosen]]] = False
+                kept = whole[of_doc]
+                chosen, of_doc, sizes = (np.cumsum(good, dtype=np.int32) - 1)[chosen[kept]], of_doc[kept], np.where(whole, sizes, 0)
+                tokens = list(filter(None, tokens))
+            numbers = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(chosen), mask=pa.array(~whole))
+            flat, bounds, parts = sides(tokens)
+            ends, of_words, totals = flat.copy(), [], []
+            for (at, n), bytes_of in zip(parts, (coder.sizes_a, coder.sizes_b), strict=True):
+                ids = flat[at]
+                ends[at] = bytes_of[ids]
+                of_words.append(lists(ids, n))
+                totals.append(pa.array(np.bincount(of_doc, n[chosen] if len(chosen) else None, len(some)).astype(np.int64)))
+            packed, bounds = ends.tobytes(), (4 * bounds).tolist()
+            shapes = list(map(packed.__getitem__, map(slice, bounds, bounds[1:])))  # as tokens, with bytes for ids
+            shape = dict.fromkeys(shapes)
+            shape.update(zip(shape, range(len(shape)), strict=True))
+            of_words.append(pa.array(np.fromiter(map(shape.__getitem__, shapes), np.int32, len(shapes))))
+            flat, _, parts = sides(shape)
+            of_shapes = []
+            for at, n in parts:
+                ends = np.concatenate(([0], np.cumsum(flat[at], dtype=np.int64)))
+                of_shapes.append(lists(ends[1:] - np.repeat(ends[np.cumsum(n) - n], n), n))
             docs_ = pa.StructArray.from_arrays([pa.array([doc for doc, _ in some], pa.int64()), *totals, numbers], names=["doc_id", "n_a", "n_b", "words"])
-            tokens = pa.StructArray.from_arrays(columns, names=["a", "a_ends", "b", "b_ends"])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), docs_), pa.ListArray.from_arrays(pa.array([0, len(number)], pa.int32()), tokens)], names=["docs", "words"])
+            of_words, of_shapes = pa.StructArray.from_arrays(of_words, names=["a", "b", "shape"]), pa.StructArray.from_arrays(of_shapes, names=["a_ends", "b_ends"])
+            columns = {"docs": docs_, "words": of_words, "shapes": of_shapes}
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns.values()], names=list(columns))
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(work, TOKENS)
 
@@ -99,70 +125,77 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _searched(word: Column, cuts: Column) -> Column:
-    return F.transform(cuts, lambda c: F.struct(F.array_position(word["a_ends"], c).cast("int").alias("a"), F.array_position(word["b_ends"], c).cast("int").alias("b")))
+def _searched(shape: Column, cuts: Column) -> Column:
+    return F.transform(cuts, lambda c: F.struct(F.array_position(shape["a_ends"], c).cast("int").alias("a"), F.array_position(shape["b_ends"], c).cast("int").alias("b")))
 
 
-def _sorted(word: Column) -> Column:
+def _sorted(shape: Column) -> Column:
     """The same for words of many tokens: where an end of A and one of B stand together among all ends in order."""
     code = lambda ends, side: F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + i + side * 2**31)
     place = lambda x: x.bitwiseAND(2**31 - 1).cast("int") + 1
     def met(every: Column) -> Column:
         both = F.filter(F.sequence(F.lit(1), F.size(every) - 1), lambda k: F.shiftright(every[k - 1], 32) == F.shiftright(every[k], 32))
         return F.transform(both, lambda k: F.struct(place(every[k - 1]).alias("a"), place(every[k]).alias("b")))
-    return _let(F.sort_array(F.concat(code(word["a_ends"], 0), code(word["b_ends"], 1))), met)
+    return _let(F.sort_array(F.concat(code(shape["a_ends"], 0), code(shape["b_ends"], 1))), met)
 
 
-def _cut(word: Column, place: Column) -> Column:
-    def group(p: Column, k: Column) -> Column:
-        since = lambda side: F.when(k > 0, F.get(place, k - 1)[side]).otherwise(0)
-        return F.struct(*(F.slice(word[side], since(side) + 1, p[side] - since(side)).alias(side) for side in "ab"))
-    return F.transform(place, group)
+def _since(places: Column, k: Column, side: str) -> Column:
+    """Tokens of a side before group k."""
+    return F.when(k > 0, F.get(places, k - 1)[side]).otherwise(0)
 
 
-def _placed_groups(word: Column, cuts: Column) -> Column:
-    places = F.when(F.size(word["a"]) + F.size(word["b"]) > LONG_WORD, _sorted(word)).otherwise(_searched(word, cuts))
-    return _let(places, lambda p: _cut(word, p))
+def _placed(shape: Column, cuts: Column) -> Column:
+    """places: for each group the tokens of a and b up to its end."""
+    places = F.when(F.size(shape["a_ends"]) + F.size(shape["b_ends"]) > LONG_WORD, _sorted(shape)).otherwise(_searched(shape, cuts))
+    return F.struct(places.alias("places"))
 
 
-def _by_case(word: Column, cuts: Column, whole: Column, single: Column, other: Column) -> Column:
-    """One cut is the word's end, so the word is a group; as many cuts as tokens on both sides are pairs of tokens; else places are looked for."""
-    n = F.size(cuts)
-    return F.when(n == 1, whole).when((n == F.size(word["a"])) & (n == F.size(word["b"])), single).otherwise(other)
+def _patterned(shape: Column, cuts: Column) -> Column:
+    """n groups; single: each is one token of both sides; else links: pairs of token numbers (a << 32 | b), and order and marks: token numbers (of B as -1 - number) and what follows each in the text."""
+    numbers = lambda g, side: F.sequence(g[side + "0"], g[side] - 1)
+    of_b = lambda g: F.transform(numbers(g, "b"), lambda j: -1 - j)
+    commas = lambda g, side: F.array_repeat(F.lit(","), g[side] - g[side + "0"] - 1)
+    pairs = lambda g: F.flatten(F.transform(numbers(g, "a"), lambda i: F.transform(numbers(g, "b"), lambda j: _link(i, j))))
+    marks = lambda g: F.concat(commas(g, "a"), F.array(F.lit("|")), commas(g, "b"), F.array(F.lit(";")))
 
+    def made(groups: Column) -> Column:
+        each = lambda of_one, of: F.flatten(F.transform(groups, lambda g: F.when((g["a"] - g["a0"] == 1) & (g["b"] - g["b0"] == 1), of_one(g)).otherwise(of(g))))
+        links = each(lambda g: F.array(_link(g["a0"], g["b0"])), pairs)
+        order = each(lambda g: F.array(g["a0"], -g["b"]), lambda g: F.concat(numbers(g, "a"), of_b(g)))
+        return F.struct(F.size(groups).alias("n"), F.lit(False).alias("single"), links.alias("links"), order.alias("order"), each(lambda _: F.array(F.lit("|"), F.lit(";")), marks).alias("marks"))
 
-def _groups(word: Column, cuts: Column) -> Column:
-    whole = F.array(F.struct(word["a"].alias("a"), word["b"].alias("b")))
-    single = F.zip_with(word["a"], word["b"], lambda x, y: F.struct(F.array(x).alias("a"), F.array(y).alias("b")))
-    return _by_case(word, cuts, whole, single, _placed_groups(word, cuts))
+    def from_to(places: Column) -> Column:
+        return F.transform(places, lambda p, k: F.struct(_since(places, k, "a").alias("a0"), _since(places, k, "b").alias("b0"), p["a"].alias("a"), p["b"].alias("b")))
 
-
-def _ids(x: Column) -> Column:
-    return F.when(F.size(x) == 1, F.get(x, F.lit(0)).cast("string")).otherwise(F.array_join(x.cast("array<string>"), ","))
+    n = F.size(cuts)
+    none = F.struct(n.alias("n"), F.lit(True).alias("single"), F.array().cast("array<long>").alias("links"), F.array().cast("array<int>").alias("order"), F.array().cast("array<string>").alias("marks"))
+    return F.when((n == F.size(shape["a_ends"])) & (n == F.size(shape["b_ends"])), none).otherwise(_let(_let(_placed(shape, cuts)["places"], from_to), made))
 
 
 def _link(i: Column, j: Column) -> Column:
     return F.shiftleft(i.cast("long"), 32) + j
 
 
-def _pairs(x: Column) -> Column:
-    return F.flatten(F.transform(x["a"], lambda i: F.transform(x["b"], lambda j: _link(i, j))))
+def _groups(word: Column, shape: Column) -> Column:
+    places = shape["places"]
+    return F.transform(places, lambda p, k: F.struct(*(F.slice(word[side], _since(places, k, side) + 1, p[side] - _since(places, k, side)).alias(side) for side in "ab")))
 
 
-def _linked(word: Column, cuts: Column) -> Column:
+def _linked(word: Column, shape: Column) -> Column:
     """n, text (`a1,a2|b1;...`) and links (a << 32 | b) of a word's groups."""
-    text = lambda x: F.concat(_ids(x["a"]), F.lit("|"), _ids(x["b"]))
-    made = lambda n, t, links: F.struct(n.alias("n"), t.alias("text"), links.alias("links"))
+    made = lambda t, links: F.struct(shape["n"].alias("n"), t.alias("text"), links.alias("links"))
     pairs = F.zip_with(word["a"], word["b"], lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string")))
-    single = made(F.size(cuts), F.array_join(pairs, ";"), F.zip_with(word["a"], word["b"], _link))
-    other = _let(_placed_groups(word, cuts), lambda g: made(F.size(g), F.array_join(F.transform(g, text), ";"), F.flatten(F.transform(g, _pairs))))
-    return _by_case(word, cuts, made(F.lit(1), text(word), _pairs(word)), single, other)
+    token = lambda o: F.when(o < 0, F.get(word["b"], -1 - o)).otherwise(F.get(word["a"], o))
+    text = F.rtrim(F.array_join(F.zip_with(shape["order"], shape["marks"], lambda o, mark: F.concat(token(o).cast("string"), mark)), ""), F.lit(";"))
+    links = F.transform(shape["links"], lambda p: _link(F.get(word["a"], F.shiftright(p, 32).cast("int")), F.get(word["b"], p.bitwiseAND(2**31 - 1).cast("int"))))
+    return F.when(shape["single"], made(F.array_join(pairs, ";"), F.zip_with(word["a"], word["b"], _link))).otherwise(made(text, links))
 
 
-def grouped(tokens: DataFrame, of=_groups) -> DataFrame:
-    """docs, and `groups`: of each word of the slice its groups (a: ids, b: ids), or what else `of` makes of the word and its cuts."""
-    t = tokens.select("docs", "words", F.transform("words", lambda w: F.array_intersect(w["a_ends"], w["b_ends"])).alias("cuts"))
-    return t.select("docs", F.zip_with("words", "cuts", of).alias("groups"))
+def grouped(tokens: DataFrame, shaped=_placed, of=_groups) -> DataFrame:
+    """docs, and `groups`: of each word of the slice its groups (a: ids, b: ids), or what else `of` makes of the word and what `shaped` makes of its shape."""
+    t = tokens.withColumn("cuts", F.transform("shapes", lambda s: F.array_intersect(s["a_ends"], s["b_ends"])))
+    t = t.select("docs", "words", F.zip_with("shapes", "cuts", shaped).alias("shaped"))
+    return t.select("docs", F.transform("words", lambda w: of(w, F.get(F.col("shaped"), w["shape"]))).alias("groups"))
 
 
 def document_groups(made: DataFrame) -> DataFrame:
@@ -181,7 +214,7 @@ def document_links(tokens: DataFrame) -> DataFrame:
             F.coalesce(F.sha2(F.array_join(w["text"], ";"), 256), F.lit("")).alias("groups_sha256"),
             F.coalesce(F.flatten(w["links"]), F.array().cast("array<long>")).alias("links")))
 
-    return grouped(tokens, _linked).select(F.inline(F.transform("docs", row)))
+    return grouped(tokens, _patterned, _linked).select(F.inline(F.transform("docs", row)))
 
 
 def link_counts(documents: DataFrame) -> DataFrame:

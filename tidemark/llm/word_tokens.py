@@ -22,8 +22,9 @@ LONG = 256
 JOINED = 1000
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = ".,;:!?$%&*#"
 WORD = re.compile(f"[{LETTERS}]+")
-WITH_MARKS = re.compile(f"([0-9{LETTERS}]+)([.,;:!?$%&*#].*)", re.S)
+WITH_MARKS = re.compile(f"([0-9{LETTERS}]+)([{MARKS}].*)", re.S)
 
 
 def _tokenizer(path: str, plain: bool):
@@ -117,11 +118,18 @@ _BYTE_SIGNS = {**{chr(b): b for b in [*range(33, 127), *range(161, 173), *range(
 _BYTE_SIGNS |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(_BYTE_SIGNS.values()))}
 
 
+def spread(starts, lengths):
+    """The places of runs of these lengths that begin at starts, run by run."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
 class TwoCoders(_Coder):
     """Ids of a byte-level tokenizer (A) and a piece model (B) for a blank and a text, with the bytes of every token.
 
+    The cache holds, as little-endian unsigned 32-bit, how many ids a word has by A, these, and those by B.
+
     A blank behind anything that isn't white space begins a token of both, so texts are cut there. Texts that hold
-    the piece model's own sign for a blank, or else don't come back byte by byte, give None.
+    the piece model's own sign for a blank, or else don't come back byte by byte, have none.
     """
 
     weight = 1.5
@@ -129,6 +137,9 @@ class TwoCoders(_Coder):
     UNEVEN = re.compile(r"\s ")
     #: White space at an end of a word, where words stand behind single blanks.
     SPACED = re.compile(r" \s|\s |\s\Z")
+    #: Letters, then marks or letters behind a line feed: no token of either crosses from one to the next.
+    PARTED = re.compile(rf"[{LETTERS}]+(?:[{MARKS}]+|\n[{LETTERS}]+)+")
+    PART = re.compile(rf"\n?[{LETTERS}]+|[{MARKS}]+")
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -150,11 +161,11 @@ class TwoCoders(_Coder):
             return []
         return text.split(" ") if text[0] != " " and not self.UNEVEN.search(text) else self.CUT.split(text)
 
-    def ids(self, words: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Ids by A and by B of each word, little-endian unsigned 32-bit; None where bytes don't come back."""
+    def tokens(self, words: list[str]) -> list[bytes]:
+        """What the cache holds of each word; no bytes where those of the word don't come back."""
         new = self._missing(words)
-        self._learn(sorted(new))
-        found = {w: self.known[w] for w in words}
+        self._learn(list(new))
+        found = list(map(self.known.__getitem__, words))
         self._forget(new)
         return found
 
@@ -163,30 +174,62 @@ class TwoCoders(_Coder):
         odd = [w for w in new if not w or self.SPACED.search(" " + w)] if self.SPACED.search(" " + " ".join(new)) else []
         self.known.update((w, self._alone(w)) for w in odd)
         plain = list(filterfalse(set(odd).__contains__, new)) if odd else new
+        parts = {w: self.PART.findall(w) for w in filter(self.PARTED.fullmatch, plain) if len(w) <= LONG}
+        # A part that isn't the first is looked up behind an x, which is a token by itself.
+        wanted = {p[0] for p in parts.values()} | {"x" + x for p in parts.values() for x in p[1:]}
+        self._missing(wanted)
+        self._encode([w for w in plain if w not in parts])
+        self._encode([w for w in wanted if w not in self.known])
+        behind = {x: self._sides(self.known["x" + x]) for x in {x for p in parts.values() for x in p[1:]}}
+        lost = {x for x in wanted if not self.known[x]}
+        for w, (head, *rest) in parts.items():
+            if lost and not lost.isdisjoint([head, *("x" + x for x in rest)]):
+                self.known[w] = self._alone(w)
+                continue
+            n, a, b = self._sides(self.known[head])
+            for x in rest:
+                m, of_a, of_b = behind[x]
+                n, a, b = n + m - 1, a + of_a[4:], b + of_b[4:]
+            self.known[w] = n.to_bytes(4, "little") + a + b
+
+    @staticmethod
+    def _sides(entry: bytes) -> tuple[int, bytes, bytes]:
+        """How many ids by A, these, and those by B."""
+        n = int.from_bytes(entry[:4], "little")
+        return n, entry[4 : 4 + 4 * n], entry[4 + 4 * n :]
+
+    def _encode(self, plain: list[str]) -> None:
         for at in range(0, len(plain), 4 * JOINED):
             some = plain[at : at + 4 * JOINED]
             whole = " " + " ".join(some)
-            stops = np.cumsum([len(w.encode()) + 1 for w in some])
-            parts = []
+            raw = whole.encode()
+            stops = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw))
+            sides = []
             for ids, table, of in ((self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.bytes_a, self.sizes_a), (self.b.encode(whole[1:]), self.bytes_b, self.sizes_b)):
-                if b"".join(map(table.__getitem__, ids)) == whole.encode():
+                if b"".join(map(table.__getitem__, ids)) == raw and len(stops) == len(some):
                     ids = np.asarray(ids, "<u4")
                     ends = np.cumsum(of[ids])
                     last = np.searchsorted(ends, stops)
                     if (ends[np.minimum(last, len(ends) - 1)] == stops).all():
-                        packed, starts = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
-                        parts.append([packed[starts[k] : starts[k + 1]] for k in range(len(some))])
-            if len(parts) == 2:
-                self.known.update(zip(some, zip(*parts, strict=True), strict=True))
+                        sides.append((ids, np.diff(last + 1, prepend=0)))
+            if len(sides) == 2:
+                (a, in_a), (b, in_b) = sides
+                bounds = np.concatenate(([0], np.cumsum(1 + in_a + in_b)))
+                out = np.empty(bounds[-1], "<u4")
+                out[bounds[:-1]] = in_a
+                out[spread(bounds[:-1] + 1, in_a)] = a
+                out[spread(bounds[:-1] + 1 + in_a, in_b)] = b
+                packed, at_ = out.tobytes(), (4 * bounds).tolist()
+                self.known.update(zip(some, map(packed.__getitem__, map(slice, at_, at_[1:])), strict=True))
             else:
                 self.known.update((w, self._alone(w)) for w in some)
 
-    def _alone(self, word: str) -> tuple[bytes, bytes] | None:
+    def _alone(self, word: str) -> bytes:
         whole = (" " + word).encode()
         a, b = self.a.encode(" " + word, add_special_tokens=False).ids, self.b.encode(word) if word else [self.b.piece_to_id("▁")]
         if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
-            return None
-        return _packed(a), _packed(b)
+            return b""
+        return _packed([len(a), *a, *b])
 
 
 @lru_cache(maxsize=1)
