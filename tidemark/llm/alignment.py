@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, table
+from tidemark.llm.common import python_batches, staged, table
 
 #: Characters and documents of a slice; a longer text is a slice of its own.
 SLICE_CHARS, SLICE_DOCS = 1 << 21, 1024
@@ -59,7 +59,17 @@ def tokenised(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFram
             yield some
 
     def work(batches):
-        from itertools import chain
+        import gc
+
+        gc.disable()  # the slices' lists make no cycles, and are long to search for them
+        try:
+            yield from tokens_of(batches)
+        finally:
+            gc.enable()
+
+    def tokens_of(batches):
+        from collections import defaultdict
+        from itertools import chain, count
 
         import numpy as np
         import pyarrow as pa
@@ -83,8 +93,7 @@ def tokenised(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFram
         for some in slices(batches):
             words = [coder.words(text) for _, text in some]
             sizes = np.fromiter(map(len, words), np.int64, len(words))
-            number = dict.fromkeys(chain.from_iterable(words))
-            number.update(zip(number, range(len(number)), strict=True))
+            number = defaultdict(count().__next__)  # in order of occurrence
             chosen = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int32, int(sizes.sum()))
             of_doc = np.repeat(np.arange(len(some)), sizes)
             tokens, whole = coder.tokens(list(number)), sizes > 0
@@ -103,10 +112,8 @@ def tokenised(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFram
                 of_words.append(lists(ids, n))
                 totals.append(pa.array(np.bincount(of_doc, n[chosen] if len(chosen) else None, len(some)).astype(np.int64)))
             packed, bounds = ends.tobytes(), (4 * bounds).tolist()
-            shapes = list(map(packed.__getitem__, map(slice, bounds, bounds[1:])))  # as tokens, with bytes for ids
-            shape = dict.fromkeys(shapes)
-            shape.update(zip(shape, range(len(shape)), strict=True))
-            of_words.append(pa.array(np.fromiter(map(shape.__getitem__, shapes), np.int32, len(shapes))))
+            shape = defaultdict(count().__next__)  # of what tokens are, with bytes for ids
+            of_words.append(pa.array(np.fromiter(map(shape.__getitem__, map(packed.__getitem__, map(slice, bounds, bounds[1:]))), np.int32, len(tokens))))
             flat, _, parts = sides(shape)
             of_shapes = []
             for at, n in parts:
@@ -236,6 +243,7 @@ def scored(documents: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:
+    python_batches(spark)
     made = document_links(tokenised(table(spark, sf_dir, "documents")))
     documents = staged(made.withColumn("row", F.monotonically_increasing_id()), "alignment-documents", "snappy")  # links hardly shrink further
     return scored(documents, link_counts(documents))

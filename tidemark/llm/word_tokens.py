@@ -132,7 +132,7 @@ class TwoCoders(_Coder):
     the piece model's own sign for a blank, or else don't come back byte by byte, have none.
     """
 
-    weight = 1.5
+    weight = 1.2
     CUT = re.compile(r"(?<=\S) ")
     UNEVEN = re.compile(r"\s ")
     #: White space at an end of a word, where words stand behind single blanks.
