@@ -102,6 +102,23 @@ def test_suffix_dedup_of_hot_anchors_and_without_an_index(spark, monkeypatch):
     assert rows() != want
 
 
+def test_suffix_dedup_of_hot_anchors_sends_few_bytes_to_the_index(spark, monkeypatch):
+    """A hot anchor's windows don't go one by one, 100 bytes each: only those that other pieces may equal are compared."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    line = "this is a line of some sixty bytes that most documents hold, "
+    docs = [(i, " ".join(word() for _ in range(30)) + line + " ".join(word() for _ in range(30))) for i in range(80)]
+    docs += [(100 + i, text[80:-90] + "x") for i, text in docs[::4]] + ODD
+    indexed, sent = suffix_dedup.indexed, []
+    monkeypatch.setattr(suffix_dedup, "indexed", lambda runs, shards: sent.append(runs.agg(F.sum(F.octet_length("run"))).first()[0]) or indexed(runs, shards))
+    want = removed_by_definition(docs)
+    for hot in (1_000, 5, 1):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        got = suffix_dedup.deduplicated(spark.createDataFrame(docs, DOC).repartition(3)).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert 0 < sent[1] < sent[0] < sent[2]  # with HOT = 1 all that is left goes by window
+
+
 # 2
 def test_exact_dedup_cases(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "a", "z"), (3, "a", "z"), (None, "b", "n"), (None, "b", "n"), (7, "c", "m")]

@@ -8,13 +8,15 @@ Earlier means a smaller doc_id, or the same document and an earlier start; strin
    passage is pre-aggregated before the shuffle.
 2. Runs are shuffled by anchor hash and sorted. Of equal runs (by 128 bits of fingerprints) all but the first are
    removed. Where an anchor has different runs, the first of each kind is fetched from its text.
-3. These runs are dealt to shards, by anchor, or by window where an anchor has more than HOT kinds of runs. A shard
-   takes them in the order of doc_id and start, in batches of BATCH bytes. Each batch gets its suffix array
+3. Where an anchor has more than HOT kinds of runs, its runs are cut into pieces of FINE windows at most, by the place of
+   the anchor in them. A piece's anchor is what all its windows share, LENGTH - FINE + 1 bytes, and step 2 is done again.
+4. What is left is dealt to shards, by anchor, or by window where a piece's anchor still has more than HOT kinds. A shard
+   takes it in the order of doc_id and start, in batches of BATCH bytes. Each batch gets its suffix array
    (ranks of 8, 16, 32, 64 and LENGTH bytes by prefix doubling) and is merge-scanned against every level of the shard's
    index: a suffix is looked up in the level's order by comparing bytes, and one whose longest match there has
    LENGTH bytes is removed. What is new becomes a level; levels of like size merge, so sizes are geometric and a
    suffix is merged a logarithmic number of times. The levels stay for all batches of the shard.
-4. Removals are gathered by document and cut out.
+5. Removals are gathered by document and cut out.
 
 Suffixes that start no window of a run are not indexed: they belong to another shard. There are as many shards as
 SHARD bytes of runs each take, so an index is bounded however large the input is.
@@ -39,13 +41,15 @@ GRAMS = 64
 #: Bytes hashed at a time, and bytes of runs in one batch of the index.
 PIECE = 1 << 20
 BATCH = 1 << 20
-#: Bytes of runs that one shard's index holds, about, and kinds of runs of one anchor from which its windows are dealt singly.
+#: Bytes of runs that one shard's index holds, about; kinds of runs of one anchor above which they are cut into pieces (kinds of
+#: pieces: into single windows), and windows of a piece.
 SHARD = 8 << 20
 HOT = 1_000
+FINE = 8
 
 
-def _runs(texts: list[bytes]):
-    """Runs of the texts: text number, first window, windows, anchor hash and fingerprint of the run's bytes."""
+def _runs(texts: list[bytes], most: int = GRAMS):
+    """Runs of the texts, of so many windows at most: text number, first window, windows, anchor hash and fingerprint of the run's bytes."""
     import numpy as np
 
     from tidemark.llm.rolling import Rolling
@@ -57,7 +61,7 @@ def _runs(texts: list[bytes]):
     if total < LENGTH:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     least = roll.grams(LENGTH - GRAMS + 1)
-    gram = least
+    gram = least if most == GRAMS else roll.grams(LENGTH - most + 1)
     at = np.arange(len(least), dtype=np.int32)
     step = 1
     while step < GRAMS:
@@ -72,6 +76,8 @@ def _runs(texts: list[bytes]):
     counts = np.maximum(sizes - LENGTH + 1, 0)
     window = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[doc]
     anchor = at[window]
+    if most < GRAMS:  # the part of the text that the windows share whose anchor is as far from their start, by parts of so many windows
+        anchor = anchor - (anchor - window) // most * most
     new = np.ones(len(doc), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
@@ -93,18 +99,53 @@ def runs_of(docs: DataFrame) -> DataFrame:
             texts = [x.as_py().encode() for x in batch.column(1)]
             for lo, hi in pieces([len(x) for x in texts]):
                 doc, start, n, anchor, mark = _runs(texts[lo:hi])
-                if not len(doc):
-                    continue
-                own = ids[lo:hi][doc]
-                order = np.lexsort((start, own, mark, anchor))
-                own, start, n, anchor, mark = own[order], start[order], n[order], anchor[order], mark[order]
-                again = np.zeros(len(own), bool)
-                again[1:] = (anchor[1:] == anchor[:-1]) & (mark[1:] == mark[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64), mask=again), pa.array(mark.view(np.int64)), pa.array(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["anchor", "print", "doc_id", "start", "windows"])
+                if len(doc):
+                    yield _given(anchor, mark, ids[lo:hi][doc], start, n)
+
+    return docs.mapInArrow(work, RUN)
+
+
+RUN = "anchor long, print long, doc_id long, start int, windows int"
+
+
+def _given(anchor, mark, own, start, n):
+    """A batch of RUN; of equal runs only the first keeps its anchor."""
+    import numpy as np
+    import pyarrow as pa
+
+    order = np.lexsort((start, own, mark, anchor))
+    own, start, n, anchor, mark = own[order], start[order], n[order], anchor[order], mark[order]
+    again = np.zeros(len(own), bool)
+    again[1:] = (anchor[1:] == anchor[:-1]) & (mark[1:] == mark[:-1])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(anchor.view(np.int64), mask=again), pa.array(mark.view(np.int64)), pa.array(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+        names=["anchor", "print", "doc_id", "start", "windows"])
+
+
+def pieces_of(blobs: DataFrame, hot: DataFrame) -> DataFrame:
+    """What runs_of gives, for pieces of FINE windows at most of the given runs (doc_id, start, windows)."""
+
+    def work(batches):
+        import numpy as np
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            texts, ids, first = [], [], []
+            for own, blob, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                data = unpack(blob.as_py())
+                for start, n in zip(*(runs.values.field(i).to_pylist() for i in (0, 1)), strict=True):
+                    texts.append(data[start : start + n + LENGTH - 1])
+                    ids.append(own)
+                    first.append(start)
+            ids, first = np.array(ids, np.int64), np.array(first, np.int64)
+            for lo, hi in pieces([len(x) for x in texts]):
+                run, start, n, anchor, mark = _runs(texts[lo:hi], FINE)
+                if len(run):
+                    yield _given(anchor, mark, ids[lo:hi][run], first[lo:hi][run] + start, n)
 
-    return docs.mapInArrow(work, "anchor long, print long, doc_id long, start int, windows int")
+    lists = hot.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    return blobs.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "blob", "runs").mapInArrow(work, RUN)
 
 
 def pieces(sizes: list[int], most: int = PIECE):
@@ -188,10 +229,18 @@ def compressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, blob binary")
 
 
-def dealt(wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id, start, windows, anchor) with single: whether the anchor has so many kinds of runs that its windows go their own ways."""
+def dealt(compared: DataFrame) -> DataFrame:
+    """The runs to be compared (doc_id, start, windows, anchor) with single: whether their anchor has more than HOT kinds of runs."""
+    wanted = compared.where("anchor is not null")
     kinds = wanted.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("anchor", F.lit(True).alias("single"))
-    return wanted.join(kinds.hint("merge"), "anchor", "left").select("doc_id", "start", "windows", "anchor", F.coalesce("single", F.lit(False)).alias("single"))
+    flagged = wanted.join(kinds.hint("merge"), "anchor", "left").select("doc_id", "start", "windows", "anchor", F.coalesce("single", F.lit(False)).alias("single"))
+    return staged(flagged, "dealt", by="single")
+
+
+def indexed_bytes(runs: DataFrame) -> dict[bool, int]:
+    """Bytes that dealt runs take in the index, by single."""
+    n = F.col("windows").cast("long")
+    return dict(runs.groupBy("single").agg(F.sum(F.when(F.col("single"), n * LENGTH).otherwise(n + LENGTH - 1))).collect())
 
 
 def fetched(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -228,19 +277,36 @@ def fetched(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def suffix_ranks(data):
-    """The rank of each position among all, by the LENGTH bytes that follow it (positions with fewer have no meaning): prefix doubling."""
+    """The rank of each position among all, by the LENGTH bytes that follow it (positions with fewer have no meaning): prefix doubling.
+
+    A rank is the number of positions with a lower one, so a position that no other ties with keeps its rank and isn't sorted again.
+    """
     import numpy as np
 
-    rank = Suffixes.words(data).astype(np.uint64)
-    size = 8
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-    while size < LENGTH:
+    rank, key = np.zeros(len(data), np.uint64), Suffixes.words(data)
+    tied, size = np.arange(len(data)), 8
+    while True:
+        order = np.argsort(key)
+        key = key[order]
+        i = np.arange(len(key))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        low = np.maximum.accumulate(np.where(new, i, 0))
+        if size > 8:  # from the first of those that tied before
+            old = np.ones(len(key), bool)
+            old[1:] = key[1:] >> np.uint64(32) != key[:-1] >> np.uint64(32)
+            low = low - np.maximum.accumulate(np.where(old, i, 0)) + (key >> np.uint64(32)).astype(np.int64)
+        tied = tied[order]
+        rank[tied] = low
+        tied = tied[~(new & np.append(new[1:], True))]
+        if size == LENGTH or not len(tied):
+            return rank
         step = min(size, LENGTH - size)
-        ahead = np.zeros(len(rank), np.uint64)
-        ahead[:-step] = rank[step:]
-        rank = np.unique(rank << np.uint64(32) | ahead, return_inverse=True)[1].astype(np.uint64)
+        ahead = np.zeros(len(tied), np.uint64)
+        inside = tied + step < len(data)
+        ahead[inside] = rank[tied[inside] + step]
+        key = rank[tied] << np.uint64(32) | ahead
         size += step
-    return rank
 
 
 class Suffixes:
@@ -266,7 +332,8 @@ class Suffixes:
         """For the suffixes of another, in their order, the places where they belong in this order, and whether their match there has LENGTH bytes."""
         import numpy as np
 
-        low, high = np.zeros(len(other.order), np.int64), np.full(len(other.order), len(self.order))
+        own, words = self.first[self.order], other.first[other.order]  # both in order
+        low, high = np.searchsorted(own, words), np.searchsorted(own, words, "right")
         while (open_ := np.flatnonzero(low < high)).size:
             middle = (low[open_] + high[open_]) // 2
             less = self._compared(self.order[middle], other, other.order[open_]) < 0
@@ -427,12 +494,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     compared = staged(compared_runs(runs_of(usable)), "runs")
     blobs = compressed(rows)
     python_batches(spark, 20_000)
-    wanted = compared.where("anchor is not null")
-    size = wanted.agg(F.sum(F.col("windows").cast("long") + LENGTH - 1)).first()[0] or 0
-    runs = fetched(blobs.where("doc_id is not null"), dealt(wanted))
-    more = staged(indexed(runs, max(partitions(spark), -(-size // SHARD))), "removed")
+    known = blobs.where("doc_id is not null")
+    wanted, removed = dealt(compared), compared.where("anchor is null")
+    sizes = indexed_bytes(wanted)
+    size = sizes.get(False, 0)
+    if True in sizes:
+        finer = staged(compared_runs(pieces_of(known, wanted.where("single"))), "pieces")
+        hot = dealt(finer)
+        size += sum(indexed_bytes(hot).values())
+        wanted, removed = wanted.where("not single").unionByName(hot), removed.unionByName(finer.where("anchor is null"))
+    more = staged(indexed(fetched(known, wanted), max(partitions(spark), -(-size // SHARD))), "removed")
     python_batches(spark)
-    return cut(blobs, compared.where("anchor is null").select("doc_id", "start", "windows").unionByName(more))
+    return cut(blobs, removed.select("doc_id", "start", "windows").unionByName(more))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
